@@ -123,13 +123,20 @@ class Vocabulary:
         v_class -= np.bincount(e[top], minlength=ENDINGS)
         #: log10 of what a class's word is divided by; words that are classes have probability 1.
         self.ending_norm = np.log10(n_class + v_class + 1)
-        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        self.table = np.full(1 << TABLE_BITS, -1, np.int32)
-        self.table[slot] = np.arange(len(h))
-        self.table[slot[1:][slot[1:] == slot[:-1]]] = -2
+        self.table = None
+
+    def index(self) -> np.ndarray:
+        """A direct table by a hash's top bits: a place, -1 for none, -2 for several.  It is made where it is used, not sent."""
+        slot = (self.h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        table = np.full(1 << TABLE_BITS, -1, np.int32)
+        table[slot] = np.arange(len(slot))
+        table[slot[1:][slot[1:] == slot[:-1]]] = -2
+        return table
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Each hash's place among the frequent words, or -1."""
+        if self.table is None:
+            self.table = self.index()
         at = self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
         many = np.flatnonzero(at == -2)
         if len(many):
@@ -175,20 +182,24 @@ def vocabulary(docs: DataFrame, n_ranges: int) -> Vocabulary:
 
 
 def pieces(column: pa.Array, train: np.ndarray, words: Vocabulary):
-    """The class sequences of training texts, cut into pieces; rows padded with the end class, and their lengths."""
+    """The class sequences of training texts, cut into pieces: their classes one after another, and their lengths."""
     for i, at, h, e in tokens(column):
         cls = words.classes(words.find(h), e)
         out, sizes = [], []
         for k in np.flatnonzero(train[i : i + len(at) - 1]).tolist():
-            whole = np.append(cls[at[k] : at[k + 1]], np.uint16(0))
-            for a in range(0, len(whole), PIECE):
-                out.append(whole[a : a + PIECE])
-                sizes.append(len(out[-1]))
+            n = int(at[k + 1] - at[k]) + 1
+            out += [cls[at[k] : at[k + 1]], np.zeros(1, np.uint16)]
+            sizes += [PIECE] * (n // PIECE) + [n % PIECE] * (n % PIECE > 0)
         if out:
-            grid = np.zeros((len(out), PIECE), np.uint16)
-            sizes = np.array(sizes)
-            grid[np.arange(PIECE)[None] < sizes[:, None]] = np.concatenate(out)
-            yield grid, sizes
+            yield np.concatenate(out), np.array(sizes, np.int32)
+
+
+def as_grid(classes: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces as rows, filled up with the end class."""
+    sizes = np.frombuffer(sizes, np.int32)
+    grid = np.zeros((len(sizes), PIECE), np.uint16)
+    grid[np.arange(PIECE)[None] < sizes[:, None]] = np.frombuffer(classes, np.uint16)
+    return grid, sizes
 
 
 def expected(model, grid: np.ndarray, sizes: np.ndarray):
@@ -255,17 +266,25 @@ def baum_welch(docs: DataFrame, words: Vocabulary, passes: int = PASSES):
     sent = context.broadcast(words)
     share = min(1.0, 4 * START_SEGMENTS * PIECE / max(words.n, 1))
 
-    def sampled(batches):
+    def classed(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            pick = ~held_out_ids(ids) & np.array([zlib.crc32(b"start%s" % str(x).encode()) < share * (1 << 32) for x in ids], bool)
-            rows = np.flatnonzero(pick)
-            if len(rows):
-                for grid, sizes in pieces(batch.column(1).take(pa.array(rows)), np.ones(len(rows), bool), sent.value):
-                    some = np.argsort([zlib.crc32(g.tobytes()) for g in grid], kind="stable")[: START_SEGMENTS // 16]
-                    yield pa.RecordBatch.from_pydict({"g": [grid[some].tobytes()], "s": [sizes[some].astype(np.int64).tobytes()]})
-
-    got = sorted((bytes(r["s"]), bytes(r["g"])) for r in docs.mapInArrow(sampled, "g binary, s binary").limit(1024).collect())
+            for classes, sizes in pieces(batch.column(1), ~held_out_ids(batch.column(0).to_pylist()), sent.value):
+                yield pa.RecordBatch.from_pydict({"c": [classes.tobytes()], "s": [sizes.tobytes()]}, schema=pa.schema([("c", pa.binary()), ("s", pa.binary())]))
+
+    stored = cut(docs.mapInArrow(classed, "c binary, s binary"), "classes")  # two bytes a token
+
+    def grids(batches):
+        for batch in batches:
+            for c, s in zip(batch.column(0), batch.column(1), strict=True):
+                yield as_grid(c.as_buffer(), s.as_buffer())
+
+    def sampled(batches):
+        for grid, sizes in grids(batches):
+            some = np.flatnonzero(np.array([zlib.crc32(g.tobytes()) for g in grid]) < share * (1 << 32))
+            if len(some):
+                yield pa.RecordBatch.from_pydict({"g": [grid[some].tobytes()], "s": [sizes[some].astype(np.int64).tobytes()]})
+
+    got = sorted((bytes(r["s"]), bytes(r["g"])) for r in stored.mapInArrow(sampled, "g binary, s binary").limit(16 * START_SEGMENTS).collect())
     sizes = np.frombuffer(b"".join(s for s, _ in got), np.int64)
     grid = np.frombuffer(b"".join(g for _, g in got), np.uint16).reshape(-1, PIECE)
     chosen = np.random.default_rng(3).permutation(len(grid))[:START_SEGMENTS]
@@ -276,24 +295,24 @@ def baum_welch(docs: DataFrame, words: Vocabulary, passes: int = PASSES):
 
         def counted(batches, now=now):
             total = None
-            for batch in batches:
-                train = ~held_out_ids(batch.column(0).to_pylist())
-                for grid, sizes in pieces(batch.column(1), train, sent.value):
-                    part = expected(now.value, grid, sizes)
-                    total = part if total is None else tuple(a + b for a, b in zip(total, part, strict=True))
+            for grid, sizes in grids(batches):
+                part = expected(now.value, grid, sizes)
+                total = part if total is None else tuple(a + b for a, b in zip(total, part, strict=True))
             if total is not None:
                 yield pa.RecordBatch.from_pydict({"k": pa.array([TaskContext.get().partitionId() % 256], pa.int32()), "x": pa.array([packed_counts(*total)], pa.binary())})
 
         def added(pdf):
             return pd.DataFrame([{"k": pdf["k"].iloc[0], "x": sum(np.frombuffer(x) for x in pdf["x"]).tobytes()}])
 
-        rows = docs.mapInArrow(counted, "k int, x binary").groupBy("k").applyInPandas(added, "k int, x binary").collect()  # 256 at most
+        rows = stored.mapInArrow(counted, "k int, x binary").groupBy("k").applyInPandas(added, "k int, x binary").collect()  # 256 at most
+        now.unpersist()
         total = sum(np.frombuffer(bytes(r["x"])) for r in rows) if rows else None
         if total is None:
             break
         edges = np.cumsum([int(np.prod(s)) for s in shapes])
         history.append(float(total[-1]))
         model = estimated(*[x.reshape(s) for x, s in zip(np.split(total[:-1], edges[:-1]), shapes, strict=True)])
+    sent.unpersist()
     return model, history
 
 
@@ -424,4 +443,5 @@ def score(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     packed = text.mapInArrow(_score(sent, n_ranges, pa.string() if as_text else pa.int64()), PACKED)
     met = packed.groupBy("range").applyInPandas(_meet(n_ranges), "part int, h binary, d binary, x binary")
     schema = f"doc_id {'string' if as_text else 'bigint'}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return met.groupBy("part").applyInPandas(_finish(words.n, words.v), schema)
+    # the last step is light: few tasks, and so few files, do
+    return met.groupBy("part").applyInPandas(_finish(words.n, words.v), schema).coalesce(max(6, n_ranges // 4))
