@@ -19,6 +19,7 @@ import base64
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,14 +64,16 @@ class Tokenizer:
             made = sentencepiece.SentencePieceProcessor(model_file=path)
             self.size, self.end = made.vocab_size(), made.eos_id()
             self._encode = lambda text: made.encode(text, num_threads=1)
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self._code = "H" if self.size <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self._code == "H" else "<u4")
+
+    def count(self, text: str | None) -> int:
+        return len(self._encode(text)) + 1 if text else 1
 
     def __call__(self, text: str | None) -> np.ndarray:
-        ids = self._encode(text) if text else []
-        out = np.empty(len(ids) + 1, self.dtype)
-        out[:-1] = ids
-        out[-1] = self.end
-        return out
+        ids = array(self._code, self._encode(text) if text else [])
+        ids.append(self.end)
+        return np.frombuffer(ids, self.dtype)
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -113,7 +116,7 @@ def _counting(path: str, length: int):
         encode = tokenizer(path)
         for batch in batches:
             mark = _mark(mark, batch.column(0))
-            tokens += sum(len(encode(x.as_py())) for x in batch.column(1))
+            tokens += sum(encode.count(x.as_py()) for x in batch.column(1))
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "sequences": [-(-tokens // length)], "mark": [mark]}, schema=pa.schema([("part", pa.int32()), ("sequences", pa.int64()), ("mark", pa.int64())]))
 
     return run
