@@ -171,6 +171,8 @@ def test_line_dedup_edges(spark):
     pages = spark.createDataFrame([(*r, "old") for r in data], "page_id long, url string, html string, n_lines string")
     same([(a, b, c, tuple(d), e) for a, b, c, d, e in rows(linededup.dedup_lines(pages, ["page_id", "n_lines"], 0.5, 3))], [(a, b, c, tuple(d), e) for a, b, c, d, e in plain_dedup(data, 0.5, 3)])
     assert linededup.dedup_lines(pages.where("1 = 0"), ["page_id"]).count() == 0
+    salted = rows(linededup.dedup_lines(pages, ["page_id"], 0.5, 3, broadcast_marks=0))
+    same([(a, b, c, tuple(d), e) for a, b, c, d, e in salted], [(a, b, c, tuple(d), e) for a, b, c, d, e in plain_dedup(data, 0.5, 3)])
 
 
 # --- HMM

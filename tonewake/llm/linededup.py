@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .state import cut
+
 #: What ends a line in HTML, what is no text at all, and the common entities.
 UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|nav|header|footer|article|section|title|head|body|html|main|aside|form|option|pre|blockquote|dl|dt|dd|hr)\b[^>]*>"
@@ -17,6 +19,9 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 #: A line on more than this share of a host's pages goes, on hosts of so many pages or more.
 RATIO = 0.1
 MIN_PAGES = 10
+#: Boilerplate lines (8 bytes each) that may be broadcast; beyond, pages and lines meet in a salted join.
+BROADCAST_MARKS = 1 << 20
+SALTS = 32
 
 
 def host(url: Column) -> Column:
@@ -32,7 +37,7 @@ def lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: x != "")
 
 
-def dedup_lines(pages: DataFrame, carry: list[str], ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_lines(pages: DataFrame, carry: list[str], ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_marks: int = BROADCAST_MARKS) -> DataFrame:
     """Columns carry of pages with host, n_lines, n_dropped and kept_lines; inputs named like an output are replaced.
 
     A line is boilerplate on a host with min_pages pages or more where pages with it > ratio * pages.  A page counts a line
@@ -41,12 +46,16 @@ def dedup_lines(pages: DataFrame, carry: list[str], ratio: float = RATIO, min_pa
     """
     carry = [c for c in carry if c not in ("host", "n_lines", "n_dropped", "kept_lines")]
     split = pages.select(*carry, host(F.col("url").cast("string")).alias("host"), lines(F.col("html").cast("string")).alias("__lines"))
-    # a null mark stands on every page: its count is the host's pages
-    marks = F.array_append(F.transform(F.array_distinct("__lines"), lambda x: F.xxhash64(x)), F.lit(None).cast("long"))
+    marks = F.array_distinct(F.transform("__lines", lambda x: F.xxhash64(x)))
+    totals = pages.select(host(F.col("url").cast("string")).alias("host")).where("host is not null").groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     counts = split.where("host is not null").select("host", F.explode(marks).alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n"))
-    totals = counts.where("mark is null").select("host", F.col("n").alias("pages")).where(F.col("pages") >= min_pages)
-    common = counts.where((F.col("mark").isNotNull()) & (F.col("n") > min_pages * ratio)).join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
-    sets = common.groupBy("host").agg(F.collect_set("mark").alias("__common"))  # at most lines a page / ratio for a host
-    joined = split.join(sets, "host", "left")
+    common = counts.where(F.col("n") > min_pages * ratio).join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
+    sets = cut(common.groupBy("host").agg(F.collect_set("mark").alias("__common")), "boilerplate")  # at most lines a page / ratio for a host
+    if (sets.agg(F.sum(F.size("__common"))).first()[0] or 0) <= broadcast_marks:
+        joined = split.join(F.broadcast(sets), "host", "left")
+    else:  # a host with many pages is dealt out over SALTS tasks
+        salted = split.withColumn("__salt", F.pmod(F.xxhash64("__lines"), F.lit(SALTS)))
+        copies = sets.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = salted.join(copies, ["host", "__salt"], "left")
     kept = F.when(F.col("__common").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains("__common", F.xxhash64(x))))
     return joined.select(*[F.col(c) for c in carry], "host", F.size("__lines").cast("long").alias("n_lines"), kept.alias("kept_lines")).withColumn("n_dropped", F.col("n_lines") - F.size("kept_lines"))
