@@ -17,7 +17,7 @@ from .state import cut
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-ROWS_PER_CELL = 50_000
+ROWS_PER_CELL = 4_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
