@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, hmm, langid, linededup, mixing, ordering, quality, sharding, simjoin, surrogates
+from .oracles import ORACLES
 from .state import new_path
 
 #: A public tokenizer's file; nothing of it is copied here.
@@ -77,4 +78,4 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_quality, op4_line_dedup, op5_hmm_score, op6_training_order, op7_jaccard_join, op8_language_id, op9_sharding, op10_surrogates)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -249,7 +249,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """For every row of docs: doc_id, n_shingles, class_id (null without shingles), n_copies (rows of its class), component_id.
+    """For every row of docs: doc_id, n_shingles, class_id (the least doc_id with the same set), n_copies (rows of its class), component_id.
 
     component_id is the smallest doc_id that links reach, itself included.  A null text or one without words has no shingles
     and links with nothing.  Rows with equal sets are one class, whatever their ids; a null doc_id is never the smallest.
@@ -299,5 +299,5 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     joint = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "least", "copies", F.coalesce("root", "cid").alias("root"))
     lowest = joint.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = cut(joint.join(lowest, "root").select("cid", "copies", "component"), "classes")
-    return signed.join(of_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_class = cut(joint.join(lowest, "root").select("cid", F.col("least").alias("class_id"), "copies", "component"), "classes")
+    return signed.join(of_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("component", "doc_id").alias("component_id"))
