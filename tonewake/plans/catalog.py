@@ -418,7 +418,7 @@ def batch_gaps(spark, sf_dir):
     return gaps(D.table(spark, sf_dir, "orders").select(start.alias("start"), (start + 1000).alias("end")).distinct()).withColumn("expected", F.col("expected").cast("bigint"))
 
 
-@query("SELECT CAST(sum(1000) AS BIGINT) AS done, CAST(100000 - sum(1000) AS BIGINT) AS remaining, round((100000 - sum(1000)) * 6.1, 4) AS eta_seconds FROM (SELECT DISTINCT o_orderkey // 1000 FROM orders)")
+@query("SELECT CAST(sum(1000) AS BIGINT) AS done, CAST(100000 - sum(1000) AS BIGINT) AS remaining, round(CAST((100000 - sum(1000)) * 6.1 AS DOUBLE), 4) AS eta_seconds FROM (SELECT DISTINCT o_orderkey // 1000 FROM orders)")
 def batch_progress(spark, sf_dir):
     from tonewake.sources.io import progress
 
