@@ -47,8 +47,8 @@ OP7 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, {BLANKED.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
 s AS (SELECT DISTINCT r, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS k FROM d WHERE len(w) > 0)),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
-both AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
-e AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM both JOIN n nx ON x = nx.r JOIN n ny ON y = ny.r WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+e AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM shared JOIN n nx ON x = nx.r JOIN n ny ON y = ny.r WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
 reach AS (SELECT r, r AS t FROM d UNION SELECT reach.r, e.y FROM reach JOIN e ON reach.t = e.x),
 comp AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON reach.t = d.r GROUP BY 1),
 copy AS (SELECT x, min(d.doc_id) AS least, count(*) AS k FROM e JOIN d ON e.y = d.r WHERE same GROUP BY 1)
