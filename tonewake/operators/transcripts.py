@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tonewake.functions import patterns as P
 from tonewake.functions.text import is_blank, sentences, strip, token_estimate
+from tonewake.sources.shipping import ship
 
 CHUNK_COLUMNS = ["ticker", "date", "fiscal_quarter", "exchange", "source_section", "speaker", "role", "chunk_text", "chunk_index", "chunk_token_count", "overlap"]
 
@@ -171,6 +172,7 @@ def with_turns(df: DataFrame) -> DataFrame:
 
 def chunk_transcripts(transcripts: DataFrame, limit: int = P.MAX_TOKENS) -> DataFrame:
     """The chunks of both strategies, of the longest transcript of each (ticker, date)."""
+    ship(transcripts.sparkSession)
     said = with_turns(with_sections(longest_each(transcripts, ["ticker", "date"], "transcript_text")))
     keep = ["ticker", "date", "fiscal_quarter", "exchange", "source_section"]
     plain = said.select(*keep, F.posexplode(chunks_of_turns(F.col("turns"), limit)).alias("chunk_index", "c"))
