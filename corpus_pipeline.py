@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 from tonewake.llm import decontaminate, mixing, ordering, quality, simjoin
 from tonewake.llm.queries import TOKENIZER
-from tonewake.llm.state import cut, new_path
+from tonewake.llm.state import cut, for_long_rows, new_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with their failing lines gone."""
+    for_long_rows(spark)
     judged = quality.quality(docs, [c for c in docs.columns if c not in ("text", "n_chars")], cleaned=True).where("kept")
     return judged.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("clean_text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that of least doc_id.  Documents without words all stay."""
+    for_long_rows(spark)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     keep = simjoin.link(docs).where(stays).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
@@ -30,17 +32,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
+    for_long_rows(spark)
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns)
     return found.where(F.size("hit_items") == 0).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    for_long_rows(spark)
     return mixing.take(mixing.mix(docs)).select(*docs.columns)
 
 
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The manifest of the written shards."""
+    for_long_rows(spark)
     return ordering.write_training_order(docs, TOKENIZER, new_path(spark, "training-order"))
 
 
