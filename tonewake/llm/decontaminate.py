@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonewake.sources.shipping import ship
+
 from .state import cut
 
 #: Bytes outside a word become spaces, A-Z lower case: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
@@ -107,6 +109,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, carry: list[str], windo
     or without words are left out; rows of one id count once.  Columns of docs named like an output are replaced.
     A benchmark above block_bytes is searched in as many passes, each written to the shared folder.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

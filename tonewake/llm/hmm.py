@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonewake.sources.shipping import ship
+
 from .kernels import LOWER, flat, groups, joined, mix, ranges, split, word_bounds, word_hashes
 from .state import cut
 
@@ -432,6 +434,7 @@ def _finish(n: int, v: int):
 
 def score(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+    ship(docs.sparkSession)
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     as_text = isinstance(text.schema["doc_id"].dataType, T.StringType)
     if not as_text:

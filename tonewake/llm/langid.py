@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonewake.sources.shipping import ship
+
 from .kernels import flat
 
 DIMS = 4096
@@ -103,6 +105,7 @@ def _as_vectors(batches):
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """labelled: doc_id, text, lang; rows with a null are left out."""
+    ship(labelled.sparkSession)
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64(F.lit("langid"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)).alias("h")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
@@ -122,6 +125,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
 
 def predict(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
     """Columns carry of docs with lang_pred, score (0 to 1) and ambiguous; inputs named like an output are replaced."""
+    ship(docs.sparkSession)
     outputs = ("lang_pred", "score", "ambiguous")
     kept = [f for f in docs.schema.fields if f.name in carry and f.name not in outputs]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonewake.sources.shipping import ship
+
 LENGTH = 1024
 ROWS_PER_SHARD = 4096
 #: Fixed value: the split of text before the merges of byte-level rank files.
@@ -241,6 +243,7 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str, key:
 
     One row for each piece of a document in a sequence: slot, shard, row_in_shard, doc_id, doc_offset (of the piece in the
     document's tokens), seq_offset, n_tokens, crc32 (of the piece's bytes)."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     light = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = pa.string() if isinstance(light.schema["doc_id"].dataType, T.StringType) else pa.int64()

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonewake.sources.shipping import ship
+
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 #: A line without an end mark passes if it has so many words: it may be a long sentence that was cut.
@@ -113,6 +115,7 @@ def judge(text: str | None) -> tuple[tuple, str]:
 
 def quality(docs: DataFrame, carry: list[str], cleaned: bool = False) -> DataFrame:
     """Columns carry of docs with COLUMNS, and clean_text if cleaned; inputs named like an output are replaced."""
+    ship(docs.sparkSession)
     outputs = {c for c, _ in COLUMNS} | ({"clean_text"} if cleaned else set())
     kept = [f for f in docs.schema.fields if f.name in carry and f.name not in outputs]
     types = {"long": (T.LongType(), pa.int64()), "boolean": (T.BooleanType(), pa.bool_())}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, hmm, langid, linededup, mixing, ordering, quality, sharding, simjoin, surrogates
 from .oracles import ORACLES
-from .state import new_path
+from .state import for_long_rows, new_path
 
 #: A public tokenizer's file; nothing of it is copied here.
 TOKENIZER = os.environ.get("TONEWAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -18,7 +18,7 @@ SURROGATE_KEY = os.environ.get("TONEWAKE_SURROGATE_KEY", "tonewake-demo-key")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return for_long_rows(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

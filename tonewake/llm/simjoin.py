@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonewake.sources.shipping import ship
+
 from .kernels import LOWER, flat, groups, joined, shingle_sets, split
 from .state import cut
 
@@ -254,6 +256,7 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     component_id is the smallest doc_id that links reach, itself included.  A null text or one without words has no shingles
     and links with nothing.  Rows with equal sets are one class, whatever their ids; a null doc_id is never the smallest.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     n_ranges = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -282,10 +285,8 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sent = spark.sparkContext.broadcast(marked)
     found = texts.select(slot.alias("slot"), "text").mapInArrow(_wanted(sent, width), "cid bigint, set binary")
     sets = cut(found.join(needed, "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set")), "sets")
-    links = cut(verified(first, sets), "links")
-
     # frequent tokens whose documents aren't all in one component yet
-    roots = cut(components(links), "roots")
+    roots = cut(components(verified(first, sets)), "roots")
     placed = hot.select("token", "p").withColumn("cid", F.col("p.cid")).join(roots, F.col("cid") == F.col("node"), "left").select("token", "p", F.coalesce("root", "cid").alias("root"))
     per = placed.groupBy("token", "root").agg(F.count("*").alias("rows"))
     main = per.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
@@ -294,8 +295,8 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     second = apart.join(placed, "token").where((F.col("root") != F.col("other")) & _fits("p", "q")).select(*_ordered("p", "q")).distinct()
     second = cut(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        links = cut(links.unionByName(verified(second, sets)), "links")
-        roots = cut(components(links), "roots")
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = cut(components(known.unionByName(verified(second, sets))), "roots")
 
     joint = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "least", "copies", F.coalesce("root", "cid").alias("root"))
     lowest = joint.groupBy("root").agg(F.min("least").alias("component"))

@@ -31,3 +31,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of whole texts that are held at a time; Spark's own numbers are for short rows, and cost tens of MB a task here.
+LONG_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000")}
+
+
+def for_long_rows(spark: SparkSession) -> SparkSession:
+    """The session with smaller batches, where it has Spark's defaults."""
+    for name, (default, ours) in LONG_ROWS.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
+    return spark

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonewake.sources.shipping import ship
+
 #: Given names by gender, family names, titles.
 FEMALE = ("Alice", "Anna", "Camille", "Carmen", "Claire", "Elena", "Elizabeth", "Emma", "Hannah", "Isabel", "Jennifer", "Julia", "Laura", "Linda", "Lucia", "Maria", "Marie", "Mary", "Olivia", "Patricia", "Sarah", "Sofia", "Sophie", "Susan")
 MALE = ("Alexander", "Antonio", "Carlos", "Daniel", "David", "Felix", "Francisco", "Hans", "James", "Jean", "John", "Jorge", "Juan", "Karl", "Lucas", "Michael", "Miguel", "Pablo", "Paul", "Peter", "Pierre", "Robert", "Thomas", "William")
@@ -191,6 +193,7 @@ def anonymise(docs: DataFrame, key: str, carry: list[str], with_entities: bool =
     """Columns carry of docs with safe_text, n_entities and a count of each kind; inputs named like an output are replaced.
 
     with_entities adds entities, of (kind, original, surrogate); it holds the originals, for checks only."""
+    ship(docs.sparkSession)
     outputs = ["safe_text", "n_entities", *(f"n_{k}" for k in KINDS)]
     kept = [f for f in docs.schema.fields if f.name in carry and f.name not in [*outputs, "entities"]]
     record = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "original", "surrogate")]))
