@@ -297,6 +297,20 @@ def test_similarity_join_of_many_near_copies(spark, monkeypatch, hot):
     same(rows(simjoin.link(df).select("doc_id", "n_shingles", "component_id")), brute.components(docs))
 
 
+def test_similarity_join_expands_groups(spark):
+    """Texts of one size and prefix that don't link: a near copy of one of them is found, whichever stands for the group."""
+    tails = [[f"t{k}x{i}" for i in range(20)] for k in range(2)]
+    docs = [(1000 + i, " ".join([f"f{i}y{j}" for j in range(8)] + tails[i % 2])) for i in range(60)]
+    for r in range(100):
+        head = [f"r{r}z{j}" for j in range(24)]
+        docs += [(3 * r, " ".join(head + tails[0])), (3 * r + 1, " ".join(head + tails[1])), (3 * r + 2, " ".join([*head, *tails[r % 2][:-1], "last"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    sent = spark.sparkContext.broadcast(simjoin.levels(df, simjoin.WIDTH, 8))
+    signed = df.mapInArrow(simjoin._sign(sent, simjoin.WIDTH), f"doc_id long, {simjoin.SIGNATURES}")
+    assert signed.groupBy("gid").agg(F.countDistinct("cid").alias("n")).where("n > 1").count() > 5
+    same(rows(simjoin.link(df).select("doc_id", "n_shingles", "component_id")), brute.components(docs))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 30), (3, 3)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(rows(simjoin.components(spark.createDataFrame(edges, "a long, b long"))))

@@ -4,14 +4,16 @@ Documents with one shingle set are one class.  Shingles are ordered globally, th
 table of levels, from counts over all documents, broadcast), so that a document's prefix holds what is rare in it.  Two sets
 that link share a token of their prefixes.
 
-* Classes with one size and one prefix are a group; group pairs come from shared prefix tokens, filtered by size and by the
-  tokens' places; then the groups' members are verified on their whole sets.
-* A rare token is in fewer than HOT documents, so all its pairs are made, from packed arrays.
-* A frequent token first pairs its documents with one of them, the one most of whose shingles are frequent.  Then only
-  documents outside the token's largest component are paired with the others.  So copies by the thousand cost a pair each,
-  and every link between components is still found.
-
-Sets are of 64-bit hashes of the shingles (see kernels.py); a class id is a 64-bit digest of its set.
+* Classes with one size and one prefix are a group, and only groups have postings.  Group pairs come from shared prefix
+  tokens, filtered by size and by the tokens' places.
+* A rare token is in fewer than HOT documents, so all its group pairs are made, from packed arrays.  A frequent one pairs
+  its groups with one of them, that most of whose shingles are frequent.
+* First a member of each group is verified for the group pairs, and met with the other members of its own group.  Then
+  group pairs are expanded to all members that aren't in one component yet; and of a frequent token or a group, members
+  outside its largest component meet the others.  So copies by the thousand cost a pair each, and every link between
+  components is still found.
+
+Sets are of 64-bit hashes of the shingles (see kernels.py); class and group ids are 64-bit digests.
 """
 
 from __future__ import annotations
@@ -46,8 +48,9 @@ def sets_of(column: pa.Array, width: int):
         yield from shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
 
 
-def class_id(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_id(hashes: np.ndarray, size: int = 0) -> int:
+    """A digest of a set; with its size, of a prefix."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8, salt=size.to_bytes(8, "little")).digest(), "little", signed=True)
 
 
 def _count(width: int, n: int):
@@ -99,37 +102,46 @@ def levels(texts: DataFrame, width: int, n_ranges: int) -> np.ndarray:
     return out
 
 
-SIGNATURES = "cid bigint, n bigint, general int, cold binary, hot array<bigint>"
+SIGNATURES = "cid bigint, gid bigint, n bigint, general int, cold binary, hot array<bigint>"
 
 
 def _sign(sent, width: int):
     def run(batches):
         table = sent.value
         for batch in batches:
-            cids, sizes, general, cold, hot = [], [], [], [], []
-            seen: set[int] = set()
+            cids, gids, sizes, general, cold, hot = [], [], [], [], [], []
+            group_of: dict[int, int] = {}
+            posted: set[int] = set()
             for s in sets_of(batch.column(1), width):
                 n = len(s)
                 cid = class_id(s) if n else None
                 cids.append(cid)
                 sizes.append(n)
-                if not n or cid in seen:  # a copy brings no postings of its own
+                if not n or cid in group_of:  # a copy brings no postings of its own
+                    gids.append(group_of.get(cid))
                     general.append(None)
                     cold.append(None)
                     hot.append(None)
                     continue
-                seen.add(cid)
                 prefix = n - (PERCENT * n + 99) // 100 + 1
                 level = table[(s >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
                 if level.any():
                     order = np.argsort(level, kind="stable")
                     s, level = s[order], level[order]
+                gid = group_of[cid] = class_id(s[:prefix], n)
+                gids.append(gid)
+                if gid in posted:  # nor does a further member of a group
+                    general.append(None)
+                    cold.append(None)
+                    hot.append(None)
+                    continue
+                posted.add(gid)
                 rare = int((level == 0).sum())
                 general.append(rare)
                 cold.append(s[: min(prefix, rare)].tobytes())
                 hot.append(s[rare:prefix].view(np.int64))
-            columns = [batch.column(0), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(general, pa.int32()), pa.array(cold, pa.binary()), pa.array(hot, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cid", "n", "general", "cold", "hot"])
+            columns = [batch.column(0), pa.array(cids, pa.int64()), pa.array(gids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(general, pa.int32()), pa.array(cold, pa.binary()), pa.array(hot, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cid", "gid", "n", "general", "cold", "hot"])
 
     return run
 
@@ -137,13 +149,13 @@ def _sign(sent, width: int):
 def _post(n: int):
     def run(batches):
         schema = pa.schema([("range", pa.int32()), ("x", pa.binary())])
-        kind = np.dtype([("token", "<u8"), ("cid", "<i8"), ("n", "<u4"), ("at", "<u4")])
+        kind = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<u4"), ("at", "<u4")])
         for batch in batches:
-            cids, sizes, cold = (batch.column(k).to_pylist() for k in range(3))
+            gids, sizes, cold = (batch.column(k).to_pylist() for k in range(3))
             lengths = np.array([len(x) // 8 for x in cold])
             rows = np.empty(int(lengths.sum()), kind)
             rows["token"] = np.frombuffer(b"".join(cold), np.uint64)
-            rows["cid"], rows["n"] = np.repeat(np.array(cids, np.int64), lengths), np.repeat(np.array(sizes, np.uint32), lengths)
+            rows["gid"], rows["n"] = np.repeat(np.array(gids, np.int64), lengths), np.repeat(np.array(sizes, np.uint32), lengths)
             rows["at"] = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             yield pa.RecordBatch.from_pylist([{"range": k, "x": x.tobytes()} for k, (x,) in split((rows["token"] % np.uint64(n)).astype(np.int64), n, rows)], schema=schema)
 
@@ -151,8 +163,8 @@ def _post(n: int):
 
 
 def _pair(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of classes with a common rare token that pass the filters."""
-    kind = np.dtype([("token", "<u8"), ("cid", "<i8"), ("n", "<u4"), ("at", "<u4")])
+    """All pairs of groups with a common rare token that pass the filters."""
+    kind = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<u4"), ("at", "<u4")])
     rows = joined(pdf["x"], kind)
     order = np.argsort(rows["token"], kind="stable")
     token = rows["token"][order]
@@ -161,9 +173,9 @@ def _pair(pdf: pd.DataFrame) -> pd.DataFrame:
     shared[1:] |= same
     shared[:-1] |= same
     rows = rows[order[shared]]
-    rows = rows[np.lexsort((rows["cid"], rows["token"]))]
+    rows = rows[np.lexsort((rows["gid"], rows["token"]))]
     if len(rows):
-        rows = rows[np.concatenate([[True], (rows["token"][1:] != rows["token"][:-1]) | (rows["cid"][1:] != rows["cid"][:-1])])]
+        rows = rows[np.concatenate([[True], (rows["token"][1:] != rows["token"][:-1]) | (rows["gid"][1:] != rows["gid"][:-1])])]
     found, step = [np.zeros((0, 2), np.int64)], 1
     while step < len(rows):
         a, b = rows[:-step], rows[step:]
@@ -174,7 +186,7 @@ def _pair(pdf: pd.DataFrame) -> pd.DataFrame:
         na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
         most = np.minimum(na - a["at"], nb - b["at"])
         keep = (100 + PERCENT) * most >= PERCENT * (na + nb)
-        found.append(np.stack([a["cid"][keep], b["cid"][keep]], 1))
+        found.append(np.stack([a["gid"][keep], b["gid"][keep]], 1))
         step += 1
     pairs = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -188,7 +200,7 @@ def _fits(left: str, right: str):
 
 
 def _ordered(left: str, right: str):
-    x, y = F.col(f"{left}.cid"), F.col(f"{right}.cid")
+    x, y = F.col(left), F.col(right)
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
@@ -263,36 +275,51 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     kind = texts.schema["doc_id"].dataType.simpleString()
     table = spark.sparkContext.broadcast(levels(texts, width, n_ranges))
     signed = cut(texts.mapInArrow(_sign(table, width), f"doc_id {kind}, {SIGNATURES}"), "signatures")
-    classes = signed.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = cut(signed.where("n > 0").groupBy("cid").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "members")
+    members = classes.select("gid", "cid")
+    every = classes.groupBy("gid").agg(F.first("n").alias("n"), F.min("cid").alias("head"), F.count("*").alias("members"))
+    several = cut(every.where("members > 1"), "groups")
 
-    packed = signed.where("octet_length(cold) > 0").select("cid", "n", "cold").mapInArrow(_post(n_ranges), "range int, x binary")
-    cold = packed.groupBy("range").applyInPandas(_pair, "a bigint, b bigint")
+    packed = signed.where("octet_length(cold) > 0").select("gid", "n", "cold").mapInArrow(_post(n_ranges), "range int, x binary")
+    cold = cut(packed.groupBy("range").applyInPandas(_pair, "a bigint, b bigint").distinct(), "pairs")
 
     rare = F.floor(F.octet_length("cold") / 8)
-    posted = signed.where("size(hot) > 0").select("cid", "n", "general", rare.alias("rare"), F.posexplode("hot").alias("k", "token"))
-    hot = posted.groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("general").alias("general"), F.first(F.col("rare") + F.col("k")).alias("at"))
-    shared = hot.groupBy("token").agg(F.count("*").alias("list"), F.min(F.struct("general", "cid", "n", "at")).alias("hub")).where("list > 1")
-    hot = cut(hot.join(shared.select("token", "hub"), "token").select("token", F.struct("cid", "n", "at").alias("p"), "hub"), "hot")
-    hubs = hot.where((F.col("p.cid") != F.col("hub.cid")) & _fits("p", "hub")).select(*_ordered("p", "hub"))
-    first = cut(cold.unionByName(hubs).distinct(), "pairs")
+    posted = signed.where("size(hot) > 0").select("gid", "n", "general", rare.alias("rare"), F.posexplode("hot").alias("k", "token"))
+    hot = posted.groupBy("token", "gid").agg(F.first("n").alias("n"), F.min("general").alias("general"), F.first(F.col("rare") + F.col("k")).alias("at"))
+    shared = hot.groupBy("token").agg(F.count("*").alias("list"), F.min(F.struct("general", "gid", "n", "at")).alias("hub")).where("list > 1")
+    hot = cut(hot.join(shared.select("token", "hub"), "token").select("token", F.struct("gid", "n", "at").alias("p"), "hub"), "hot")
+    hubs = hot.where((F.col("p.gid") != F.col("hub.gid")) & _fits("p", "hub")).select(*_ordered("p.gid", "hub.gid"))
+    group_pairs = cold.unionByName(hubs).distinct()
+    one = group_pairs.join(every.select(F.col("gid").alias("a"), F.col("head").alias("x")), "a")
+    heads = one.join(every.select(F.col("gid").alias("b"), F.col("head").alias("y")), "b").select(*_ordered("x", "y"))
+    own = members.join(several, "gid").where("cid <> head").select(*_ordered("cid", "head"))
+    first = cut(heads.unionByName(own).distinct(), "pairs")
 
     # whole sets of the classes that any pair may need, from the documents whose hashed ids are marked
-    needed = first.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(hot.select("p.cid")).distinct()
+    used = hot.select("p.gid").unionByName(group_pairs.select(F.explode(F.array("a", "b")).alias("gid"))).unionByName(several.select("gid")).distinct()
+    needed = classes.join(used, "gid", "left_semi").select("cid", "least")
     slot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << FILTER_BITS)).cast("int")
-    marks = needed.join(classes, "cid").select(F.col("least").alias("doc_id")).select(slot.alias("slot")).distinct().toPandas()
+    marks = needed.select(F.col("least").alias("doc_id")).select(slot.alias("slot")).distinct().toPandas()
     marked = np.zeros(1 << FILTER_BITS, bool)
     marked[marks["slot"].to_numpy(np.int64)] = True
     sent = spark.sparkContext.broadcast(marked)
     found = texts.select(slot.alias("slot"), "text").mapInArrow(_wanted(sent, width), "cid bigint, set binary")
     sets = cut(found.join(needed, "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set")), "sets")
-    # frequent tokens whose documents aren't all in one component yet
     roots = cut(components(verified(first, sets)), "roots")
-    placed = hot.select("token", "p").withColumn("cid", F.col("p.cid")).join(roots, F.col("cid") == F.col("node"), "left").select("token", "p", F.coalesce("root", "cid").alias("root"))
+    placed_members = cut(members.join(roots, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("root", "cid").alias("root")), "placed")
+    # pairs of groups of several members, expanded
+    wide = cold.join(several.select(F.col("gid").alias("a"), F.lit(1).alias("i")), "a", "left").join(several.select(F.col("gid").alias("b"), F.lit(1).alias("j")), "b", "left").where("i = 1 or j = 1").select("a", "b")
+    left = wide.join(placed_members.select(F.col("gid").alias("a"), F.col("cid").alias("x"), F.col("root").alias("root_x")), "a")
+    both = left.join(placed_members.select(F.col("gid").alias("b"), F.col("cid").alias("y"), F.col("root").alias("root_y")), "b")
+    expanded = both.where("root_x <> root_y").select(*_ordered("x", "y"))
+    # frequent tokens, and groups, whose classes aren't all in one component yet
+    lists = hot.select("token", "p").unionByName(several.select(F.col("gid").alias("token"), F.struct("gid", "n", F.lit(0).cast(hot.schema["p"].dataType["at"].dataType).alias("at")).alias("p")))
+    placed = lists.join(placed_members, F.col("p.gid") == F.col("gid")).select("token", "p", "cid", "root")
     per = placed.groupBy("token", "root").agg(F.count("*").alias("rows"))
     main = per.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
     placed = cut(placed.join(main, "token"), "placed")
-    apart = placed.where("root <> main").select("token", F.col("p").alias("q"), F.col("root").alias("other"))
-    second = apart.join(placed, "token").where((F.col("root") != F.col("other")) & _fits("p", "q")).select(*_ordered("p", "q")).distinct()
+    apart = placed.where("root <> main").select("token", F.col("p").alias("q"), F.col("cid").alias("c"), F.col("root").alias("other"))
+    second = apart.join(placed, "token").where((F.col("root") != F.col("other")) & _fits("p", "q")).select(*_ordered("cid", "c")).unionByName(expanded).distinct()
     second = cut(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
