@@ -416,6 +416,15 @@ def test_surrogates_are_bijections():
     assert re.fullmatch(r"[\u0400-\u042F][\u0430-\u045F]+", surrogates.name(secret, "Иванова"))
 
 
+def test_surrogates_follow_case():
+    secret, token = b"k" * 32, "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for text in (f"Token {token}.", "Mail anna.lee@mail.example.com now"):
+        (a, old, new), = surrogates.replaced(secret, text, {})[1]
+        (b, upper, big), = surrogates.replaced(secret, text.upper(), {})[1]
+        assert (a, old.upper(), new.upper()) == (b, upper, big) and new != old
+    assert surrogates.email(secret, "Anna.Lee@Mail.Example.com").lower() == surrogates.email(secret, "anna.lee@mail.example.com")
+
+
 # --- kernels
 
 

@@ -33,7 +33,7 @@ NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\.?\s(?P<titled>{CAPITAL}
 NAME_HINT = re.compile(rf"\b(?:{'|'.join(TITLES)}|{GIVEN})\b")
 STRUCTURED = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>\b(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,}|\bAKIA[0-9A-Z]{16}\b|(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z]))"
+    r"|(?P<secret>\b(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,}|\bAKIA[0-9A-Z]{16}\b|(?<![0-9A-Za-z])(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*[0-9])[0-9A-F]{32,64})(?![0-9A-Za-z]))"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -125,10 +125,13 @@ def phone(key: bytes, text: str) -> str:
 
 
 def email(key: bytes, text: str) -> str:
-    """Local part and domain are permuted apart, so that addresses of a domain keep sharing one; the ending stays."""
-    local, _, domain = text.rpartition("@")
+    """Local part and domain are permuted apart, so that addresses of a domain keep sharing one; the ending stays.
+
+    An address in other case is the same one: its surrogate differs in case alone."""
+    local, _, domain = text.lower().rpartition("@")
     names, _, ending = domain.rpartition(".")
-    return f"{reformat(key, 'local', local, True)}@{reformat(key, 'domain', names.lower(), True)}.{ending}"
+    made = f"{reformat(key, 'local', local, True)}@{reformat(key, 'domain', names, True)}.{ending}"
+    return "".join(x.upper() if old.isupper() else x for x, old in zip(made, text, strict=True))
 
 
 def _shifted(key: bytes, tweak: str, pool: tuple[str, ...], value: str) -> str:
@@ -155,8 +158,10 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         return {"card": card, "ip": ip, "phone": phone, "email": email, "name": name}[kind](key, text)
     if kind == "secret":
         m = re.match(r"(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA", text)
-        head = m[0] if m else ""
-        return head + reformat(key, kind + head, text[len(head) :], alphabet=None if m else "0123456789abcdef")
+        if not m:  # hexadecimal, in either case
+            made = reformat(key, kind, text.lower(), alphabet="0123456789abcdef")
+            return made.upper() if text.isupper() else made
+        return m[0] + reformat(key, kind + m[0], text[len(m[0]) :])
     return text[:2] + reformat(key, kind, text[2:]) if kind == "iban" else reformat(key, kind, text)
 
 
@@ -220,7 +225,7 @@ def anonymise(docs: DataFrame, key: str, carry: list[str], with_entities: bool =
 
 def collisions(anonymised: DataFrame) -> DataFrame:
     """From anonymise(with_entities=True): surrogates that stand for two entities of a kind, or entities with two surrogates; none is right."""
-    pairs = anonymised.select(F.explode("entities").alias("e")).select(F.col("e.kind"), F.lower("e.original").alias("original"), F.col("e.surrogate").alias("surrogate")).distinct()
+    pairs = anonymised.select(F.explode("entities").alias("e")).select(F.col("e.kind"), F.lower("e.original").alias("original"), F.lower("e.surrogate").alias("surrogate")).distinct()
     shared = pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", F.lit("shared").alias("fault"))
     split = pairs.groupBy("kind", "original").agg(F.count("*").alias("n")).where("n > 1").select("kind", F.col("original").alias("surrogate"), F.lit("split").alias("fault"))
     return shared.unionByName(split)
