@@ -206,7 +206,7 @@ def _ordered(left: str, right: str):
 
 def _wanted(sent, width: int):
     def run(batches):
-        table, seen = sent.value, set()
+        table, seen = np.unpackbits(sent.value, bitorder="little").astype(bool), set()
         for batch in batches:
             rows = np.flatnonzero(table[batch.column(0).to_numpy(zero_copy_only=False)])
             if not len(rows):
@@ -299,9 +299,12 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     used = hot.select("p.gid").unionByName(group_pairs.select(F.explode(F.array("a", "b")).alias("gid"))).unionByName(several.select("gid")).distinct()
     needed = classes.join(used, "gid", "left_semi").select("cid", "least")
     slot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << FILTER_BITS)).cast("int")
-    marks = needed.select(F.col("least").alias("doc_id")).select(slot.alias("slot")).distinct().toPandas()
-    marked = np.zeros(1 << FILTER_BITS, bool)
-    marked[marks["slot"].to_numpy(np.int64)] = True
+    marks = needed.select(F.col("least").alias("doc_id")).select((slot + 1).alias("slot"))
+    blocks = marks.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()  # 2^FILTER_BITS bits in all
+    marked = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in blocks:  # numbered from 1
+        at = (r["block"] - 1) * len(r["bits"])
+        marked[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
     sent = spark.sparkContext.broadcast(marked)
     found = texts.select(slot.alias("slot"), "text").mapInArrow(_wanted(sent, width), "cid bigint, set binary")
     sets = cut(found.join(needed, "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set")), "sets")
