@@ -376,6 +376,30 @@ def test_sharding_edges(spark, edge, empty):
     assert not any("Python" in line or "Arrow" in line for line in made._jdf.queryExecution().toString().splitlines())
 
 
+def test_sharding_writes_whole_documents(spark, sf, documents, monkeypatch):
+    paths, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda rows, path: (paths.append(path), write(rows, path)))
+    got = queries.op9_sharding(spark, sf).collect()
+    stored = spark.read.parquet(*paths)
+    same(rows(stored.select("doc_id", "text")), pairs(documents))
+    same(rows(stored.select("doc_id", "shard", "slot")), [(r["doc_id"], r["shard"], r["slot"]) for r in got])
+
+
+def test_shards_are_in_slot_order_and_buckets_follow_lengths(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('word ', if(id % 100 = 0, 4000, 20)) as text")
+    made, path = sharding.shard(docs, 3, ["doc_id"], bucket_bytes=4000), state.new_path(spark, "shards-test")
+    assert made.rdd.getNumPartitions() >= 400 * 100 // 4000 // sharding.BUCKETS_PER_TASK
+    sharding.write_shards(made, path)
+    got = sharding.read_shards(spark, path, made).selectExpr("*", "_metadata.file_name as file").collect()
+    check_shards(got, 400, 3)
+    assert all(len(r["text"]) == (20000 if r["doc_id"] % 100 == 0 else 100) for r in got)
+    for s in range(3):
+        slots = [r["slot"] for r in sorted((r for r in got if r["shard"] == s), key=lambda r: (r["file"], r["slot"]))]
+        assert slots == list(range(len(slots))) and len({r["file"] for r in got if r["shard"] == s}) > 1
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: (r["slot"], r["shard"]))]
+    assert order != sorted(order)
+
+
 # --- surrogates
 
 

@@ -67,10 +67,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt, path = sharding.shard(texts(spark, sf_dir), 40, ["doc_id", "text"]), new_path(spark, "shards")
+    sharding.write_shards(dealt, path)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = texts(spark, sf_dir).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    dealt = sharding.shard(rows, 40, ["doc_id", "text_crc32"], row_bytes=64)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return sharding.read_shards(spark, path, dealt).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
