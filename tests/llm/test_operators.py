@@ -311,6 +311,33 @@ def test_similarity_join_expands_groups(spark):
     same(rows(simjoin.link(df).select("doc_id", "n_shingles", "component_id")), brute.components(docs))
 
 
+def plain_links(docs):
+    sets = [brute.shingles(t) for _, t in docs]
+    near = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    return [(d, sum(i != j and bool(near(x, y)) for j, y in enumerate(sets))) for i, ((d, _), x) in enumerate(zip(docs, sets, strict=True))]
+
+
+@pytest.mark.parametrize("block", [1 << 18, 2000])
+def test_similarity_join_counts_links(spark, monkeypatch, block):
+    monkeypatch.setattr(simjoin, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    base = [f"w{x}" for x in rng.integers(0, 50, 90)]
+    docs = [(900, ""), (901, None), (902, "alone with its words"), (None, " ".join(base)), (903, " ".join(base))]
+    for i in range(120):
+        words = list(base)
+        for k in rng.integers(0, 90, rng.integers(0, 5)):
+            words[k] = f"x{rng.integers(0, 4)}"
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = plain_links(docs)
+    assert max(n for _, n in want) > 20 and len({n for _, n in want}) > 5
+    same(rows(simjoin.link(df, count_links=True).select("doc_id", "n_links")), want)
+
+
+def test_link_counts_query(spark, sf, documents):
+    same([(r["doc_id"], r["n_links"]) for r in queries.op7_link_counts(spark, sf).collect()], plain_links(pairs(documents)))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 30), (3, 3)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(rows(simjoin.components(spark.createDataFrame(edges, "a long, b long"))))

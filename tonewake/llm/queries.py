@@ -59,6 +59,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.link(texts(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id", "n_copies")
 
 
+def op7_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7_jaccard_join's rows with the number of links, which its SQL doesn't give."""
+    return simjoin.link(texts(spark, sf_dir), count_links=True).select("doc_id", "n_shingles", "component_id", "class_id", "n_copies", "n_links")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where(id_remainder(4) != 2))
@@ -77,5 +82,5 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.anonymise(texts(spark, sf_dir), SURROGATE_KEY, ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_quality, op4_line_dedup, op5_hmm_score, op6_training_order, op7_jaccard_join, op8_language_id, op9_sharding, op10_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_quality, op4_line_dedup, op5_hmm_score, op6_training_order, op7_jaccard_join, op7_link_counts, op8_language_id, op9_sharding, op10_surrogates)}
 __all__ = ["ORACLES", "QUERIES"]

@@ -12,6 +12,7 @@ that link share a token of their prefixes.
   group pairs are expanded to all members that aren't in one component yet; and of a frequent token or a group, members
   outside its largest component meet the others.  So copies by the thousand cost a pair each, and every link between
   components is still found.
+* Links lie within components, so where they are to be counted, all classes of a component are compared, block by block.
 
 Sets are of 64-bit hashes of the shingles (see kernels.py); class and group ids are 64-bit digests.
 """
@@ -39,6 +40,8 @@ HOT = 16
 LEVEL_BITS = 22
 MAX_LEVELS = 1 << 20
 FILTER_BITS = 22
+#: Shingles of a block, when the classes of a component are compared to count links.
+BLOCK = 1 << 18
 
 
 def sets_of(column: pa.Array, width: int):
@@ -262,11 +265,53 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows linked to each class, for the pairs within one block or between two blocks of a component."""
+    pdf = pdf.sort_values(["n", "cid"], ignore_index=True)
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+    n, copies, block = (pdf[c].to_numpy(np.int64) for c in ("n", "copies", "block"))
+    rows = np.arange(len(n))
+    alone = block.min() == block.max()
+    ones, others = (rows, rows) if alone else (rows[block == block.min()], rows[block == block.max()])
+    words, flat_ids = np.unique(np.concatenate([sets[i] for i in others]), return_inverse=True)
+    ends = np.cumsum(n[others])
+    starts, links, there = ends - n[others], np.zeros(len(n), np.int64), np.zeros(len(words), bool)
+    for k, i in enumerate(ones):
+        low = k + 1 if alone else np.searchsorted(n[others], -(-PERCENT * n[i] // 100))
+        high = np.searchsorted(n[others], 100 * n[i] // PERCENT, "right")
+        if low >= high:
+            continue
+        at = np.minimum(np.searchsorted(words, sets[i]), len(words) - 1)
+        at = at[words[at] == sets[i]]
+        there[at] = True
+        common = np.add.reduceat(there[flat_ids[starts[low] : ends[high - 1]]].astype(np.int64), starts[low:high] - starts[low])
+        there[at] = False
+        found = others[low:high][100 * common >= PERCENT * (n[i] + n[others[low:high]] - common)]
+        links[i] += copies[found].sum()
+        links[found] += copies[i]
+    return pd.DataFrame({"cid": pdf["cid"], "links": links})[links > 0]
+
+
+def _compare_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    if key[1] != key[2] and pdf["block"].nunique() < 2:  # the other block is empty
+        return pd.DataFrame({"cid": pdf["cid"][:0], "links": pdf["n"][:0]})
+    return _compare(pdf)
+
+
+def counted(placed: DataFrame) -> DataFrame:
+    """cid, links: rows of other classes linked to each of placed (cid, n, copies, root, set)."""
+    blocks = placed.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("classes")).where("classes > 1")
+    dealt = placed.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "n", "copies", "block", "set")
+    return pair.groupBy("root", "i", "j").applyInPandas(_compare_blocks, "cid bigint, links bigint").groupBy("cid").agg(F.sum("links").alias("links"))
+
+
+def link(docs: DataFrame, width: int = WIDTH, count_links: bool = False) -> DataFrame:
     """For every row of docs: doc_id, n_shingles, class_id (the least doc_id with the same set), n_copies (rows of its class), component_id.
 
     component_id is the smallest doc_id that links reach, itself included.  A null text or one without words has no shingles
     and links with nothing.  Rows with equal sets are one class, whatever their ids; a null doc_id is never the smallest.
+    count_links adds n_links, the other rows that a row links with, its copies among them.
     """
     ship(docs.sparkSession)
     spark = docs.sparkSession
@@ -331,4 +376,9 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     joint = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "least", "copies", F.coalesce("root", "cid").alias("root"))
     lowest = joint.groupBy("root").agg(F.min("least").alias("component"))
     of_class = cut(joint.join(lowest, "root").select("cid", F.col("least").alias("class_id"), "copies", "component"), "classes")
-    return signed.join(of_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("component", "doc_id").alias("component_id"))
+    links = []
+    if count_links:
+        placed = sets.join(roots, F.col("cid") == F.col("node")).join(classes.select("cid", "n", "copies"), "cid").select("cid", "n", "copies", "root", "set")
+        of_class = of_class.join(cut(counted(placed), "links"), "cid", "left")
+        links = [(F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")]
+    return signed.join(of_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("component", "doc_id").alias("component_id"), *links)
