@@ -476,6 +476,15 @@ def test_surrogates_follow_case():
     assert surrogates.email(secret, "Anna.Lee@Mail.Example.com").lower() == surrogates.email(secret, "anna.lee@mail.example.com")
 
 
+@pytest.mark.parametrize("phone", ["+1 (826) 555-4081", "+1 826-555-4081", "+18265554081", "+44 20 7946 0958", "+33 1 42 34 56 78", "+33 1.42.34.56.78", "+33 1 42.34.56.78", "(826) 555-4081", "826-555-4081"])
+def test_phones_end_where_others_start(phone):
+    assert [x[:2] for x in surrogates.entities(f"{phone}.")] == [(0, len(phone))]
+    if phone != "+33 1 42.34.56.78":
+        for kind, other in [("ip", "190.137.223.204"), ("ip", "10.1.2.3"), ("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("phone", "415-555-1234"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e"), ("email", "77anna@ex.org")]:
+            text = f"Call {phone} {other} now"
+            assert [(text[a:b], k) for a, b, k in surrogates.entities(text)] == [(phone, "phone"), (other, kind)]
+
+
 # --- kernels
 
 

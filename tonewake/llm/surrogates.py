@@ -31,6 +31,8 @@ CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][a-zà-öø-ÿα-ωа-я'-]+"
 GIVEN = "|".join(FEMALE + MALE)
 NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\.?\s(?P<titled>{CAPITAL}(?:\s{CAPITAL})?)|(?P<full>(?:{GIVEN})\s{CAPITAL}))")
 NAME_HINT = re.compile(rf"\b(?:{'|'.join(TITLES)}|{GIVEN})\b")
+#: A phone ends where, after a space, an address, card, number or secret of its own starts.
+APART = r"(?! (?:(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)|(?:\d{4}[ -]?){3}\d{1,7}(?![ -]?\d)|\d{3}-\d{2,3}-\d{4}(?![\d-])|(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32}|[A-Za-z0-9._%+-]+@))"
 STRUCTURED = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>\b(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,}|\bAKIA[0-9A-Z]{16}\b|(?<![0-9A-Za-z])(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*[0-9])[0-9A-F]{32,64})(?![0-9A-Za-z]))"
@@ -38,7 +40,7 @@ STRUCTURED = re.compile(
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])(?:\d{4}[ -]?){3}\d{1,7}(?!\d))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-]))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:" + rf"(?:{APART}[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?:[ .-]?\d{{2,4}}){{2,4}}(?!\d|\.\d))" + r"|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-]))"
 )
 KINDS = ("name", "email", "phone", "card", "ip", "ssn", "iban", "secret")
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
