@@ -485,6 +485,34 @@ def test_phones_end_where_others_start(phone):
             assert [(text[a:b], k) for a, b, k in surrogates.entities(text)] == [(phone, "phone"), (other, kind)]
 
 
+@pytest.mark.parametrize(("kind", "one", "two"), [("card", "4111 1111 1111 1111", "4111111111111111"), ("phone", "+1 (826) 555-4081", "+1 826-555-4081"), ("phone", "+1 (826) 555-4081", "+18265554081"), ("phone", "+1 826-555-4081", "(826) 555-4081"), ("phone", "+442079460958", "+44 20 7946 0958"), ("iban", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000")])
+def test_surrogates_of_one_value_in_two_formats(kind, one, two):
+    secret = b"k" * 32
+    a, b = (surrogates.surrogate(secret, kind, x) for x in (one, two))
+    assert surrogates.canonical(kind, one) == surrogates.canonical(kind, two)
+    assert surrogates.canonical(kind, a) == surrogates.canonical(kind, b) != surrogates.canonical(kind, one)
+    assert re.sub(r"\w", "x", a) == re.sub(r"\w", "x", one) and re.sub(r"\w", "x", b) == re.sub(r"\w", "x", two)
+
+
+def test_surrogates_of_later_mentions():
+    text = "Smith & Co: Mr Smith met Anna Weber. Smith's view: Anna and Weber agree; Smithson, Smith-Jones don't."
+    new, done = surrogates.replaced(b"k" * 32, text, {})
+    made = {old: x for _, old, x in done}
+    assert [old for _, old, _ in done] == ["Smith", "Anna Weber", "Smith", "Anna", "Weber"]
+    assert made["Anna Weber"] == f"{made['Anna']} {made['Weber']}" and "Smithson, Smith-Jones" in new and new.startswith("Smith & Co")
+
+
+def test_collisions_see_through_formats(spark, sf, monkeypatch):
+    e = "array<struct<kind string, original string, surrogate string>>"
+    split = [([("card", "4111 1111 1111 1111", "4000 0000 0000 0002"), ("card", "4111111111111111", "5000000000000009")],)]
+    shared = [([("card", "4111 1111 1111 1111", "4000 0000 0000 0002"), ("card", "4222222222222222", "4000000000000002")],)]
+    for data, fault in ((split, "split"), (shared, "shared")):
+        assert [r["fault"] for r in surrogates.collisions(spark.createDataFrame(data, f"entities {e}")).collect()] == [fault]
+    monkeypatch.setattr(surrogates, "collisions", lambda df: df.limit(1))
+    with pytest.raises(ValueError, match="share a surrogate"):
+        queries.op10_surrogates(spark, sf)
+
+
 # --- kernels
 
 

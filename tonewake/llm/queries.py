@@ -79,7 +79,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.anonymise(texts(spark, sf_dir), SURROGATE_KEY, ["doc_id"])
+    docs = texts(spark, sf_dir)
+    if faults := surrogates.collisions(surrogates.anonymise(docs, SURROGATE_KEY, [], with_entities=True).select("entities")).count():
+        raise ValueError(f"{faults} entities share a surrogate or have two")
+    return surrogates.anonymise(docs, SURROGATE_KEY, ["doc_id"])
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_quality, op4_line_dedup, op5_hmm_score, op6_training_order, op7_jaccard_join, op7_link_counts, op8_language_id, op9_sharding, op10_surrogates)}

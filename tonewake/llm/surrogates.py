@@ -10,6 +10,7 @@ A null text stays null and has no entities.  Each row is treated alone; repeated
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -87,11 +88,11 @@ def _alphabet(c: str, pronounceable: bool) -> str:
     return ""
 
 
-def reformat(key: bytes, kind: str, text: str, pronounceable: bool = False, alphabet: str | None = None) -> str:
-    """text with its letters and digits permuted within their classes; all else stays, and belongs to the format."""
+def reformat(key: bytes, kind: str, text: str, pronounceable: bool = False, alphabet: str | None = None, loose: bool = False) -> str:
+    """text with its letters and digits permuted within their classes; all else stays, and belongs to the value unless loose."""
     sets = [(alphabet if alphabet and c in alphabet else _alphabet(c, pronounceable)) for c in text]
     where = [i for i, s in enumerate(sets) if len(s) > 1]
-    frame = "".join(sets[i][0] if len(sets[i]) > 1 else c for i, c in enumerate(text))
+    frame = "".join(sets[i][0] if len(sets[i]) > 1 else c for i, c in enumerate(text) if not loose or len(sets[i]) > 1)
     moved = permute(key, f"{kind}|{frame}", [sets[i].index(text[i]) for i in where], [len(sets[i]) for i in where])
     out = list(text)
     for i, d in zip(where, moved, strict=True):
@@ -106,7 +107,7 @@ def _luhn(digits: list[int]) -> int:
 def card(key: bytes, text: str) -> str:
     """All digits but the last are permuted; the last keeps the Luhn remainder, so valid numbers stay valid."""
     last = max(i for i, c in enumerate(text) if c.isdigit())
-    head = reformat(key, "card", text[:last])
+    head = reformat(key, "card", text[:last], loose=True)
     residue = _luhn([int(c) for c in text if c.isdigit()])
     body = [int(c) for c in head if c.isdigit()]
     return head + next(str(d) for d in range(10) if _luhn([*body, d]) == residue) + text[last + 1 :]
@@ -119,11 +120,16 @@ def ip(key: bytes, text: str) -> str:
     return ".".join(map(str, permute(key, "ip", [int(o) for o in octets], [256] * 4)))
 
 
+#: Country codes of one and two digits; all others have three.
+COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d+")
+
+
 def phone(key: bytes, text: str) -> str:
-    """The country code stays."""
-    m = re.match(r"\+\d{1,3}(?=[ .-]|\()", text)
-    head = m[0] if m else ""
-    return head + reformat(key, f"phone{head}", text[len(head) :])
+    """The country code stays; a number without one is American.  Only digits tell numbers apart."""
+    digits = [i for i, c in enumerate(text) if c.isdigit()]
+    code = COUNTRY.match("".join(text[i] for i in digits))[0] if text[0] == "+" else ""
+    at = digits[len(code)] if len(code) < len(digits) else len(text)
+    return text[:at] + reformat(key, f"phone{code or 1}", text[at:], loose=True)
 
 
 def email(key: bytes, text: str) -> str:
@@ -164,7 +170,7 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
             made = reformat(key, kind, text.lower(), alphabet="0123456789abcdef")
             return made.upper() if text.isupper() else made
         return m[0] + reformat(key, kind + m[0], text[len(m[0]) :])
-    return text[:2] + reformat(key, kind, text[2:]) if kind == "iban" else reformat(key, kind, text)
+    return text[:2] + reformat(key, kind + text[:2], text[2:], loose=True) if kind == "iban" else reformat(key, kind, text)
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
@@ -178,9 +184,40 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             a, b = m.span(group)
             if not any(a < y and x < b for x, y, _ in found):
                 found.append((a, b, "name"))
+        found += mentions(text, found)
     return sorted(found)
 
 
+def mentions(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Where words of a detected name stand alone later in the text."""
+    first: dict[str, int] = {}
+    for a, b, kind in found:
+        if kind == "name":
+            for word in re.split(r"\s", text[a:b]):
+                first[word] = min(b, first.get(word, b))
+    if not first:
+        return []
+    words = re.compile(rf"(?<![\w'-])(?:{'|'.join(map(re.escape, sorted(first, key=len, reverse=True)))})(?![\w-]|'(?!s\b))")
+    taken = sorted(found)
+    starts = [a for a, _, _ in taken]
+    out = []
+    for m in words.finditer(text):
+        k = bisect.bisect_left(starts, m.end()) - 1
+        if m.start() >= first[m[0]] and (k < 0 or taken[k][1] <= m.start()):
+            out.append((m.start(), m.end(), "name"))
+    return out
+
+
+def canonical(kind: str, text: str) -> str:
+    """What two ways of writing one entity have in common."""
+    if kind in ("card", "phone"):
+        digits = "".join(c for c in text if c.isdigit())
+        return digits if kind == "card" or text[0] == "+" else "1" + digits
+    if kind == "iban":
+        return text.replace(" ", "")
+    return text.lower() if kind == "email" or kind == "secret" and re.fullmatch("[0-9A-Fa-f]+", text) else text
+
+
 def replaced(key: bytes, text: str, memory: dict[tuple[str, str], str]) -> tuple[str, list[tuple[str, str, str]]]:
     out, at, done = [], 0, []
     for a, b, kind in entities(text):
@@ -226,8 +263,12 @@ def anonymise(docs: DataFrame, key: str, carry: list[str], with_entities: bool =
 
 
 def collisions(anonymised: DataFrame) -> DataFrame:
-    """From anonymise(with_entities=True): surrogates that stand for two entities of a kind, or entities with two surrogates; none is right."""
-    pairs = anonymised.select(F.explode("entities").alias("e")).select(F.col("e.kind"), F.lower("e.original").alias("original"), F.lower("e.surrogate").alias("surrogate")).distinct()
+    """From anonymise(with_entities=True): surrogates that stand for two entities of a kind, or entities with two surrogates; none is right.
+
+    Formats don't count, and values are told by digests."""
+    same = F.udf(lambda kind, text: hashlib.blake2b(canonical(kind, text).encode(), digest_size=16).hexdigest())
+    e = anonymised.select(F.explode("entities").alias("e")).distinct()
+    pairs = e.select(F.col("e.kind"), same("e.kind", "e.original").alias("original"), same("e.kind", "e.surrogate").alias("surrogate")).distinct()
     shared = pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", F.lit("shared").alias("fault"))
     split = pairs.groupBy("kind", "original").agg(F.count("*").alias("n")).where("n > 1").select("kind", F.col("original").alias("surrogate"), F.lit("split").alias("fault"))
     return shared.unionByName(split)
