@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .state import cut
 
 BUCKET_BYTES = 8 << 20
-#: Buckets a task takes, on average: each task writes one file into each shard.
+#: Buckets a task takes: each task writes one file into each shard.
 BUCKETS_PER_TASK = 4
 
 
@@ -49,10 +49,9 @@ def shard(rows: DataFrame, shards: int, key: list[str], seed: int = 17, bucket_b
         marked = marked.withColumn("__place", F.col("__mark"))
     scattered = marked.withColumn("__bucket", F.pmod(F.xxhash64("__place"), F.lit(buckets)).cast("int")).withColumn("__task", F.pmod("__bucket", F.lit(tasks)))
     sizes = cut(scattered.groupBy("__task", "__bucket").agg(F.count("*").alias("__n")), "buckets")
-    partition = F.pmod(F.hash("__task"), F.lit(tasks))  # where repartition() puts a task's rows
-    before = sizes.withColumn("__at", partition).selectExpr("__bucket", "cast(sum(__n) over (order by __at, __task, __bucket) - __n as bigint) as __before")
+    before = sizes.selectExpr("__bucket", "cast(sum(__n) over (order by __task, __bucket) - __n as bigint) as __before")
     whole = F.struct("__mark", *columns)
-    grouped = scattered.repartition(tasks, "__task").groupBy("__task", "__bucket").agg(F.sort_array(F.collect_list(whole)).alias("__rows"))
+    grouped = scattered.repartitionById(tasks, F.col("__task")).groupBy("__task", "__bucket").agg(F.sort_array(F.collect_list(whole)).alias("__rows"))
     dealt = grouped.sortWithinPartitions("__task", "__bucket").select("__bucket", F.posexplode(F.shuffle("__rows", seed)).alias("__at", "__row"))
     order = F.col("__before") + F.col("__at")
     return dealt.join(F.broadcast(before), "__bucket").select(*[F.col(f"__row.{c}").alias(c) for c in columns], F.pmod(order, F.lit(shards)).cast("int").alias("shard"), F.floor(order / shards).cast("long").alias("slot"))
