@@ -1,7 +1,7 @@
 """Transcripts to chunks: sections, cleaning, speaker turns, chunks.
 
-Everything but overlapping chunks is built from array functions, narrow and inside the JVM; the one shuffle is the removal of
-duplicate transcripts.
+Everything but overlapping chunks is built from whole-text patterns and array functions, narrow and inside the JVM; the one
+shuffle is the removal of duplicate transcripts.
 """
 
 from __future__ import annotations
@@ -18,6 +18,21 @@ from tonewake.functions import patterns as P
 from tonewake.functions.text import is_blank, sentences, strip, token_estimate
 from tonewake.sources.shipping import ship
 
+#: White space within a line, and the end of one.
+_W, _END = r"[\s\x1c-\x1f&&[^\n]]", r"(?=\n|\z)"
+AROUND_BREAK = rf"(?U){_W}*+\n{_W}*+"
+FROM_FOOTER = rf"(?sU)(?:\A|\n){_W}*+" + P.FOOTER.replace("^", "").replace(r"\s*", f"{_W}*+") + r".*\z"
+PREPARED_LINE = rf"(?U)\A{_W}*+{P.PREPARED_HEADER.replace('^', '').replace('$', '')}{_W}*+(?:\n|\z)"
+QA_LINE = rf"(?U)(?:\A|\n){_W}*+{P.QA_HEADER.replace('^', '').replace('$', '')}{_W}*+{_END}"
+#: A speaker's line: a name, then anything after ` -- `; an analyst's has three parts, the last of which says so.
+_NAMED = rf"(?U:[^-\n][^\n]*? -- {_W}*+[^\n])"
+_PART = rf"(?:(?! -- {_W}*+[^\n])[^\n])"
+_ANALYST = rf"(?U:[^-\n]{_PART}* -- {_PART}*+ -- (?=[^\n]*{P.ANALYST}){_PART}++{_END})"
+BEFORE_ANALYST = rf"(?U)\n(?={_W}*+{_ANALYST})"
+_HEADER = rf"{_W}*+(?:{P.OPERATOR_LINE.replace('^', '').replace('$', '')}{_W}*+{_END}|(?=[^\n]{{1,{P.MAX_HEADER_CHARS - 1}}}?{_W}*+{_END}){_NAMED})"
+BEFORE_HEADER = rf"(?U)\n(?={_HEADER})"
+STARTS_WITH_HEADER = rf"(?U)\A{_HEADER}"
+
 CHUNK_COLUMNS = ["ticker", "date", "fiscal_quarter", "exchange", "source_section", "speaker", "role", "chunk_text", "chunk_index", "chunk_token_count", "overlap"]
 
 
@@ -32,45 +47,26 @@ def first_each(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(ordinal))).where("__rank = 1").drop("__rank")
 
 
-def first_index(lines: Column, start: Column, test) -> Column:
-    """The first index from start whose line passes; null without one."""
-    return F.get(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i >= start) & test(F.get(lines, i))), F.lit(0))
-
-
-def _join(lines: Column, start: Column, end: Column) -> Column:
-    length = F.greatest(end - start, F.lit(0))
-    return strip(F.array_join(F.slice(lines, start + 1, length), "\n"))
-
-
 def with_sections(df: DataFrame, text: str = "transcript_text") -> DataFrame:
-    """Adds prepared_remarks and qa_session: split at the first header line, else at the first analyst's line after some."""
-    size = F.size("__lines")
-    lines = F.col("__lines")
-    df = df.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    footer = first_index(lines, F.lit(0), lambda x: strip(x).rlike(P.FOOTER))
-    df = df.withColumn("__lines", F.slice("__lines", 1, F.coalesce(footer, size)))
-    df = df.withColumn("__from", F.when((size > 0) & strip(F.get(lines, F.lit(0))).rlike(P.PREPARED_HEADER), 1).otherwise(0))
-    body = F.col("__from")
-    some = size > 0
-    df = df.withColumn("__header", F.when(some, first_index(lines, body, lambda x: strip(x).rlike(P.QA_HEADER))))
-
-    def analyst(x: Column) -> Column:
-        parts = F.split(strip(x), " -- ")
-        return strip(x).rlike(P.SPEAKER_LINE) & (F.size(parts) == 3) & F.get(parts, F.lit(2)).rlike(P.ANALYST)
-
-    df = df.withColumn("__analyst", F.when(some & F.col("__header").isNull(), first_index(lines, body + P.MIN_PREPARED_LINES, analyst)))
-    cut = F.coalesce("__header", "__analyst", size)
-    rest = F.coalesce(F.col("__header") + 1, "__analyst", size)
-    df = df.withColumn("prepared_remarks", _join(lines, body, cut)).withColumn("qa_session", _join(lines, rest, size))
-    return df.drop("__lines", "__from", "__header", "__analyst")
+    """Adds prepared_remarks and qa_session: split at the first header line, else at the first analyst's line after some.
+
+    Whole-text patterns do it, each run once over the text: a footer line and all after it go, then a leading header line, then
+    the text falls into two at a Q&A header, or before the analyst's line in what follows the first lines."""
+    body = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), FROM_FOOTER, ""), PREPARED_LINE, "")
+    df = df.withColumn("__body", body).withColumn("__halves", F.split("__body", QA_LINE, 2))
+    head = F.substring_index("__body", "\n", P.MIN_PREPARED_LINES)
+    rest = F.substr(F.col("__body"), F.length(head) + 1)
+    later = F.split(rest, BEFORE_ANALYST, 2)
+    by_analyst = F.array(F.concat(head, F.get(later, F.lit(0))), F.coalesce(F.get(later, F.lit(1)), F.lit("")))
+    df = df.withColumn("__halves", F.when(F.size("__halves") == 2, F.col("__halves")).otherwise(by_analyst))
+    return df.withColumn("prepared_remarks", strip(F.get("__halves", F.lit(0)))).withColumn("qa_session", strip(F.get("__halves", F.lit(1)))).drop("__body", "__halves")
 
 
 def cleaned(x: Column) -> Column:
-    """Without boilerplate phrases, with single blanks and single empty lines."""
+    """Without boilerplate phrases, with single blanks and single empty lines, and no line with white space at its ends."""
     for pattern in P.BOILERPLATE:
         x = F.regexp_replace(x, pattern, "")
-    lines = F.transform(F.split(x, "\n"), lambda line: F.regexp_replace(strip(line), "  +", " "))
-    return F.transform(F.array(lines), lambda ls: strip(F.array_join(F.filter(ls, lambda line, i: ~((line == "") & (i > 0) & (F.coalesce(F.get(ls, i - 1), F.lit("x")) == ""))), "\n")))[0]
+    return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, AROUND_BREAK, "\n"), "  +", " "), "\n{3,}", "\n\n"))
 
 
 def role(title: Column, third: Column) -> Column:
@@ -86,47 +82,41 @@ def role(title: Column, third: Column) -> Column:
 
 
 def turns(x: Column) -> Column:
-    """The speaker turns of a section, an array of (speaker, role, text); text before the first header is Unknown's."""
-    lines = F.split(x, "\n")
-
-    def header(line: Column) -> Column:
-        line = strip(line)
-        return line.rlike(P.OPERATOR_LINE) | (line.rlike(P.SPEAKER_LINE) & (F.length(line) < P.MAX_HEADER_CHARS))
+    """The speaker turns of a section, an array of (speaker, role, text); text before the first header is Unknown's.
 
-    def made(ls: Column) -> Column:
-        heads = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: header(F.get(ls, i))))
+    One split before all header lines gives the turns; what a header says is read once a turn."""
 
-        def turn(head: Column, k: Column) -> Column:
-            end = F.coalesce(F.get(heads, k + 1), F.size(ls))
-            line = strip(F.get(ls, F.greatest(head, F.lit(0))))
+    def turn(block: Column) -> Column:
+        def read(line: Column) -> Column:
+            headed, operator = block.rlike(STARTS_WITH_HEADER), line.rlike(P.OPERATOR_LINE)
             parts = F.transform(F.split(line, " -- "), strip)
-            operator = line.rlike(P.OPERATOR_LINE)
+            said = F.when(headed, F.substr(block, F.length(F.substring_index(block, "\n", 1)) + 2)).otherwise(block)
             return F.struct(
-                F.when(head < 0, "Unknown").when(operator, "Operator").otherwise(F.get(parts, F.lit(0))).alias("speaker"),
-                F.when(head < 0, "unknown").when(operator, "operator").otherwise(role(F.get(parts, F.lit(1)), F.get(parts, F.lit(2)))).alias("role"),
-                _join(ls, head + 1, end).alias("text"),
+                F.when(~headed, "Unknown").when(operator, "Operator").otherwise(F.get(parts, F.lit(0))).alias("speaker"),
+                F.when(~headed, "unknown").when(operator, "operator").otherwise(role(F.get(parts, F.lit(1)), F.get(parts, F.lit(2)))).alias("role"),
+                strip(said).alias("text"),
             )
 
-        return F.filter(F.transform(heads, turn), lambda t: t["text"] != "")
+        return F.get(F.transform(F.array(strip(F.substring_index(block, "\n", 1))), read), F.lit(0))
 
-    return F.transform(F.array(lines), made)[0]
+    return F.filter(F.transform(F.split(x, BEFORE_HEADER), turn), lambda t: t["text"] != "")
 
 
 def packed_sentences(x: Column, limit: int = P.MAX_TOKENS) -> Column:
-    """Chunks of whole sentences within limit estimated tokens; a longer sentence is a chunk of its own."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("tokens"), F.lit(False).alias("some"))
+    """Chunks of whole sentences within limit estimated tokens; a longer sentence is a chunk of its own.
+
+    The fold runs over sizes alone and notes where chunks start; their sentences are joined afterwards."""
+    start = F.struct(F.array(F.lit(0)).alias("at"), F.lit(0).alias("tokens"), F.lit(0).alias("n"))
 
-    def step(a: Column, s: Column) -> Column:
-        n = token_estimate(s)
-        full = a["some"] & (a["tokens"] + n > limit)
-        return F.struct(
-            F.when(full, F.array_append(a["done"], a["now"])).otherwise(a["done"]).alias("done"),
-            F.when(full | ~a["some"], s).otherwise(F.concat(a["now"], F.lit(" "), s)).alias("now"),
-            F.when(full, n).otherwise(a["tokens"] + n).alias("tokens"),
-            F.lit(True).alias("some"),
-        )
+    def step(a: Column, size: Column) -> Column:
+        full = (a["n"] > 0) & (a["tokens"] + size > limit)
+        return F.struct(F.when(full, F.array_append(a["at"], a["n"])).otherwise(a["at"]).alias("at"), F.when(full, size).otherwise(a["tokens"] + size).alias("tokens"), (a["n"] + 1).alias("n"))
 
-    return F.aggregate(sentences(x), start, step, lambda a: F.when(a["some"], F.array_append(a["done"], a["now"])).otherwise(a["done"]))
+    def pieces(parts: Column) -> Column:
+        starts = F.aggregate(F.transform(parts, token_estimate), start, step, lambda a: F.array_append(a["at"], a["n"]))
+        return F.get(F.transform(F.array(starts), lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda i, k: F.array_join(F.slice(parts, i + 1, F.get(at, k + 1) - i), " "))), F.lit(0))
+
+    return F.get(F.transform(F.array(sentences(x)), pieces), F.lit(0))
 
 
 def chunks_of_turns(said: Column, limit: int = P.MAX_TOKENS) -> Column:
@@ -164,23 +154,24 @@ def overlapping_chunks(x: pa.Array) -> pa.Array:
 
 
 def with_turns(df: DataFrame) -> DataFrame:
-    """A row for each section that isn't blank, with source_section and its turns; columns prepared_remarks and qa_session go."""
+    """A row for each section, with source_section and its turns (none for a blank one); prepared_remarks and qa_session go."""
     named = F.array(*[F.struct(F.lit(s).alias("source_section"), F.col(s).alias("section")) for s in ("prepared_remarks", "qa_session")])
-    rows = df.withColumn("__s", F.explode(named)).where(~is_blank(F.col("__s.section"))).drop("prepared_remarks", "qa_session")
-    return rows.select("*", F.col("__s.source_section").alias("source_section"), turns(cleaned(F.col("__s.section"))).alias("turns")).drop("__s").where(F.size("turns") > 0)
+    rows = df.withColumn("__s", F.explode(F.filter(named, lambda s: s["section"] != ""))).drop("prepared_remarks", "qa_session")
+    return rows.withColumn("source_section", F.col("__s.source_section")).withColumn("turns", turns(cleaned(F.col("__s.section")))).drop("__s")
 
 
 def chunk_transcripts(transcripts: DataFrame, limit: int = P.MAX_TOKENS) -> DataFrame:
-    """The chunks of both strategies, of the longest transcript of each (ticker, date)."""
+    """The chunks of both strategies, of the longest transcript of each (ticker, date).
+
+    Sections are read once: both strategies' chunks are arrays of one row, and one explode gives the rows."""
     ship(transcripts.sparkSession)
     said = with_turns(with_sections(longest_each(transcripts, ["ticker", "date"], "transcript_text")))
     keep = ["ticker", "date", "fiscal_quarter", "exchange", "source_section"]
-    plain = said.select(*keep, F.posexplode(chunks_of_turns(F.col("turns"), limit)).alias("chunk_index", "c"))
-    plain = plain.select(*keep, "c.speaker", "c.role", "c.chunk_text", "chunk_index", "c.chunk_token_count", F.lit(False).alias("overlap"))
-    whole = F.array_join(F.transform("turns", lambda t: t["text"]), " ")
-    over = said.select(*keep, whole.alias("whole")).select(*keep, F.posexplode(overlapping_chunks("whole")).alias("chunk_index", "c"))
-    over = over.select(*keep, F.lit("mixed").alias("speaker"), F.lit("mixed").alias("role"), "c.chunk_text", "chunk_index", "c.chunk_token_count", F.lit(True).alias("overlap"))
-    return plain.unionByName(over).select(*CHUNK_COLUMNS)
+    mixed = F.lit("mixed")
+    plain = F.transform(chunks_of_turns(F.col("turns"), limit), lambda c, k: F.struct(c["speaker"].alias("speaker"), c["role"].alias("role"), c["chunk_text"].alias("chunk_text"), k.alias("chunk_index"), c["chunk_token_count"].alias("chunk_token_count"), F.lit(False).alias("overlap")))
+    over = F.transform("__over", lambda c, k: F.struct(mixed.alias("speaker"), mixed.alias("role"), c["chunk_text"].alias("chunk_text"), k.alias("chunk_index"), c["chunk_token_count"].alias("chunk_token_count"), F.lit(True).alias("overlap")))
+    whole = said.withColumn("__over", overlapping_chunks(F.array_join(F.transform("turns", lambda t: t["text"]), " ")))
+    return whole.select(*keep, F.explode(F.concat(plain, over)).alias("c")).select(*keep, "c.*").select(*CHUNK_COLUMNS)
 
 
 def call_timing(raw: DataFrame) -> DataFrame:

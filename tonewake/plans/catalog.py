@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonewake.functions import text as X
 from tonewake.operators import features, market, reports, scoring, stats, transcripts, validate
 from tonewake.plans import tables as D
+from tonewake.plans import text_sql as Q
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -316,33 +317,26 @@ def timing_map(spark, sf_dir):
     return transcripts.call_timing(D.raw_calls(spark, sf_dir))
 
 
-@query(
-    f"""WITH {D.TRANSCRIPTS_SQL}, l AS (SELECT conv_id, string_split(transcript_text, chr(10)) AS ls FROM transcripts),
- f AS (SELECT conv_id, ls[1:coalesce(nullif(list_position(list_transform(ls, lambda x: regexp_matches(x, '^(Duration:\\s*\\d+|Call participants:|More \\w+ analysis|All earnings call transcripts)')), true), 0), len(ls) + 1) - 1] AS ls FROM l),
- b AS (SELECT conv_id, ls, CASE WHEN ls[1] = 'Prepared Remarks:' THEN 1 ELSE 0 END AS s FROM f),
- h AS (SELECT conv_id, ls, s, nullif(list_position(list_transform(ls, lambda x: x = 'Questions and Answers:'), true), 0) AS q, list_position(list_transform(ls[s + 11:], lambda x: regexp_matches(x, '^Jo Doe -- Any Bank -- Analyst$')), true) AS a FROM b),
- c AS (SELECT conv_id, ls, s, q, CASE WHEN q IS NULL AND a > 0 THEN a + s + 10 END AS a FROM h)
- SELECT conv_id, CAST(length(trim(array_to_string(ls[s + 1:coalesce(q, a, len(ls) + 1) - 1], chr(10)), ' ' || chr(10) || chr(9) || chr(13))) AS BIGINT) AS prepared_length, CAST(length(trim(array_to_string(ls[coalesce(q + 1, a, len(ls) + 1):], chr(10)), ' ' || chr(10) || chr(9) || chr(13))) AS BIGINT) AS qa_length FROM c"""
-)
+@query(Q.SECTIONS)
 def sections(spark, sf_dir):
     t = transcripts.with_sections(D.transcripts(spark, sf_dir))
     return rounded(t.select(F.col("ticker").cast("bigint").alias("conv_id"), F.length("prepared_remarks").alias("prepared_length"), F.length("qa_session").alias("qa_length")))
 
 
-@query()
+@query(Q.SPEAKERS)
 def speakers(spark, sf_dir):
     said = transcripts.with_turns(transcripts.with_sections(D.transcripts(spark, sf_dir)))
-    return said.select("ticker", "source_section", F.posexplode("turns").alias("turn", "t")).select("ticker", "source_section", "turn", "t.speaker", "t.role", F.length("t.text").alias("length"))
+    return rounded(said.select("ticker", "source_section", F.posexplode("turns").alias("turn", "t")).select("ticker", "source_section", "turn", "t.speaker", "t.role", F.length("t.text").alias("length")))
 
 
-@query()
+@query(Q.CLEAN)
 def clean_text(spark, sf_dir):
     return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(transcripts.cleaned(F.concat(F.lit("Thank you for joining.\n\n\n"), F.coalesce("text", F.lit(""))))).alias("clean_md5"))
 
 
-@query()
+@query(Q.CHUNKS)
 def chunks(spark, sf_dir):
-    return transcripts.chunk_transcripts(D.transcripts(spark, sf_dir))
+    return rounded(transcripts.chunk_transcripts(D.transcripts(spark, sf_dir)))
 
 
 @query("SELECT doc_id, greatest(1, CAST(round(length(text) / 4.5) AS BIGINT)) AS tokens, CAST(len(string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30))) AS BIGINT) AS n_sentences FROM documents")
@@ -351,15 +345,15 @@ def token_estimates(spark, sf_dir):
     return rounded(d.select("doc_id", X.token_estimate(F.col("text")).alias("tokens"), F.size(X.sentences(F.col("text"))).alias("n_sentences")))
 
 
-@query()
+@query(Q.NONOVERLAP)
 def chunks_nonoverlap(spark, sf_dir):
     said = F.array(F.struct(F.lit("A").alias("speaker"), F.lit("ceo").alias("role"), F.col("text")))
-    return D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(transcripts.chunks_of_turns(said)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.chunk_token_count", F.md5("c.chunk_text").alias("chunk_md5"))
+    return rounded(D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(transcripts.chunks_of_turns(said)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.chunk_token_count", F.md5("c.chunk_text").alias("chunk_md5")))
 
 
-@query()
+@query(Q.OVERLAP)
 def chunks_overlap(spark, sf_dir):
-    return D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(transcripts.overlapping_chunks("text")).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.chunk_token_count", F.md5("c.chunk_text").alias("chunk_md5"))
+    return rounded(D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(transcripts.overlapping_chunks("text")).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.chunk_token_count", F.md5("c.chunk_text").alias("chunk_md5")))
 
 
 _HITS = {k: "len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: list_contains(['" + "','".join(ws) + "'], x)))" for k, ws in (("p", ("the", "and", "of", "der", "la")), ("n", ("with", "from", "nicht", "pas", "no")))}
