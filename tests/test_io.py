@@ -2,7 +2,9 @@
 
 import pytest
 
-from tonewake.sources import io
+from tonewake.operators import scoring
+from tonewake.operators import transcripts as T
+from tonewake.sources import io, scratch
 from tonewake.streaming.scoring import TRANSCRIPTS, score_available
 
 RAW = [(["Jan. 31, 2019 11:00 a.m. ET"], "NYSE: GFF", " 2019-Q1 ", " gff ", "a\nQuestions and Answers:\nb"), (None, None, None, None, None)]
@@ -25,7 +27,8 @@ def test_scores(spark, tmp_path):
     io.write_scores(df, f"{tmp_path}/s", "lexicon", False)
     assert io.read_scores(spark, f"{tmp_path}/s").first()["neutral_prob"] is None
     assert io.read_scores(spark, f"{tmp_path}/s", ["ticker"]).columns == ["ticker"]
-    assert spark.read.json(f"{tmp_path}/s.meta.json").first()["chunk_count"] == 1
+    about = spark.read.json(f"{tmp_path}/s.meta.json").first()
+    assert (about["chunk_count"], about["batch_size"]) == (1, 32) and about["avg_batch_time_s"] > 0
     io.write_table(df.drop("neutral_prob"), f"{tmp_path}/t")
     with pytest.raises(ValueError):
         io.read_scores(spark, f"{tmp_path}/t")
@@ -44,6 +47,54 @@ def test_batches(spark, tmp_path):
         io.merge_batches(spark, path)
 
 
+def test_batches_go_on_where_they_stopped(spark, tmp_path):
+    df = spark.createDataFrame([(f"t{i}", None, "2020-Q1", "NYSE", f"Jo -- Treasurer\nStrong growth {i}.", False) for i in range(25)], TRANSCRIPTS).repartition(3)
+    ran = []
+
+    def score(part):
+        ran.append(part.count())
+        return scoring.score_chunks(T.chunk_transcripts(part))
+
+    path = f"{tmp_path}/batches"
+    assert tuple(io.score_batches(df.repartition(4), path, score, 10).first())[:2] == (25, 0) and ran == [10, 10, 5]
+    assert len({r["ticker"] for r in io.merge_batches(spark, path).select("ticker").collect()}) == 25
+    spark._jvm.java.io.File(f"{path}/start=10").renameTo(spark._jvm.java.io.File(f"{tmp_path}/away"))
+    io.score_batches(df, path, score, 10)
+    assert ran[3:] == [10] and io.merge_batches(spark, path).select("ticker").distinct().count() == 25
+    io.score_batches(df, path, score, 10, force=True)
+    assert ran[4:] == [10, 10, 5]
+    numbers = io.numbered(df, ["ticker"], per_part=4)
+    assert sorted(r["position"] for r in numbers.collect()) == list(range(25))
+
+
+def test_scratch(spark, monkeypatch):
+    kept = scratch.cut(spark.range(3), "a")
+    path = kept.scratch_path
+    assert kept.count() == 3 and scratch.exists(spark, path)
+    scratch.drop(kept)
+    assert not scratch.exists(spark, path)
+
+    class Unset:
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return False
+
+        def isLocal(self):
+            return False
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+        class sparkContext:  # noqa: N801
+            getConf = staticmethod(lambda: Session.conf)
+            _jsc = type("J", (), {"sc": staticmethod(Unset)})
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        scratch.shared_dir(Session)
+
+
 def test_prices(spark, tmp_path):
     spark.createDataFrame([("A", "2020-01-01", 1.0), ("A", "2020-01-01", 1.0), ("B", "2020-01-01", float("nan"))], "ticker string, day string, close double").write.parquet(f"{tmp_path}/p")
     assert {tuple(r) for r in io.read_prices(spark, f"{tmp_path}/p").select("ticker", "close").collect()} == {("A", 1.0), ("B", None)}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonewake.functions import tails
-from tonewake.operators import features, reports, scoring, stats, validate
+from tonewake.operators import features, ranks, reports, scoring, stats, validate
 
 
 @pytest.fixture(scope="module")
@@ -144,3 +144,37 @@ def test_validation_and_reports(spark):
     table = spark.createDataFrame([("a", 0.1), ("b", -0.5)], "feature string, r double").withColumn("target", F.lit("t"))
     assert reports.strongest(table, "r").first()["feature"] == "b"
     assert reports.heatmap(table, "r", ["t", "u"]).columns == ["feature", "t", "u"]
+
+
+def test_order_statistics_with_hot_values(spark):
+    rng = np.random.default_rng(8)
+    f = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 4000, p=[0.8, 0.19, 0.01]), "v": np.where(rng.random(4000) < 0.4, 7.0, rng.normal(size=4000) * 10.0 ** rng.integers(-3, 6, 4000))})
+    df = spark.createDataFrame(f).repartition(5).unionByName(spark.createDataFrame([("d", None), (None, 1.0)], "g string, v double"))
+    points = [0.0, 0.05, 0.25, 1 / 3, 0.5, 0.95, 1.0]
+    got = {r["g"]: r for r in ranks.quantiles(df, "v", points, ["g"]).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g, part in f.groupby("g"):
+        assert got[g]["n"] == len(part) and got[g]["edges"] == pytest.approx(np.quantile(part.v, points).tolist(), rel=1e-12)
+    whole = ranks.quantiles(df.where("g is not null"), "v", points).collect()
+    assert len(whole) == 1 and whole[0]["edges"] == pytest.approx(np.quantile(f.v, points).tolist(), rel=1e-12)
+    assert ranks.quantiles(df.where("1 = 0"), "v", points).count() == 0
+    ranked = ranks.average_ranks(df.dropna(), ["g"], "v", "r").toPandas()
+    want = f.assign(r=f.groupby("g").v.rank())
+    key = ["g", "v", "r"]
+    assert ranked[key].sort_values(key, ignore_index=True).equals(want[key].sort_values(key, ignore_index=True))
+
+
+def test_scoring_helpers(spark):
+    rows = spark.createDataFrame([([0.2, 0.5, 0.3], 600), ([0.1, 0.1, 0.8], 5)], "values array<double>, chunk_token_count int")
+    named = scoring.labelled(rows, {0: "neutral", 1: "Positive", 2: "negative"}).collect()
+    assert [named[0][c] for c in scoring.PROBABILITIES] == [0.5, 0.3, 0.2]
+    assert tuple(scoring.over_limit(rows).first()) == (1, 2)
+    assert scoring.seconds_per_chunk(spark.createDataFrame([("good",)], "chunk_text string")) > 0
+
+
+def test_models_and_pools(data):
+    _, df = data
+    made = stats.regression_table(df, ["y"], ["x"], ["z"])
+    assert sorted((r["model"], r["variable"]) for r in made.collect()) == [("A", "x"), ("B", "x")]
+    pools = stats.significance_pools(stats.correlations(df, ["x", "z"], ["y"]), made).collect()
+    assert {(r["pool"], r["n_tests"]) for r in pools} == {("correlation", 2), ("regression", 2)}

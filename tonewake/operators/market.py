@@ -1,7 +1,8 @@
 """Event windows, market-adjusted and beta-adjusted cumulative abnormal returns, over a long price table.
 
 prices: ticker, day, close.  The calendar numbers the benchmark's and all tickers' trading days; an event meets its first
-trading day by an equi join on civil days, so there is no range join but the beta's, which is keyed by ticker.
+trading day by an equi join on civil days, and lookbacks are differences of running sums, so there is no range join.  What is
+broadcast has a row for each trading or civil day: a few thousand.
 """
 
 from __future__ import annotations
@@ -50,17 +51,20 @@ def event_windows(started: DataFrame, windows=WINDOWS) -> DataFrame:
     return out
 
 
-def daily_returns(prices: DataFrame, cal: DataFrame, benchmark: DataFrame) -> DataFrame:
+def daily_returns(prices: DataFrame, cal: DataFrame, benchmark: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     """ticker, pos, close, market, stock_return, market_return: returns from the calendar's day before, null where a price is.
 
-    A row for every (ticker, trading day), so that a missing price is seen as one."""
-    market = benchmark.select("day", F.col("close").alias("market"))
-    days = cal.join(F.broadcast(market), "day", "left")
-    span = prices.select("ticker").distinct().withColumn("__k", F.lit(1)).join(F.broadcast(days.withColumn("__k", F.lit(1))), "__k").drop("__k")
-    dense = span.join(prices, ["ticker", "day"], "left")
+    A row for each trading day from a ticker's first price to lookback days after its last, so that a missing price is seen as
+    one and a lookback that ends later finds its days.  All joins are by equality; each ticker makes its own days."""
+    days = cal.join(benchmark.select("day", F.col("close").alias("market")), "day", "left")
+    at = F.broadcast(days.select("day", "pos"))  # a row for each trading day
+    own = prices.join(at, "day").select("ticker", "pos", "close")
+    ends = own.groupBy("ticker").agg(F.min("pos").alias("__first"), F.max("pos").alias("__until")).crossJoin(F.broadcast(cal.agg(F.max("pos").alias("__last"))))  # one row
+    grid = ends.select("ticker", F.explode(F.sequence("__first", F.least(F.col("__until") + lookback + 1, F.col("__last")))).alias("pos"))
+    dense = grid.join(F.broadcast(days.select("pos", "market")), "pos").join(own, ["ticker", "pos"], "left")
     before = Window.partitionBy("ticker").orderBy("pos")
-    change = lambda c: F.try_divide(F.col(c) - F.lag(c).over(before), F.lag(c).over(before))
-    return dense.select("ticker", "pos", "close", "market", change("close").alias("stock_return"), change("market").alias("market_return"))
+    last_close, last_market = F.lag("close").over(before), F.lag("market").over(before)
+    return dense.select("ticker", "pos", "close", "market", F.try_divide(F.col("close") - last_close, last_close).alias("stock_return"), F.try_divide(F.col("market") - last_market, last_market).alias("market_return"))
 
 
 def abnormal_returns(started: DataFrame, daily: DataFrame, windows=WINDOWS) -> DataFrame:
@@ -75,19 +79,32 @@ def abnormal_returns(started: DataFrame, daily: DataFrame, windows=WINDOWS) -> D
     return started.join(cars, ["ticker", "start_pos"], "left")
 
 
-def betas(started: DataFrame, daily: DataFrame, lookback: int = LOOKBACK, windows=(1,)) -> DataFrame:
-    """beta for each distinct (ticker, start_pos): slope of stock on market returns over the lookback before it.
-
-    Returns are between days that both have prices, so they may span gaps; fewer than MIN_BETA_DAYS such days give none."""
-    starts = started.where(F.col("start_pos") + min(windows) - 1 <= F.col("last_pos")).select("ticker", "start_pos").distinct()
-    span = starts.where(F.col("start_pos") - 1 - lookback >= 1)
-    common = daily.where("close is not null and market is not null").select("ticker", "pos", "close", "market")
-    near = span.join(common, "ticker").where(F.col("pos").between(F.col("start_pos") - 1 - lookback, F.col("start_pos") - 1))
-    w = Window.partitionBy("ticker", "start_pos").orderBy("pos")
-    change = lambda c: F.try_divide(F.col(c) - F.lag(c).over(w), F.lag(c).over(w))
-    slopes = near.select("ticker", "start_pos", change("close").alias("s"), change("market").alias("m")).groupBy("ticker", "start_pos")
-    found = slopes.agg(F.count("*").alias("days"), F.regr_slope("s", "m").alias("beta"))
-    return found.where(F.col("days") >= MIN_BETA_DAYS).select("ticker", "start_pos", "beta")
+def betas(daily: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
+    """ticker, start_pos, beta for every position that has one: the slope of stock on market returns over the lookback before it.
+
+    Returns are between days that both have prices, so they may span gaps; fewer than MIN_BETA_DAYS such days give none.
+
+    Running sums over a ticker's days give every lookback's moments as a difference of two rows, so no event meets its days:
+    the sums up to the last day, less those up to the lookback's first day with both prices, whose own return reaches
+    further back.  Sums are of returns less nothing, a few thousand terms at most, so the differences keep their digits."""
+    of_ticker = Window.partitionBy("ticker")
+    forward, backward = of_ticker.orderBy("pos"), of_ticker.orderBy(F.col("pos").desc())
+    both = F.col("close").isNotNull() & F.col("market").isNotNull()
+    marked = daily.select("ticker", "pos", *[F.when(both, F.col(c)).alias(f"__{c}") for c in ("close", "market")])
+    earlier = {c: F.last(f"__{c}", ignorenulls=True).over(forward.rowsBetween(Window.unboundedPreceding, -1)) for c in ("close", "market")}
+    steps = marked.select("ticker", "pos", F.col("__close").isNotNull().alias("__both"), *[F.when(F.col(f"__{c}").isNotNull(), F.try_divide(F.col(f"__{c}") - earlier[c], earlier[c])).alias(f"__{k}") for k, c in (("s", "close"), ("m", "market"))])
+    pair = F.col("__s").isNotNull() & F.col("__m").isNotNull()
+    terms = {"days": F.col("__both").cast("double"), "n": pair.cast("double"), "s": F.col("__s"), "m": F.col("__m"), "sm": F.col("__s") * F.col("__m"), "mm": F.col("__m") * F.col("__m")}
+    running = steps.select("ticker", "pos", "__both", F.struct(*[F.sum(F.when(F.col("__both") if k == "days" else pair, v).otherwise(0.0)).over(forward).alias(k) for k, v in terms.items()]).alias("__to"))
+    ahead = running.withColumn("__from", F.last(F.when(F.col("__both"), F.struct("pos", "__to")), ignorenulls=True).over(backward))
+    span = ahead.withColumn("__first", F.lag("__from", lookback).over(forward)).where((F.col("pos") - lookback >= 1) & (F.col("__first.pos") <= F.col("pos")))
+    # lookbacks that begin before the ticker's first row begin at that row
+    opening = F.first("__from").over(forward)
+    early = ahead.withColumn("__first", opening).withColumn("__row", F.row_number().over(forward)).where((F.col("__row") <= lookback) & (F.col("pos") - lookback >= 1)).drop("__row")
+    sums = {k: F.col(f"__to.{k}") - F.col(f"__first.__to.{k}") for k in terms}
+    all_spans = span.unionByName(early).select("ticker", (F.col("pos") + 1).alias("start_pos"), *[v.alias(k) for k, v in sums.items()])
+    slope = F.try_divide(F.col("sm") - F.col("s") * F.col("m") / F.col("n"), F.col("mm") - F.col("m") * F.col("m") / F.col("n"))
+    return all_spans.where(F.col("days") + 1 >= MIN_BETA_DAYS).select("ticker", "start_pos", slope.alias("beta"))
 
 
 def beta_abnormal_returns(started: DataFrame, daily: DataFrame, lookback: int = LOOKBACK, windows=WINDOWS) -> DataFrame:
@@ -100,6 +117,8 @@ def beta_abnormal_returns(started: DataFrame, daily: DataFrame, lookback: int =
         whole = F.count(complete).over(frame) == w
         cols += [F.when(whole, F.sum("stock_return").over(frame)).alias(f"__s{w}"), F.when(whole, F.sum("market_return").over(frame)).alias(f"__m{w}")]
     sums = daily.select("ticker", F.col("pos").alias("start_pos"), *cols)
-    joined = started.join(betas(started, daily, lookback, windows), ["ticker", "start_pos"], "left").join(sums, ["ticker", "start_pos"], "left")
+    reaches = F.col("start_pos") + min(windows) - 1 <= F.col("last_pos")
+    table = sums.join(betas(daily, lookback), ["ticker", "start_pos"], "full")
+    joined = started.join(table, ["ticker", "start_pos"], "left").withColumn("beta", F.when(reaches, F.col("beta")))
     out = reduce(lambda d, w: d.withColumn(f"beta_CAR_{w}d", F.col(f"__s{w}") - F.col("beta") * F.col(f"__m{w}")), windows, joined)
     return out.withColumn("beta", F.round("beta", 4)).drop(*[f"__{k}{w}" for k in "sm" for w in windows])

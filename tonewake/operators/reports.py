@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewake.functions.text import quarter_label
+from tonewake.operators import ranks
 
 
 def per_group(df: DataFrame, *keys: str) -> DataFrame:
@@ -29,11 +32,33 @@ def histogram(df: DataFrame, column: str, low: float, width: float) -> DataFrame
     return df.where(F.col(column).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n")).withColumn("bin_start", F.lit(low) + F.col("bin") * width)
 
 
-def distribution(df: DataFrame, column: str) -> DataFrame:
-    """Mean, deviation and interpolated percentiles 5, 25, 50, 75, 95."""
-    q = F.percentile(column, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    got = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), q.alias("q"))
-    return got.select("n", "mean", "std", *[F.col("q")[i].alias(f"p{p:02d}") for i, p in enumerate((5, 25, 50, 75, 95))])
+def distribution(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Count, mean, deviation and interpolated percentiles 5, 25, 50, 75, 95 of a column; of each group where by is given."""
+    points = (0.05, 0.25, 0.5, 0.75, 0.95)
+    middle = ranks.quantiles(df, column, points, by).drop("n")
+    plain = df.dropna(subset=[*by]) if by else df
+    got = plain.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
+    joined = got.join(middle, list(by), "left") if by else got.join(F.broadcast(middle), F.lit(True), "left")  # one row each
+    return joined.select(*by, "n", "mean", "std", *[F.col("edges")[i].alias(f"p{int(p * 100):02d}") for i, p in enumerate(points)])
+
+
+def overview(df: DataFrame, correlation: DataFrame, unlisted: int = 0) -> DataFrame:
+    """One row: transcripts (with those that never became events), companies, first and last year, the strongest rank correlation."""
+    top = strongest(correlation, "spearman_r").select(F.col("feature").alias("top_feature"), F.col("target").alias("top_target"), "spearman_r")
+    counts = df.agg((F.count("ticker") + unlisted).alias("n_transcripts"), F.countDistinct("ticker").alias("n_companies"), F.year(F.min("date")).alias("first_year"), F.year(F.max("date")).alias("last_year"))
+    return counts.join(F.broadcast(top), F.lit(True), "left")  # one row each
+
+
+def chunk_counts(scores: DataFrame) -> DataFrame:
+    """For each section: transcripts that have it, and the median and mean of their chunks."""
+    per = scores.groupBy("ticker", "date", "source_section").agg(F.count("*").alias("chunks"))
+    middle = ranks.quantiles(per, "chunks", [0.5], ["source_section"]).select("source_section", F.get("edges", F.lit(0)).alias("median"))
+    return per.groupBy("source_section").agg(F.count("*").alias("n"), F.avg("chunks").alias("mean")).join(middle, "source_section").select("source_section", "n", "median", "mean")
+
+
+def company_bars(df: DataFrame, ticker: str, window: str) -> DataFrame:
+    """The company's events that have the window's return, in order, with its sign."""
+    return timeline(df.where(F.col(window).isNotNull()), ticker).select("date", F.col(window).alias("car"), (F.col(window) >= 0).alias("gain"))
 
 
 def heatmap(correlation: DataFrame, value: str, targets: list[str]) -> DataFrame:
@@ -63,7 +88,3 @@ def timeline(df: DataFrame, ticker: str, newest_first: bool = False) -> DataFram
 def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
     """n rows that every run picks alike."""
     return df.orderBy(F.xxhash64(key), key).limit(n)
-
-
-def ranked_last(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("__r = 1").drop("__r")

@@ -6,15 +6,16 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewake.functions.tails import correlation_p, normal_two_sided, t_two_sided
+from tonewake.operators import ranks
 
 SENTIMENT_FEATURES = ["net_sentiment", "sentiment_delta", "qa_divergence", "ceo_sentiment", "analyst_tone", "sentiment_variance", "negative_chunk_pct"]
 REDUCED_FEATURES = ["sentiment_delta", "qa_divergence", "analyst_tone"]
 CAR_COLUMNS = ["CAR_1d", "CAR_3d", "CAR_5d"]
-MIN_PAIRS, MIN_PERIOD, MIN_SECTOR, MIN_TRAIN, MIN_TEST = 30, 50, 100, 100, 50
+MIN_PAIRS, MIN_PERIOD, MIN_SECTOR, MIN_TRAIN, MIN_TEST, MIN_RANGE = 30, 50, 100, 100, 50, 200
 GAP, VIF_LIMIT = 0.02, 5.0
 
 
@@ -29,20 +30,16 @@ def pearson(pairs: DataFrame) -> DataFrame:
 
 
 def average_ranks(pairs: DataFrame) -> DataFrame:
-    """x and y replaced by their average ranks within (feature, target).
-
-    Ranks come from counts of distinct values, so that ties are summed before any sort and one group's rows needn't meet."""
-    out = pairs
-    for c in ("x", "y"):
-        counts = out.groupBy("feature", "target", c).agg(F.count("*").alias("__n"))
-        w = Window.partitionBy("feature", "target").orderBy(c)
-        ranks = counts.withColumn(f"__{c}", F.sum("__n").over(w) - (F.col("__n") - 1) / 2).drop("__n")
-        out = out.join(ranks, ["feature", "target", c])
-    return out.select("feature", "target", F.col("__x").cast("double").alias("x"), F.col("__y").cast("double").alias("y"))
+    """pair (a number for each feature and target), x and y: the values' average ranks within the pair; see ranks.average_ranks."""
+    numbered = pairs.select(F.xxhash64("feature", "target").alias("pair"), "x", "y")
+    both = ranks.average_ranks(ranks.average_ranks(numbered, ["pair"], "x", "__x"), ["pair"], "y", "__y")
+    return both.select("pair", F.col("__x").alias("x"), F.col("__y").alias("y"))
 
 
 def spearman(pairs: DataFrame) -> DataFrame:
-    return average_ranks(pairs).groupBy("feature", "target").agg(F.count("*").alias("n"), F.corr("x", "y").alias("spearman_r"))
+    names = pairs.select("feature", "target").distinct().withColumn("pair", F.xxhash64("feature", "target"))
+    found = average_ranks(pairs).groupBy("pair").agg(F.count("*").alias("n"), F.corr("x", "y").alias("spearman_r"))
+    return found.join(names, "pair").select("feature", "target", "n", "spearman_r")
 
 
 def correlations(df: DataFrame, features: Sequence[str] = SENTIMENT_FEATURES, targets: Sequence[str] = CAR_COLUMNS, least: int = MIN_PAIRS) -> DataFrame:
@@ -61,8 +58,8 @@ def correlations(df: DataFrame, features: Sequence[str] = SENTIMENT_FEATURES, ta
 
 def bonferroni(df: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
     """Adds n_tests (all rows), threshold and significant (p strictly below it)."""
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    return df.withColumn("n_tests", n).withColumn("threshold", F.round(F.lit(alpha) / F.col("n_tests"), 8)).withColumn("significant", F.col(p) < F.lit(alpha) / F.col("n_tests"))
+    counted = df.crossJoin(F.broadcast(df.agg(F.count("*").alias("n_tests"))))  # one row
+    return counted.withColumn("threshold", F.round(F.lit(alpha) / F.col("n_tests"), 8)).withColumn("significant", F.col(p) < F.lit(alpha) / F.col("n_tests"))
 
 
 # --- least squares
@@ -104,7 +101,8 @@ def regression(df: DataFrame, target: str, features: Sequence[str], controls: Se
     x = [F.col("x")[i] for i in range(k)]
     fit: Column = sum((F.lit(float(b)) * v for b, v in zip(beta, x, strict=True)), F.lit(0.0))
     lever: Column = sum((F.lit(float(inverse[i, j] * (1 if i == j else 2))) * x[i] * x[j] for i in range(k) for j in range(i, k)), F.lit(0.0))
-    scored = rows.withColumn("w", F.pow(F.try_divide(F.col("y") - fit, 1 - lever), 2))
+    # a row that its own dummy fits has leverage 1 and no residual, so 0 / 0: it tells nothing of the errors
+    scored = rows.withColumn("__room", 1 - lever).withColumn("w", F.when(F.col("__room") > 1e-9, F.pow((F.col("y") - fit) / F.col("__room"), 2)).otherwise(0.0))
     cells = [(i, j) for i in range(k) for j in range(i, k)]
     r = scored.agg(*[F.sum(F.col("w") * x[i] * x[j]) for i, j in cells]).first()
     meat = np.zeros((k, k))
@@ -127,30 +125,20 @@ def regression(df: DataFrame, target: str, features: Sequence[str], controls: Se
 # --- quantiles
 
 
-def _fractions(n: int) -> Column:
-    return F.array(*[F.lit(i / n) for i in range(n + 1)])
-
-
 def edges(df: DataFrame, feature: str, n: int, by: str | None = None) -> DataFrame:
-    """Interpolated quantile edges; of each group where by is given."""
-    e = F.percentile(feature, _fractions(n)).alias("edges")
-    return df.groupBy(by).agg(e) if by else df.agg(e)
+    """Interpolated quantile edges, with the number of rows; of each group where by is given."""
+    return ranks.quantiles(df, feature, [i / n for i in range(n + 1)], [by] if by else [])
 
 
 def bin_of(x: Column, bounds: Column, n: int) -> Column:
     """Right-closed bins 1 to n; values beyond the ends go to the end bins."""
-    inner = F.slice(bounds, 2, n - 1)
-    return (F.lit(1) + F.size(F.filter(inner, lambda e: e < x))).cast("int")
+    return sum(((F.get(bounds, F.lit(k)) < x).cast("int") for k in range(1, n)), F.lit(1))
 
 
 def binned(df: DataFrame, feature: str, target: str, n: int = 4, by: str | None = None, least: int = 0) -> DataFrame:
     """Complete rows with their quantile, of the whole or of each group; groups with too few rows or equal edges are left out."""
     rows = df.dropna(subset=[feature, target, *([by] if by else [])])
-    table = edges(rows, feature, n, by) if by else edges(rows, feature, n)
-    if by:
-        sizes = rows.groupBy(by).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(by)
-        table = table.join(sizes, by)
-    table = table.where(F.size(F.array_distinct("edges")) == n + 1)
+    table = edges(rows, feature, n, by).where((F.col("n") >= least) & (F.size(F.array_distinct("edges")) == n + 1)).drop("n")
     joined = rows.join(table, by) if by else rows.crossJoin(F.broadcast(table))  # one row of edges
     return joined.withColumn("quantile", bin_of(F.col(feature).cast("double"), F.col("edges"), n)).drop("edges")
 
@@ -158,11 +146,14 @@ def binned(df: DataFrame, feature: str, target: str, n: int = 4, by: str | None
 def quantile_summary(df: DataFrame, feature: str, target: str, n: int = 4) -> DataFrame:
     """Size, mean, deviation, least, median and greatest target of each quantile.  Equal edges raise, as there are no n bins."""
     rows = df.dropna(subset=[feature, target])
-    found = edges(rows, feature, n).first()[0]
-    if found is not None and len(set(found)) != n + 1:
+    found = edges(rows, feature, n).first()
+    if found is not None and len(set(found["edges"])) != n + 1:
         raise ValueError("quantile edges are not distinct")
+    placed = rows.withColumn("quantile", bin_of(F.col(feature).cast("double"), F.array(*[F.lit(e) for e in found["edges"]]), n)) if found else binned(df, feature, target, n)
     t = F.col(target)
-    return binned(df, feature, target, n).groupBy("quantile").agg(F.count("*").alias("n"), F.avg(t).alias("mean"), F.stddev_samp(t).alias("std"), F.min(t).alias("min"), F.median(t).alias("median"), F.max(t).alias("max"))
+    plain = placed.groupBy("quantile").agg(F.count("*").alias("n"), F.avg(t).alias("mean"), F.stddev_samp(t).alias("std"), F.min(t).alias("min"), F.max(t).alias("max"))
+    middle = ranks.quantiles(placed, target, [0.5], ["quantile"]).select("quantile", F.get("edges", F.lit(0)).alias("median"))
+    return plain.join(middle, "quantile").select("quantile", "n", "mean", "std", "min", "median", "max")
 
 
 def welch(top_mean, top_var, top_n, low_mean, low_var, low_n) -> tuple[Column, Column]:
@@ -202,22 +193,53 @@ def spread_by_sector(df: DataFrame, feature: str, target: str, sector: str = "se
     return out.withColumn("n_events", F.col("n_rows")).orderBy(F.col("spread").desc(), sector)
 
 
+def sector_spread_in_years(df: DataFrame, feature: str, target: str, first: int, last: int, least: int = MIN_RANGE) -> DataFrame:
+    """Sectors' spreads over the years first to last, inclusive; no rows where fewer than least complete rows are in them."""
+    chosen = df.where(F.year("date").between(first, last) & F.col("sector").isNotNull())
+    enough = chosen.dropna(subset=[feature, target]).agg((F.count("*") >= least).alias("__enough"))
+    return spread_by_sector(chosen.crossJoin(F.broadcast(enough)).where("__enough").drop("__enough"), feature, target)  # one row
+
+
+def regression_table(df: DataFrame, targets: Sequence[str] = CAR_COLUMNS, features: Sequence[str] = REDUCED_FEATURES, controls: Sequence[str] = ("log_market_cap",)) -> DataFrame:
+    """target, model (A without controls, B with), variable, coef, p_value: the features' rows of each regression."""
+    rows = []
+    for target in targets:
+        for model, more in (("A", ()), ("B", controls)):
+            for r in regression(df, target, features, more)["table"].collect():  # a row for each variable
+                if r["variable"] in features:
+                    rows.append((target, model, r["variable"], r["coef"], r["p_value"]))
+    return df.sparkSession.createDataFrame(rows, "target string, model string, variable string, coef double, p_value double")
+
+
+def significance_pools(correlation: DataFrame, regressions: DataFrame) -> DataFrame:
+    """pool, name, p_value and Bonferroni's columns: rank correlations and regression coefficients, each a pool of its own."""
+    one = correlation.select(F.concat_ws("/", "feature", "target").alias("name"), F.col("spearman_p").alias("p_value"))
+    two = regressions.select(F.concat_ws("/", "variable", "target", "model").alias("name"), "p_value")
+    pools = [bonferroni(d).withColumn("pool", F.lit(p)) for p, d in (("correlation", one), ("regression", two))]
+    return pools[0].unionByName(pools[1])
+
+
 def out_of_sample(df: DataFrame, feature: str, target: str, train: Column, n: int = 4) -> DataFrame:
     """The other rows in the training rows' bins."""
     rows = df.dropna(subset=[feature, target])
     sizes = rows.agg(F.sum(F.when(train, 1).otherwise(0)), F.sum(F.when(train, 0).otherwise(1))).first()
     if (sizes[0] or 0) < MIN_TRAIN or (sizes[1] or 0) < MIN_TEST:
         raise ValueError(f"{sizes[0] or 0} training and {sizes[1] or 0} test rows")
-    table = edges(rows.where(train), feature, n)
+    table = edges(rows.where(train), feature, n).select("edges")
     return rows.where(~train).crossJoin(F.broadcast(table)).withColumn("quantile", bin_of(F.col(feature).cast("double"), F.col("edges"), n)).drop("edges")
 
 
-def robustness(df: DataFrame, overlap_features: DataFrame) -> dict:
-    """Market- against beta-adjusted regressions, and the rank correlations of both chunking strategies with the 3-day return."""
-    reduced = [c for c in REDUCED_FEATURES if c in df.columns]
-    plain, adjusted = (regression(df, t, reduced) for t in ("CAR_3d", "beta_CAR_3d"))
+def strategy_robustness(df: DataFrame, overlap_features: DataFrame) -> DataFrame:
+    """feature, nonoverlap_r, overlap_r, difference: both chunking strategies' rank correlations with the 3-day return."""
     left = spearman(long_pairs(df, SENTIMENT_FEATURES, ["CAR_3d"])).where(F.col("n") >= MIN_PAIRS)
     joined = overlap_features.join(df.select("ticker", "date", "CAR_3d"), ["ticker", "date"])
     right = spearman(long_pairs(joined, SENTIMENT_FEATURES, ["CAR_3d"])).where(F.col("n") >= MIN_PAIRS)
     both = left.select("feature", F.col("spearman_r").alias("nonoverlap_r")).join(right.select("feature", F.col("spearman_r").alias("overlap_r")), "feature")
-    return {"market": plain, "beta": adjusted, "strategies": both.withColumn("difference", F.col("overlap_r") - F.col("nonoverlap_r"))}
+    return both.withColumn("difference", F.col("overlap_r") - F.col("nonoverlap_r"))
+
+
+def robustness(df: DataFrame, overlap_features: DataFrame) -> dict:
+    """Market- against beta-adjusted regressions, and strategy_robustness()."""
+    reduced = [c for c in REDUCED_FEATURES if c in df.columns]
+    plain, adjusted = (regression(df, t, reduced) for t in ("CAR_3d", "beta_CAR_3d"))
+    return {"market": plain, "beta": adjusted, "strategies": strategy_robustness(df, overlap_features)}

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tonewake.functions import text as X
 from tonewake.operators import features, market, reports, scoring, stats, transcripts, validate
+from tonewake.plans import analysis as A
 from tonewake.plans import tables as D
 from tonewake.plans import text_sql as Q
+from tonewake.sources.scratch import cut
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -72,8 +74,7 @@ def strategy_split(spark, sf_dir):
 
 # --- returns
 
-_CAR = ", ".join(f"CASE WHEN count(s - m) OVER f{w} = {w} THEN sum(s - m) OVER f{w} END AS car_{w}" for w in market.WINDOWS)
-_FRAMES = ", ".join(f"f{w} AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)" for w in market.WINDOWS)
+_CAR, _FRAMES = A.CAR_SQL, A.FRAMES_SQL
 
 
 @query(f"WITH {D.MARKET_SQL} SELECT ticker, day, round(close, 9) AS close FROM prices")
@@ -88,7 +89,7 @@ def calendar(spark, sf_dir):
 
 
 def _started(spark, sf_dir):
-    p = D.prices(spark, sf_dir)
+    p = cut(D.prices(spark, sf_dir), "prices")  # read by the calendar, the benchmark and the returns
     return market.with_start(D.calls(spark, sf_dir), market.calendar(p)), p
 
 
@@ -115,11 +116,8 @@ def car(spark, sf_dir):
 
 @query(
     f"""WITH {D.MARKET_SQL},
- near AS (SELECT e.ticker, e.start_pos, d.pos, d.close, d.market FROM (SELECT DISTINCT ticker, start_pos FROM started WHERE start_pos - 121 >= 1) e JOIN dense d ON d.ticker = e.ticker AND d.pos BETWEEN e.start_pos - 121 AND e.start_pos - 1 AND d.close IS NOT NULL AND d.market IS NOT NULL),
- steps AS (SELECT ticker, start_pos, (close - lag(close) OVER w) / lag(close) OVER w AS s, (market - lag(market) OVER w) / lag(market) OVER w AS m FROM near WINDOW w AS (PARTITION BY ticker, start_pos ORDER BY pos)),
- betas AS (SELECT ticker, start_pos, regr_slope(s, m) AS beta FROM steps GROUP BY 1, 2 HAVING count(*) >= 30),
- sums AS (SELECT ticker, pos, """
-    + ", ".join(f"CASE WHEN count(s - m) OVER f{w} = {w} THEN sum(s) OVER f{w} END AS s{w}, CASE WHEN count(s - m) OVER f{w} = {w} THEN sum(m) OVER f{w} END AS m{w}" for w in market.WINDOWS)
+ {A.BETAS_SQL},
+ sums AS (SELECT ticker, pos, {A.SUMS_SQL}"""
     + f" FROM daily WINDOW {_FRAMES}) SELECT event_id, round(beta, 4) AS beta, "
     + ", ".join(f"round(s{w} - beta * m{w}, 6) AS beta_CAR_{w}d" for w in market.WINDOWS)
     + " FROM started LEFT JOIN betas ON started.ticker = betas.ticker AND started.start_pos = betas.start_pos LEFT JOIN sums ON started.ticker = sums.ticker AND started.start_pos = sums.pos"
@@ -137,12 +135,75 @@ def car_completeness(spark, sf_dir):
     return rounded(reports.completeness(market.abnormal_returns(started, daily), ["CAR_1d", "CAR_3d", "CAR_5d"]))
 
 
-@query("SELECT o_orderkey AS event_id, c_mktsegment AS sector, round(c_acctbal, 6) AS market_cap, round(CASE WHEN c_acctbal > 0 THEN ln(c_acctbal) END, 6) AS log_market_cap FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+@query(A.READY)
+def analysis_ready(spark, sf_dir):
+    return A.shown(A.ready(spark, sf_dir))
+
+
+@query(f"WITH {A.ANALYSIS} SELECT ticker, date, sector, round(market_cap, 6) AS market_cap, round(log_market_cap, 6) AS log_market_cap, round(CAR_3d, 6) AS CAR_3d FROM ready")
 def company_join(spark, sf_dir):
-    company = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), F.col("c_acctbal").alias("market_cap"), F.col("c_mktsegment").alias("sector"))
-    f = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("date"))
-    timing = f.select("ticker", F.col("date").alias("call_date"), F.lit(True).alias("after_close")).limit(0)
-    return rounded(features.analysis_ready(f, timing, lambda d: d, company).select("event_id", "sector", "market_cap", "log_market_cap"))
+    return A.shown(A.ready(spark, sf_dir)).select("ticker", "date", "sector", "market_cap", "log_market_cap", "CAR_3d")
+
+
+@query(f"WITH {A.ANALYSIS}, c AS ({A.correlations_sql('ready', stats.SENTIMENT_FEATURES, stats.CAR_COLUMNS)}) SELECT (SELECT count(ticker) FROM ready) + 1213 AS n_transcripts, (SELECT count(DISTINCT ticker) FROM ready) AS n_companies, (SELECT year(min(date)) FROM ready) AS first_year, (SELECT year(max(date)) FROM ready) AS last_year, feature AS top_feature, target AS top_target, spearman_r FROM c ORDER BY abs(spearman_r) DESC, feature, target LIMIT 1")
+def overview(spark, sf_dir):
+    df = A.ready(spark, sf_dir)
+    return rounded(reports.overview(df, stats.correlations(df), 1213))
+
+
+@query(f"WITH {A.ANALYSIS} {A.correlations_sql('ready', stats.SENTIMENT_FEATURES, stats.CAR_COLUMNS)}")
+def signal_correlations(spark, sf_dir):
+    return stats.correlations(A.ready(spark, sf_dir))
+
+
+@query(f"WITH {A.ANALYSIS} SELECT date, round(CAR_3d, 6) AS car, CAR_3d >= 0 AS gain FROM ready WHERE ticker = 'T7' AND CAR_3d IS NOT NULL")
+def company_bars(spark, sf_dir):
+    return rounded(reports.company_bars(A.ready(spark, sf_dir), "T7", "CAR_3d"))
+
+
+_SECTOR_RANGE = f"rows AS (SELECT sentiment_delta AS feature, CAR_1d AS target, sector FROM ready WHERE year(date) BETWEEN 1996 AND 1998 AND sector IS NOT NULL AND sentiment_delta IS NOT NULL AND CAR_1d IS NOT NULL)"
+
+
+@query(f"WITH {A.ANALYSIS}, {_SECTOR_RANGE}, edges AS (SELECT sector, quantile_cont(feature, 0.25) AS e1, quantile_cont(feature, 0.5) AS e2, quantile_cont(feature, 0.75) AS e3 FROM rows GROUP BY 1), b AS (SELECT rows.*, 1 + (e1 < feature)::INT + (e2 < feature)::INT + (e3 < feature)::INT AS q FROM rows JOIN edges ON rows.sector = edges.sector) SELECT sector, count(*) AS n_events, round(avg(target) FILTER (q = 4) - avg(target) FILTER (q = 1), 6) AS spread FROM b WHERE (SELECT count(*) FROM rows) >= 200 GROUP BY 1 HAVING count(*) >= 100")
+def sector_in_range(spark, sf_dir):
+    return rounded(stats.sector_spread_in_years(A.ready(spark, sf_dir), "sentiment_delta", "CAR_1d", 1996, 1998).select("sector", "n_events", "spread"))
+
+
+@query(f"WITH {A.ANALYSIS}, one AS ({A.ranks_sql('ready', stats.SENTIMENT_FEATURES, 'CAR_3d')}), both_ AS (SELECT wide.*, CAR_3d FROM wide JOIN ready ON wide.ticker = ready.ticker AND wide.date = ready.date), two AS ({A.ranks_sql('both_', stats.SENTIMENT_FEATURES, 'CAR_3d')}) SELECT one.feature, round(one.spearman_r, 6) AS nonoverlap_r, round(two.spearman_r, 6) AS overlap_r, round(two.spearman_r - one.spearman_r, 6) AS difference FROM one JOIN two ON one.feature = two.feature WHERE one.n >= 30 AND two.n >= 30")
+def robustness(spark, sf_dir):
+    wide = features.feature_matrix(D.analysis_scores(spark, sf_dir).where("overlap"))
+    return rounded(stats.strategy_robustness(A.ready(spark, sf_dir), wide))
+
+
+def _gain_models(spark, sf_dir):
+    df = A.ready(spark, sf_dir)
+    return stats.regression_table(df, stats.CAR_COLUMNS, ["sentiment_delta"], ["log_market_cap"])
+
+
+@query(f"WITH {A.ANALYSIS}, " + ", ".join(f"x{w} AS (WITH {A.hc3_sql(f'SELECT CAR_{w}d AS y, sentiment_delta AS a, log_market_cap AS b, sector AS s FROM ready WHERE CAR_{w}d IS NOT NULL AND sentiment_delta IS NOT NULL AND log_market_cap IS NOT NULL AND sector IS NOT NULL', 'sentiment_delta', 'log_market_cap')})" for w in market.WINDOWS) + " " + " UNION ALL ".join(f"SELECT 'CAR_{w}d' AS target, coef, p_value FROM x{w} WHERE variable = 'sentiment_delta'" for w in market.WINDOWS))
+def regression_models(spark, sf_dir):
+    return rounded(_gain_models(spark, sf_dir).where("model = 'B'").select("target", "coef", "p_value"))
+
+
+@query(f"WITH {A.ANALYSIS}, c AS ({A.correlations_sql('ready', stats.SENTIMENT_FEATURES, stats.CAR_COLUMNS)}), " + ", ".join(f"x{w} AS (WITH {A.hc3_sql(f'SELECT CAR_{w}d AS y, sentiment_delta AS a, log_market_cap AS b, sector AS s FROM ready WHERE CAR_{w}d IS NOT NULL AND sentiment_delta IS NOT NULL AND log_market_cap IS NOT NULL AND sector IS NOT NULL', 'sentiment_delta', 'log_market_cap')})" for w in market.WINDOWS) + ", p AS (SELECT 'correlation' AS pool, feature || '/' || target AS name, spearman_p AS p FROM c" + "".join(f" UNION ALL SELECT 'regression', 'sentiment_delta/CAR_{w}d/B', p_value FROM x{w} WHERE variable = 'sentiment_delta'" for w in market.WINDOWS) + ") SELECT pool, name, round(p, 6) AS p_value, count(*) OVER (PARTITION BY pool) AS n_tests, round(0.05 / count(*) OVER (PARTITION BY pool), 8) AS threshold, p < 0.05 / count(*) OVER (PARTITION BY pool) AS significant FROM p")
+def bonferroni_pools(spark, sf_dir):
+    pools = stats.significance_pools(stats.correlations(A.ready(spark, sf_dir)), _gain_models(spark, sf_dir).where("model = 'B'"))
+    return pools.select("pool", "name", F.round("p_value", 6).alias("p_value"), "n_tests", "threshold", "significant")
+
+
+@query(f"WITH {D.SCORES_SQL}, per AS (SELECT ticker, date, source_section, count(*) AS chunks FROM scores GROUP BY 1, 2, 3) SELECT source_section, count(*) AS n, round(median(chunks), 6) AS median, round(avg(chunks), 6) AS mean FROM per GROUP BY 1")
+def chunk_counts(spark, sf_dir):
+    return rounded(reports.chunk_counts(D.scores(spark, sf_dir)))
+
+
+@query("SELECT upper('t' || o_custkey) AS ticker, CAST(o_orderdate AS DATE) AS date, '2020-Q' || (o_orderkey % 4 + 1) AS fiscal_quarter, nullif(regexp_extract(o_orderpriority, '^(\\w+)', 1), '') AS exchange, o_orderkey % 3 = 0 AS has_qa_section FROM orders")
+def standardise(spark, sf_dir):
+    from tonewake.sources import io
+
+    raw, o = D.raw_calls(spark, sf_dir), D.table(spark, sf_dir, "orders")
+    text = F.concat(F.lit("Prepared."), F.when(F.col("o_orderkey") % 3 == 0, F.lit("\nQuestions and Answers:\nWhy?")).otherwise(F.lit("")))
+    rows = raw.join(o, raw["ordinal"] == o["o_orderkey"]).select("date", F.col("o_orderpriority").alias("exchange"), F.concat(F.lit(" 2020-Q"), F.col("o_orderkey") % 4 + 1, F.lit(" ")).alias("q"), "ticker", text.alias("transcript"))
+    return io.standardise(rows).drop("transcript_text")
 
 
 # --- statistics
@@ -222,7 +283,7 @@ def spearman(spark, sf_dir):
     return rounded(stats.spearman(_line_pairs(spark, sf_dir)))
 
 
-@query()
+@query(f"{A.correlations_sql('lineitem', _LINE, ['l_extendedprice'])}")
 def correlation_table(spark, sf_dir):
     return stats.correlations(D.table(spark, sf_dir, "lineitem"), _LINE, ["l_extendedprice"])
 
@@ -267,15 +328,23 @@ def vif(spark, sf_dir):
     return rounded(r["table"].where("vif is not null").select("variable", "vif"))
 
 
-@query()
+_HC3 = A.hc3_sql("SELECT l_extendedprice / 1000 AS y, l_quantity AS a, l_tax AS b, l_returnflag AS s FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL AND l_tax IS NOT NULL AND l_returnflag IS NOT NULL", "l_quantity", "l_tax")
+
+
+@query(f"WITH {_HC3}")
 def ols_hc3(spark, sf_dir):
-    df = D.table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "sector")
-    return rounded(stats.regression(df, "l_extendedprice", _X, ["l_tax"])["table"])
+    df = D.table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "sector").withColumn("price", F.col("l_extendedprice") / 1000)
+    return rounded(stats.regression(df, "price", ["l_quantity"], ["l_tax"])["table"])
 
 
-@query()
+_DOF = "pow(top_var / top_n + bottom_var / bottom_n, 2) / (pow(top_var / top_n, 2) / (top_n - 1) + pow(bottom_var / bottom_n, 2) / (bottom_n - 1))"
+_WELCH_T = "((top_mean - bottom_mean) / sqrt(top_var / top_n + bottom_var / bottom_n))"
+
+
+@query(f"WITH {_ORDERS}, {_edges_sql('sector')}, b AS (SELECT rows.*, {_BIN} AS q FROM rows JOIN edges ON rows.sector = edges.sector), s AS (SELECT sector, {_SIDES} FROM b GROUP BY 1 HAVING count(*) >= 100) SELECT sector, n_rows AS n_events, round({_WELCH_T}, 6) AS t_stat, round({_DOF}, 4) AS df, round({A.t_p(_WELCH_T, _DOF)}, 6) AS p_value, {A.t_p(_WELCH_T, _DOF)} < 0.05 AS significant FROM s")
 def welch_significance(spark, sf_dir):
-    return stats.with_p(stats.spread_by_sector(_orders(spark, sf_dir), "feature", "target"))
+    found = stats.with_p(stats.spread_by_sector(_orders(spark, sf_dir), "feature", "target"))
+    return found.select("sector", F.col("n_events").cast("bigint").alias("n_events"), F.round("t_stat", 6).alias("t_stat"), F.round("df", 4).alias("df"), "p_value", "significant")
 
 
 # --- text
@@ -404,12 +473,13 @@ def latest_dim(spark, sf_dir):
     return reports.latest_known(D.table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
 
 
-@query("WITH b AS (SELECT DISTINCT o_orderkey // 1000 * 1000 AS s FROM orders), d AS (SELECT s AS start, s + 1000 AS \"end\" FROM b), g AS (SELECT *, coalesce(lag(\"end\") OVER (ORDER BY start), 0) AS expected FROM d) SELECT * FROM g WHERE start <> expected")
+@query("WITH b AS (SELECT DISTINCT o_orderkey // 100 * 100 AS s FROM orders WHERE o_orderkey // 100 % 7 <> 3), d AS (SELECT s AS start, s + 100 AS \"end\" FROM b), g AS (SELECT *, coalesce(lag(\"end\") OVER (ORDER BY start), 0) AS expected FROM d) SELECT * FROM g WHERE start <> expected")
 def batch_gaps(spark, sf_dir):
     from tonewake.sources.io import batch_gaps as gaps
 
-    start = F.floor(F.col("o_orderkey") / 1000).cast("bigint") * 1000
-    return gaps(D.table(spark, sf_dir, "orders").select(start.alias("start"), (start + 1000).alias("end")).distinct()).withColumn("expected", F.col("expected").cast("bigint"))
+    start = F.floor(F.col("o_orderkey") / 100).cast("bigint") * 100
+    kept = D.table(spark, sf_dir, "orders").where(F.floor(F.col("o_orderkey") / 100) % 7 != 3)  # so that batches are missing
+    return gaps(kept.select(start.alias("start"), (start + 100).alias("end")).distinct()).withColumn("expected", F.col("expected").cast("bigint"))
 
 
 @query("SELECT CAST(sum(1000) AS BIGINT) AS done, CAST(100000 - sum(1000) AS BIGINT) AS remaining, round(CAST((100000 - sum(1000)) * 6.1 AS DOUBLE), 4) AS eta_seconds FROM (SELECT DISTINCT o_orderkey // 1000 FROM orders)")
