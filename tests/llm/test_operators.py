@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import EDGE
 from pyspark.sql import functions as F
@@ -199,13 +200,68 @@ def check_scores(got, docs):
 
 
 def test_hmm(documents, monkeypatch):
-    monkeypatch.setattr(hmm, "HOT", 500)  # so that most words take the way of the rare
+    monkeypatch.setattr(hmm, "LEAST", 40)  # so that most words take the way of the rare
     got = rows(hmm.score(documents))
     check_scores(got, pairs(documents))
     held = [r for r in got if r[1]]
     assert sum(r[6] for r in held) > sum(r[5] for r in held)
 
 
+def plain_score(docs, words, model):
+    """The model's score of each text, word by word, with counts of its own; P(word | class) from the classes' own sizes."""
+    start, _, move, by_class = model
+    seqs = [(d, brute.SPACES.findall(brute.lower(t))) for d, t in docs]
+    count = Counter(w for d, ws in seqs if zlib.crc32(str(d).encode() if d is not None else b"") % 7 != 2 for w in ws)
+
+    def hashed(w):
+        (_, _, h, e), *_ = hmm.tokens(pa.array([w]))
+        return int(h[0]), int(e[0])
+
+    keys = {w: hashed(w) for _, ws in seqs for w in ws}
+    place = {int(h): i for i, h in enumerate(words.h)}
+    sizes, kinds = Counter(), Counter()
+    for w, c in count.items():
+        if keys[w][0] not in place:
+            sizes[keys[w][1]] += c
+            kinds[keys[w][1]] += 1
+    out = []
+    for d, ws in seqs:
+        total, a = 0.0, start
+        for k, w in enumerate([*ws, None]):
+            if w is None:
+                cls, given = 0, 1.0
+            elif keys[w][0] in place:
+                cls, given = 1 + place[keys[w][0]], 1.0
+            else:
+                e = keys[w][1]
+                cls, given = 1 + len(place) + e, (count[w] + 1) / (sizes[e] + kinds[e] + 1)
+            a = (a @ move if k else a) * by_class[cls].astype(float)
+            total += math.log10(a.sum()) + math.log10(given)
+            a = a / a.sum()
+        out.append((d, total))
+    return out
+
+
+@pytest.mark.parametrize("least", [2, 30])
+def test_hmm_scores_are_those_of_a_plain_version(documents, monkeypatch, least):
+    monkeypatch.setattr(hmm, "LEAST", least)
+    docs = documents.limit(60).select("doc_id", "text").cache()
+    trained = hmm.train(docs)
+    got = {r["doc_id"]: r["score"] for r in hmm.score(docs, trained=trained).collect()}
+    for d, want in plain_score(pairs(docs), *trained[:2]):
+        assert got[d] == pytest.approx(want, rel=1e-9)
+
+
+def test_hmm_does_not_hang_on_partitions(spark, documents):
+    one = documents.where("doc_id % 3 = 0").select("doc_id", "text").limit(80).cache()
+    hot = one.unionByName(spark.createDataFrame([(5, "all of these words are in a third of the rows of this table")] * 40, "doc_id bigint, text string"))
+    for docs in (one, hot):
+        made = [sorted((r["doc_id"], r["score"], r["base_score"]) for r in hmm.score(docs.repartition(n)).collect()) for n in (1, 5, 17)]
+        for other in made[1:]:
+            for x, y in zip(made[0], other, strict=True):
+                assert x[0] == y[0] and x[1:] == pytest.approx(y[1:], rel=1e-9)
+
+
 def test_hmm_edges(edge, empty):
     check_scores(rows(hmm.score(edge)), [(r[0], r[1]) for r in EDGE])
     assert hmm.score(empty).count() == 0
@@ -213,20 +269,27 @@ def test_hmm_edges(edge, empty):
 
 def test_forward_is_the_sum_over_paths_and_training_climbs(documents):
     rng = np.random.default_rng(0)
-    model = tuple(x / x.sum(-1, keepdims=True) for x in (rng.random(3), rng.random((3, 3)), rng.random((3, hmm.CLASSES))))
-    seq = rng.integers(0, hmm.CLASSES, 5)
+    start, move, emit = (x / x.sum(-1, keepdims=True) for x in (rng.random(3), rng.random((3, 3)), rng.random((3, 50))))
+    seq = rng.integers(0, 50, 5)
     total = 0.0
     for path in np.ndindex(*[3] * 5):
-        p = model[0][path[0]] * model[2][path[0], seq[0]]
+        p = start[path[0]] * emit[path[0], seq[0]]
         for t in range(1, 5):
-            p *= model[1][path[t - 1], path[t]] * model[2][path[t], seq[t]]
+            p *= move[path[t - 1], path[t]] * emit[path[t], seq[t]]
         total += p
-    assert hmm.forward(model, seq, np.array([0, 5]))[0] == pytest.approx(math.log10(total))
-    words = hmm.vocabulary(documents.select("doc_id", "text"), 4)
-    _, history = hmm.baum_welch(documents.select("doc_id", "text"), words, passes=4)
+    assert hmm.forward((start, start, move, emit.T), seq, np.array([0, 5]))[0] == pytest.approx(math.log10(total))
+    history = hmm.train(documents.select("doc_id", "text"), passes=4)[2]
     assert all(b > a for a, b in zip(history, history[1:], strict=False))
 
 
+def test_states_gain_on_held_out_texts(documents):
+    per = {}
+    for states in (1, hmm.STATES):
+        held = [r for r in hmm.score(documents, states=states).collect() if r["held_out"]]
+        per[states] = sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert per[hmm.STATES] > per[1] + 0.05
+
+
 # --- training order
 
 

@@ -1,17 +1,21 @@
 """A hidden Markov language model, trained by Baum-Welch over all training documents.
 
-Tokens are words and an end.  A word's class is itself for the most frequent words, else a hash of its ending, which is
-known for unseen words too.  The states emit classes and the classes emit words: log P(text) is the scaled forward
-recursion over the classes, exact over the whole text, plus the sum of log P(word | class), where a class gives
-(c + 1) / (N_class + V_class + 1) to its words and to one unseen word.  The same formula over all words is the base score.
-
-Counts of words cover all training tokens.  Words of at least N / HOT occurrences (HOT of them at most) are sent to every
-worker; the others' occurrences meet their counts in one shuffle of packed arrays, dealt by word, and return to their
-documents in a second one, dealt by the input's partition.  Expected counts of each Baum-Welch pass are added up in the
-cluster.  The first guess of the states is fitted to a sample of at most START_SEGMENTS pieces; the passes cover everything.
+Tokens are words and an end.  A word of LEAST occurrences and of N / HOT or more is a class of its own; all others share
+classes by their endings, which are known for unseen words too.  So the emission table follows the corpus's vocabulary (HOT
+words at most, as no more can have N / HOT occurrences).  The states emit classes and the classes emit words: log P(text) is
+the scaled forward recursion over the classes, exact over the whole text, plus the sum of log P(word | class), where an
+ending's class gives (c + 1) / (N_class + V_class + 1) to its words and to one unseen word.  The same formula over all words
+is the base score.
+
+Counts of words cover all training tokens.  Words with a class are sent to every worker; the others' occurrences meet their
+counts in one shuffle of packed arrays, dealt by word, and return to their documents in a second one, dealt by the input's
+partition.  Expected counts of each Baum-Welch pass are added up in the cluster, by ranges of classes.  Passes over the whole
+corpus go on until one gains less than TOLERANCE a token, PASSES at most.  For them texts are cut into pieces of PIECE tokens;
+each piece but a text's first repeats the token before it, so that no transition is lost, and has a start distribution of its
+own.  The first guess is fitted to the START_SEGMENTS pieces of least keyed hash, whatever the input's partitions.
 
 Words are told apart by 64-bit hashes.  A null text is the end alone.  Each row is a document; repeated rows count as often.
-Without training documents both scores are 0.
+Without training documents both scores are 0.  Scores don't hang on partitions but for the last digits of sums.
 """
 
 from __future__ import annotations
@@ -30,17 +34,24 @@ from pyspark.sql import types as T
 from tonewake.sources.shipping import ship
 
 from .kernels import LOWER, flat, groups, joined, mix, ranges, split, word_bounds, word_hashes
-from .state import cut
+from .state import cut, drop, pieces_of, text_bytes
 
 STATES = 8
-WORD_CLASSES = 767
-ENDINGS = 256
-CLASSES = 1 + WORD_CLASSES + ENDINGS
-HOT = 1 << 19
+ENDINGS = 4096
+HOT = 1 << 21
+LEAST = 5
 PIECE = 128
-PASSES = 2
+PASSES = 4
+TOLERANCE = 0.002
 START_SEGMENTS = 4096
 START_PASSES = 12
+#: Tokens that a state is thought to have seen beforehand, spread like all tokens.
+PRIOR = 2000.0
+#: Text of a range of words, and the most ranges there are.
+RANGE_BYTES, MAX_RANGES = 48 << 20, 1 << 16
+#: Classes of a range, when expected counts are added up.
+CLASS_RANGE = 1 << 14
+RARE_AT_ONCE = 1 << 20
 END = int(mix(np.array([0xE2D], np.uint64))[0])
 TABLE_BITS = 22
 
@@ -112,21 +123,27 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class Vocabulary:
-    """Frequent words' counts by hash; class sizes; totals."""
+    """Words with a class of their own: counts by hash; class sizes of the rest by ending; totals.
+
+    Class 0 is the end, then come the words in order of hash, then the endings."""
 
     def __init__(self, h, c, e, n, v, n_class, v_class):
-        self.h, self.c, self.n, self.v, self.ends = h, c, n, v, n - int(n_class.sum())
-        top = np.argsort(-c, kind="stable")
-        top = top[h[top] != np.uint64(END)][:WORD_CLASSES]
-        self.word_class = np.zeros(len(h), np.uint16)
-        self.word_class[top] = 1 + np.arange(len(top))
-        n_class, v_class = n_class.astype(float), v_class.astype(float)
-        n_class -= np.bincount(e[top], c[top], ENDINGS)
-        v_class -= np.bincount(e[top], minlength=ENDINGS)
+        self.ends = n - int(n_class.sum())
+        own = h != np.uint64(END)
+        self.h, self.c, self.n, self.v = h[own], c[own], n, v
+        e = e[own]
+        self.n_ending = n_class - np.bincount(e, self.c, ENDINGS)
+        self.v_ending = v_class - np.bincount(e, minlength=ENDINGS)
         #: log10 of what a class's word is divided by; words that are classes have probability 1.
-        self.ending_norm = np.log10(n_class + v_class + 1)
+        self.ending_norm = np.log10(self.n_ending + self.v_ending + 1)
+        self.classes = 1 + len(self.h) + ENDINGS
         self.table = None
 
+    def overall(self) -> np.ndarray:
+        """Each class's share of all tokens; an ending's also counts a half for what was never seen."""
+        counts = np.concatenate([[self.ends + 0.5], self.c, self.n_ending + 0.5])
+        return counts / counts.sum()
+
     def index(self) -> np.ndarray:
         """A direct table by a hash's top bits: a place, -1 for none, -2 for several.  It is made where it is used, not sent."""
         slot = (self.h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
@@ -136,19 +153,20 @@ class Vocabulary:
         return table
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Each hash's place among the frequent words, or -1."""
+        """Each hash's place among the words with a class, or -1."""
         if self.table is None:
             self.table = self.index()
         at = self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
         many = np.flatnonzero(at == -2)
         if len(many):
             at[many] = np.minimum(np.searchsorted(self.h, h[many]), len(self.h) - 1)
-        at[(at >= 0) & (self.h[np.maximum(at, 0)] != h)] = -1
+        if len(self.h):
+            at[(at >= 0) & (self.h[np.maximum(at, 0)] != h)] = -1
         return at
 
-    def classes(self, at: np.ndarray, e: np.ndarray) -> np.ndarray:
-        own = np.where(at >= 0, self.word_class[np.maximum(at, 0)], 0)
-        return np.where(own > 0, own, 1 + WORD_CLASSES + e).astype(np.uint16)
+    def of(self, at: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Classes, from places and endings."""
+        return np.where(at >= 0, 1 + at, 1 + len(self.h) + e.astype(np.int32)).astype(np.int32)
 
 
 def vocabulary(docs: DataFrame, n_ranges: int) -> Vocabulary:
@@ -168,7 +186,7 @@ def vocabulary(docs: DataFrame, n_ranges: int) -> Vocabulary:
     sums = {r[0]: r[1:] for r in table.mapInArrow(totals, "k int, n bigint, v bigint").groupBy("k").agg(F.sum("n"), F.sum("v")).collect()}
     per = np.array([sums.get(k, (0, 0)) for k in range(ENDINGS)], np.int64).T
     n, v = sums.get(ENDINGS, (0, 0))
-    least = max(1, -(-n // HOT))
+    least = max(LEAST, -(-n // HOT))
 
     def frequent(batches):
         for batch in batches:
@@ -178,44 +196,76 @@ def vocabulary(docs: DataFrame, n_ranges: int) -> Vocabulary:
                 yield pa.RecordBatch.from_pydict({"h": [np.frombuffer(h, np.uint64)[keep].tobytes()], "c": [c[keep].tobytes()], "e": [np.frombuffer(e, np.uint16)[keep].tobytes()]})
 
     rows = table.mapInArrow(frequent, "h binary, c binary, e binary").collect()  # HOT words at most
+    drop(table)
     h, c, e = (np.frombuffer(b"".join(bytes(r[k]) for r in rows), t) for k, t in enumerate((np.uint64, np.int64, np.uint16)))
     order = np.argsort(h)
     return Vocabulary(h[order], c[order], e[order], n, v, *per)
 
 
-def pieces(column: pa.Array, train: np.ndarray, words: Vocabulary):
-    """The class sequences of training texts, cut into pieces: their classes one after another, and their lengths."""
+def pieces(ids: list, column: pa.Array, train: np.ndarray, words: Vocabulary):
+    """Training texts in pieces: their classes one after another, their lengths (negative where a text goes on), their keys."""
     for i, at, h, e in tokens(column):
-        cls = words.classes(words.find(h), e)
-        out, sizes = [], []
+        cls = words.of(words.find(h), e)
+        out, sizes, keys = [], [], []
         for k in np.flatnonzero(train[i : i + len(at) - 1]).tolist():
-            n = int(at[k + 1] - at[k]) + 1
-            out += [cls[at[k] : at[k + 1]], np.zeros(1, np.uint16)]
-            sizes += [PIECE] * (n // PIECE) + [n % PIECE] * (n % PIECE > 0)
+            whole = np.append(cls[at[k] : at[k + 1]], np.int32(0))
+            name = np.uint64(zlib.crc32(b"" if ids[i + k] is None else str(ids[i + k]).encode())) << np.uint64(32)
+            for number, start in enumerate(range(0, len(whole), PIECE)):
+                part = whole[max(0, start - 1) : start + PIECE]
+                out.append(part)
+                sizes.append(len(part) if not number else -len(part))
+                keys.append(name | np.uint64(number & 0xFFFFFFFF))
         if out:
-            yield np.concatenate(out), np.array(sizes, np.int32)
+            yield np.concatenate(out), np.array(sizes, np.int32), mix(np.array(keys, np.uint64))
 
 
 def as_grid(classes: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Pieces as rows, filled up with the end class."""
     sizes = np.frombuffer(sizes, np.int32)
-    grid = np.zeros((len(sizes), PIECE), np.uint16)
-    grid[np.arange(PIECE)[None] < sizes[:, None]] = np.frombuffer(classes, np.uint16)
+    grid = np.zeros((len(sizes), PIECE + 1), np.int32)
+    grid[np.arange(PIECE + 1)[None] < np.abs(sizes)[:, None]] = np.frombuffer(classes, np.int32)
     return grid, sizes
 
 
+class Counts:
+    """Expected counts: starts of texts and of later pieces, transitions, emissions of the classes met, log10 likelihood, tokens."""
+
+    def __init__(self, k: int):
+        self.head = np.zeros(2 * k + k * k + 2)
+        self.k, self.held, self.size = k, [], 0
+
+    def add(self, head: np.ndarray, ids: np.ndarray, emits: np.ndarray) -> None:
+        self.head += head
+        self.held.append((ids, emits))
+        self.size += len(ids)
+        if self.size > 1 << 18 and len(self.held) > 1:
+            self.held = [self.merged()]
+            self.size = max(len(self.held[0][0]), 1 << 17)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int32), np.zeros((0, self.k))
+        ids = np.concatenate([i for i, _ in self.held])
+        own, back = np.unique(ids, return_inverse=True)
+        emits = np.concatenate([e for _, e in self.held])
+        return own.astype(np.int32), np.stack([np.bincount(back, emits[:, j], len(own)) for j in range(self.k)], 1)
+
+
 def expected(model, grid: np.ndarray, sizes: np.ndarray):
-    """Baum-Welch counts of the pieces: starts, transitions, emissions, log-likelihood."""
-    start, move, emit = model
+    """Baum-Welch counts of the pieces, as Counts.add() takes them."""
+    start, later, move, by_class = model
     k = len(start)
+    goes_on, sizes = sizes < 0, np.abs(sizes)
     order = np.argsort(-sizes, kind="stable")
-    grid, sizes = grid[order], sizes[order]
+    grid, sizes, goes_on = grid[order], sizes[order], goes_on[order]
     steps = int(sizes[0])
     live = [int(np.searchsorted(-sizes, -t, "left")) for t in range(steps)]
-    by_class = np.ascontiguousarray(emit.T)
+    own, numbers = np.unique(grid, return_inverse=True)  # the classes met, so that what follows stays in the cache
+    table, numbers = by_class[own].astype(float), numbers.reshape(grid.shape)
+    first = np.where(goes_on[:, None], later, start)
     alpha, scale = [], []
     for t in range(steps):
-        a = (alpha[-1][: live[t]] @ move if t else np.broadcast_to(start, (live[t], k))) * by_class[grid[: live[t], t]]
+        a = (alpha[-1][: live[t]] @ move if t else first) * table[numbers[: live[t], t]]
         s = a.sum(1, keepdims=True)
         alpha.append(a / s)
         scale.append(s)
@@ -224,112 +274,136 @@ def expected(model, grid: np.ndarray, sizes: np.ndarray):
     weights[-1] = alpha[-1]
     for t in range(steps - 2, -1, -1):
         n = live[t + 1]
-        ahead = by_class[grid[:n, t + 1]] * beta / scale[t + 1]
+        ahead = table[numbers[:n, t + 1]] * beta / scale[t + 1]
         moves += alpha[t][:n].T @ ahead
         beta = np.concatenate([ahead @ move.T, np.ones((live[t] - n, k))])
         weights[t] = alpha[t] * beta
     moves *= move
-    flat_classes = np.concatenate([grid[: live[t], t] for t in range(steps)])
+    opening = weights[0]
+    weights[0] = np.where(goes_on[:, None], 0.0, opening)  # a repeated token has been counted in the piece before
+    met = np.concatenate([numbers[: live[t], t] for t in range(steps)])
     flat_weights = np.concatenate(weights)
-    emits = np.stack([np.bincount(flat_classes, flat_weights[:, j], CLASSES) for j in range(k)])
-    return weights[0].sum(0), moves, emits, float(sum(np.log10(s).sum() for s in scale))
-
-
-def estimated(starts, moves, emits):
-    """The model of the counts, a little smoothed so that no class has probability 0."""
-    return (starts + 0.1) / (starts + 0.1).sum(), (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True), (emits + 0.05) / (emits + 0.05).sum(1, keepdims=True)
-
-
-def first_guess(words: Vocabulary, grid: np.ndarray, sizes: np.ndarray):
-    rng = np.random.default_rng(11)
-    move = np.full((STATES, STATES), 0.3 / STATES) + 0.7 * np.eye(STATES)
-    inside = np.arange(grid.shape[1])[None] < sizes[:, None]
-    # a state begins near what some of the sampled pieces hold
-    emit = np.full((STATES, CLASSES), 1.0)
-    total = np.bincount(grid[inside], minlength=CLASSES) + 0.5
-    emit = emit * total / total.sum()
-    for j, some in enumerate(np.array_split(rng.permutation(len(grid)), STATES)):
-        if len(some):
-            own = np.bincount(grid[some[:1]][inside[some[:1]]], minlength=CLASSES)
-            emit[j] = 0.7 * emit[j] + 0.3 * (own + 0.01) / (own + 0.01).sum()
-    model = (np.full(STATES, 1 / STATES), move, emit)
-    for _ in range(START_PASSES if len(grid) else 0):
-        model = estimated(*expected(model, grid, sizes)[:3])
+    emits = np.stack([np.bincount(met, flat_weights[:, j], len(own)) for j in range(k)], 1)
+    logs = [np.log10(s[:, 0]) for s in scale]
+    logs[0] = np.where(goes_on, 0.0, logs[0])
+    head = np.concatenate([opening[~goes_on].sum(0), opening[goes_on].sum(0), moves.ravel(), [float(sum(x.sum() for x in logs)), float(sizes.sum() - goes_on.sum())]])
+    return head, own, emits
+
+
+def estimated(words: Vocabulary, k: int, head: np.ndarray, ids: np.ndarray, emits: np.ndarray):
+    """The model of the counts: start, start of later pieces, transitions, and for each class what the states give it (float32).
+
+    Emissions lean on the overall shares by PRIOR tokens, so no class has probability 0."""
+    start, later, moves = head[:k] + 0.1, head[k : 2 * k] + 0.1, head[2 * k : 2 * k + k * k].reshape(k, k) + 0.1
+    by_class = np.repeat(PRIOR * words.overall()[:, None], k, 1)
+    by_class[ids] += emits
+    return start / start.sum(), later / later.sum(), moves / moves.sum(1, keepdims=True), (by_class / by_class.sum(0)).astype(np.float32)
+
+
+def first_guess(words: Vocabulary, states: int, grid: np.ndarray, sizes: np.ndarray):
+    """A model of the sampled pieces; a state begins near what one of them holds."""
+    move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
+    overall = words.overall()
+    by_class = np.repeat(overall[:, None], states, 1)
+    for j in range(min(states, len(grid)) if states > 1 else 0):
+        piece = grid[j * len(grid) // states][: abs(int(sizes[j * len(grid) // states]))]
+        by_class[:, j] *= 0.7
+        np.add.at(by_class[:, j], piece, 0.3 / len(piece))
+    even = np.full(states, 1 / states)
+    model = (even, even, move, by_class.astype(np.float32))
+    for _ in range(START_PASSES if len(grid) and states > 1 else 0):
+        model = estimated(words, states, *expected(model, grid, sizes))
     return model
 
 
-def packed_counts(starts, moves, emits, value) -> bytes:
-    return np.concatenate([starts.ravel(), moves.ravel(), emits.ravel(), [value]]).tobytes()
-
-
-def baum_welch(docs: DataFrame, words: Vocabulary, passes: int = PASSES):
-    """The model, and the log-likelihood of the pieces before each pass."""
+def baum_welch(docs: DataFrame, words: Vocabulary, passes: int = PASSES, states: int = STATES):
+    """The model, and the log10 likelihood of all training tokens, each a token, before each pass."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(words)
     share = min(1.0, 4 * START_SEGMENTS * PIECE / max(words.n, 1))
+    schema = pa.schema([("c", pa.binary()), ("s", pa.binary()), ("k", pa.binary())])
 
     def classed(batches):
         for batch in batches:
-            for classes, sizes in pieces(batch.column(1), ~held_out_ids(batch.column(0).to_pylist()), sent.value):
-                yield pa.RecordBatch.from_pydict({"c": [classes.tobytes()], "s": [sizes.tobytes()]}, schema=pa.schema([("c", pa.binary()), ("s", pa.binary())]))
+            ids = batch.column(0).to_pylist()
+            for classes, sizes, keys in pieces(ids, batch.column(1), ~held_out_ids(ids), sent.value):
+                yield pa.RecordBatch.from_pydict({"c": [classes.tobytes()], "s": [sizes.tobytes()], "k": [keys.tobytes()]}, schema=schema)
 
-    stored = cut(docs.mapInArrow(classed, "c binary, s binary"), "classes")  # two bytes a token
+    stored = cut(docs.mapInArrow(classed, "c binary, s binary, k binary"), "classes")  # four bytes a token
 
     def grids(batches):
         for batch in batches:
-            for c, s in zip(batch.column(0), batch.column(1), strict=True):
-                yield as_grid(c.as_buffer(), s.as_buffer())
+            for c, s, k in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                yield *as_grid(c.as_buffer(), s.as_buffer()), np.frombuffer(k.as_buffer(), np.uint64)
 
     def sampled(batches):
-        for grid, sizes in grids(batches):
-            some = np.flatnonzero(np.array([zlib.crc32(g.tobytes()) for g in grid]) < share * (1 << 32))
+        for grid, sizes, keys in grids(batches):
+            marks = mix(keys ^ np.array([zlib.crc32(g.tobytes()) for g in grid], np.uint64))
+            some = np.flatnonzero(marks < np.uint64(min(int(share * 2.0**64), (1 << 64) - 1)))
             if len(some):
-                yield pa.RecordBatch.from_pydict({"g": [grid[some].tobytes()], "s": [sizes[some].astype(np.int64).tobytes()]})
-
-    got = sorted((bytes(r["s"]), bytes(r["g"])) for r in stored.mapInArrow(sampled, "g binary, s binary").limit(16 * START_SEGMENTS).collect())
-    sizes = np.frombuffer(b"".join(s for s, _ in got), np.int64)
-    grid = np.frombuffer(b"".join(g for _, g in got), np.uint16).reshape(-1, PIECE)
-    chosen = np.random.default_rng(3).permutation(len(grid))[:START_SEGMENTS]
-    model, history = first_guess(words, grid[chosen], sizes[chosen]), []
-    shapes = [(STATES,), (STATES, STATES), (STATES, CLASSES)]
+                yield pa.RecordBatch.from_pydict({"m": marks[some].view(np.int64), "g": [grid[i].tobytes() for i in some], "s": sizes[some]})
+
+    # equal pieces of equal ids are one; the rest are 4 * START_SEGMENTS on average
+    got = stored.mapInArrow(sampled, "m bigint, g binary, s int").distinct().orderBy("m", "s", "g").limit(START_SEGMENTS).collect()
+    sizes = np.array([r["s"] for r in got], np.int32)
+    grid = np.frombuffer(b"".join(bytes(r["g"]) for r in got), np.int32).reshape(-1, PIECE + 1)
+    model, history = first_guess(words, states, grid, sizes), []
     for _ in range(passes):
         now = context.broadcast(model)
 
         def counted(batches, now=now):
-            total = None
-            for grid, sizes in grids(batches):
-                part = expected(now.value, grid, sizes)
-                total = part if total is None else tuple(a + b for a, b in zip(total, part, strict=True))
-            if total is not None:
-                yield pa.RecordBatch.from_pydict({"k": pa.array([TaskContext.get().partitionId() % 256], pa.int32()), "x": pa.array([packed_counts(*total)], pa.binary())})
-
-        def added(pdf):
-            return pd.DataFrame([{"k": pdf["k"].iloc[0], "x": sum(np.frombuffer(x) for x in pdf["x"]).tobytes()}])
-
-        rows = stored.mapInArrow(counted, "k int, x binary").groupBy("k").applyInPandas(added, "k int, x binary").collect()  # 256 at most
+            total = Counts(states)
+            for grid, sizes, _ in grids(batches):
+                total.add(*expected(now.value, grid, sizes))
+            if total.head[-1]:
+                ids, emits = total.merged()
+                part = TaskContext.get().partitionId() % 256
+                rows = [{"k": -1 - part, "i": b"", "x": total.head.tobytes()}]
+                edges = np.searchsorted(ids, np.arange(0, words_classes + CLASS_RANGE, CLASS_RANGE))
+                rows += [{"k": r, "i": ids[a:b].tobytes(), "x": emits[a:b].tobytes()} for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("k", pa.int32()), ("i", pa.binary()), ("x", pa.binary())]))
+
+        words_classes = words.classes
+
+        def added(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            if key[0] < 0:
+                return pd.DataFrame([{"k": key[0], "i": b"", "x": sum(np.frombuffer(x) for x in pdf["x"]).tobytes()}])
+            total = np.zeros((CLASS_RANGE, states))
+            for i, x in zip(pdf["i"], pdf["x"], strict=True):
+                total[np.frombuffer(i, np.int32) - key[0] * CLASS_RANGE] += np.frombuffer(x).reshape(-1, states)
+            some = np.flatnonzero(total.any(1)).astype(np.int32)
+            return pd.DataFrame([{"k": key[0], "i": (some + key[0] * CLASS_RANGE).astype(np.int32).tobytes(), "x": total[some].tobytes()}])
+
+        rows = stored.mapInArrow(counted, "k int, i binary, x binary").groupBy("k").applyInPandas(added, "k int, i binary, x binary").collect()  # a row for each class met at most, and 256
         now.unpersist()
-        total = sum(np.frombuffer(bytes(r["x"])) for r in rows) if rows else None
-        if total is None:
+        heads = [np.frombuffer(bytes(r["x"])) for r in rows if r["k"] < 0]
+        if not heads:
+            break
+        head = sum(heads)
+        ids = np.concatenate([np.frombuffer(bytes(r["i"]), np.int32) for r in rows if r["k"] >= 0])
+        emits = np.concatenate([np.frombuffer(bytes(r["x"])).reshape(-1, states) for r in rows if r["k"] >= 0])
+        model = estimated(words, states, head, ids, emits)
+        history.append(float(head[-2] / head[-1]))
+        if len(history) > 1 and history[-1] - history[-2] < TOLERANCE:
             break
-        edges = np.cumsum([int(np.prod(s)) for s in shapes])
-        history.append(float(total[-1]))
-        model = estimated(*[x.reshape(s) for x, s in zip(np.split(total[:-1], edges[:-1]), shapes, strict=True)])
     sent.unpersist()
+    drop(stored)
     return model, history
 
 
 def forward(model, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log10 probability of each class sequence, whole and scaled; cls holds them one after another."""
-    start, move, emit = model
+    start, _, move, by_class = model
     sizes = np.diff(at)
     out = np.zeros(len(sizes))
     order = np.argsort(-sizes, kind="stable")
     at, sizes = at[:-1][order], sizes[order]
-    by_class = np.ascontiguousarray(emit.T)
+    own, numbers = np.unique(cls, return_inverse=True)
+    table = by_class[own].astype(float)
     live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")
     score, a = np.zeros(len(sizes)), None
     for t, n in enumerate(live.tolist()):
-        a = (a[:n] @ move if t else np.broadcast_to(start, (n, len(start)))) * by_class[cls[at[:n] + t]]
+        a = (a[:n] @ move if t else np.broadcast_to(start, (n, len(start)))) * table[numbers[at[:n] + t]]
         s = a.sum(1)
         a = a / s[:, None]
         score[:n] += np.log10(s)
@@ -346,45 +420,46 @@ def _score(sent, n_ranges: int, id_type: pa.DataType):
     def run(batches):
         words, model = sent.value
         part, number = TaskContext.get().partitionId(), 0
+        schema = pa.schema([("range", pa.int32()), ("part", pa.int32()), ("h", pa.binary()), ("d", pa.binary()), ("x", pa.binary())])
+        rare, held = [], 0
+
+        def packed():
+            h, code = (np.concatenate(x) for x in zip(*rare, strict=True))
+            return [{"range": k, "part": part, "h": a.tobytes(), "d": b.tobytes(), "x": b""} for k, (a, b) in split(ranges(h, n_ranges), n_ranges, h, code)]
+
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out = held_out_ids(ids)
             n = len(ids)
             logs, known, norm, sizes = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
-            classes, own_logs, rare = [], np.zeros(n), []
+            scores = np.zeros(n)
             for i, at, h, e in tokens(batch.column(1)):
                 place = words.find(h)
-                cls = words.classes(place, e)
+                cls = words.of(place, e)
                 doc = np.repeat(np.arange(i, i + len(at) - 1), np.diff(at))
                 hot = place >= 0
-                lg = np.log10(words.c[place[hot]] + 1.0)
-                logs += np.bincount(doc[hot], lg, n)
+                logs += np.bincount(doc[hot], np.log10(words.c[place[hot]] + 1.0), n)
                 known += np.bincount(doc[hot], minlength=n)
-                single = cls <= WORD_CLASSES
-                own_logs += np.bincount(doc[hot], np.where(single[hot], lg, 0.0), n)
-                norm += np.bincount(doc[~single], words.ending_norm[cls[~single].astype(int) - 1 - WORD_CLASSES], n)
+                norm += np.bincount(doc[~hot], words.ending_norm[e[~hot]], n)
                 sizes[i : i + len(at) - 1] = np.diff(at) + 1
-                with_end = np.zeros(len(cls) + len(at) - 1, np.uint16)
+                with_end = np.zeros(len(cls) + len(at) - 1, np.int32)
                 with_end[np.arange(len(cls)) + doc - i] = cls
-                classes.append(with_end)
-                rare.append((h[~hot], doc[~hot]))
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            score = forward(model, np.concatenate(classes) if classes else np.zeros(0, np.uint16), starts)
-            logs += np.log10(words.ends + 1.0)
+                scores[i : i + len(at) - 1] = forward(model, with_end, np.concatenate([[0], np.cumsum(np.diff(at) + 1)]))
+                rare.append((h[~hot], (((doc[~hot] + number).astype(np.uint32) << np.uint32(1)) | (~out[doc[~hot]]).astype(np.uint32))))
+                held += len(rare[-1][0])
+            own = logs + np.log10(words.ends + 1.0)  # words with a class, and the end: in the base score, but 1 given their class
             known += words.ends > 0
-            own_logs += np.log10(words.ends + 1.0)
             sink = io.BytesIO()
-            table = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(out), pa.array(sizes), pa.array(known), pa.array(logs), pa.array(score - norm - own_logs), pa.array(np.arange(number, number + n))], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "rest", "number"])
+            table = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(out), pa.array(sizes), pa.array(known), pa.array(own), pa.array(scores - norm - own), pa.array(np.arange(number, number + n))], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "rest", "number"])
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_batch(table)
-            rows = [{"range": n_ranges + part % n_ranges, "part": part, "h": b"", "d": b"", "x": sink.getvalue()}]
-            if rare:
-                h, doc = (np.concatenate(x) for x in zip(*rare, strict=True))
-                code = ((doc + number).astype(np.uint64) << np.uint64(1)) | (~out[doc]).astype(np.uint64)
-                for k, (a, b) in split(ranges(h, n_ranges), n_ranges, h, code):
-                    rows.append({"range": k, "part": part, "h": a.tobytes(), "d": b.astype(np.uint32).tobytes(), "x": b""})
+            yield pa.RecordBatch.from_pylist([{"range": n_ranges + part % n_ranges, "part": part, "h": b"", "d": b"", "x": sink.getvalue()}], schema=schema)
             number += n
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("range", pa.int32()), ("part", pa.int32()), ("h", pa.binary()), ("d", pa.binary()), ("x", pa.binary())]))
+            if held > RARE_AT_ONCE:
+                yield pa.RecordBatch.from_pylist(packed(), schema=schema)
+                rare, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(packed(), schema=schema)
 
     return run
 
@@ -432,19 +507,28 @@ def _finish(n: int, v: int):
     return run
 
 
-def score(docs: DataFrame, passes: int = PASSES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
-    ship(docs.sparkSession)
+def _texts(docs: DataFrame) -> tuple[DataFrame, bool]:
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     as_text = isinstance(text.schema["doc_id"].dataType, T.StringType)
-    if not as_text:
-        text = text.withColumn("doc_id", F.col("doc_id").cast("long"))
-    n_ranges = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    words = vocabulary(text, n_ranges)
-    model, _ = baum_welch(text, words, passes)
+    return (text if as_text else text.withColumn("doc_id", F.col("doc_id").cast("long"))), as_text
+
+
+def train(docs: DataFrame, passes: int = PASSES, states: int = STATES, n_ranges: int | None = None):
+    """Vocabulary and model of the training documents, and the history of baum_welch()."""
+    ship(docs.sparkSession)
+    text, _ = _texts(docs)
+    words = vocabulary(text, n_ranges or min(MAX_RANGES, pieces_of(text_bytes(text), RANGE_BYTES, 8)))
+    return (words, *baum_welch(text, words, passes, states))
+
+
+def score(docs: DataFrame, passes: int = PASSES, states: int = STATES, trained=None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs; trained: what train() gave."""
+    ship(docs.sparkSession)
+    text, as_text = _texts(docs)
+    n_ranges = min(MAX_RANGES, pieces_of(text_bytes(text), RANGE_BYTES, 8))
+    words, model, _ = trained or train(docs, passes, states, n_ranges)
     sent = docs.sparkSession.sparkContext.broadcast((words, model))
     packed = text.mapInArrow(_score(sent, n_ranges, pa.string() if as_text else pa.int64()), PACKED)
     met = packed.groupBy("range").applyInPandas(_meet(n_ranges), "part int, h binary, d binary, x binary")
     schema = f"doc_id {'string' if as_text else 'bigint'}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    # the last step is light: few tasks, and so few files, do
-    return met.groupBy("part").applyInPandas(_finish(words.n, words.v), schema).coalesce(max(6, n_ranges // 4))
+    return met.groupBy("part").applyInPandas(_finish(words.n, words.v), schema)

@@ -1,37 +1,13 @@
-"""Where operators put what they write between jobs."""
+"""Where operators put what they write between jobs, and how rows of whole texts are read."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tonewake.sources.scratch import cut, drop, exists, new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    sc = spark.sparkContext
-    set_to = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_to is None and sc._jsc.sc().getCheckpointDir().isDefined():
-        set_to = sc._jsc.sc().getCheckpointDir().get()
-    if set_to is None:
-        set_to = "file://" + tempfile.mkdtemp(prefix="tonewake-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(set_to)
-    return set_to
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet into the shared folder and read back: later jobs neither redo nor lose them."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["cut", "drop", "exists", "for_long_rows", "new_path", "pieces_of", "shared_dir", "text_bytes"]
 
 #: Rows of whole texts that are held at a time; Spark's own numbers are for short rows, and cost tens of MB a task here.
 LONG_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000")}
@@ -43,3 +19,12 @@ def for_long_rows(spark: SparkSession) -> SparkSession:
         if spark.conf.get(name, default) == default:
             spark.conf.set(name, ours)
     return spark
+
+
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts: what the numbers of ranges follow, so that a range's share stays the same at every size."""
+    return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def pieces_of(total: int, each: int, least: int) -> int:
+    return max(least, -(-total // each))
