@@ -374,6 +374,16 @@ def test_similarity_join_expands_groups(spark):
     same(rows(simjoin.link(df).select("doc_id", "n_shingles", "component_id")), brute.components(docs))
 
 
+def test_similarity_join_of_many_texts_of_one_boilerplate(spark):
+    """Ten thousand texts that share most shingles and don't link, and a near copy of some: the work stays near their number."""
+    shared = [f"b{i}" for i in range(100)]
+    docs = [(i, " ".join([*(f"u{i}x{j}" for j in range(26)), *shared])) for i in range(10000)]
+    near = [(20000 + i, docs[i][1] + " more") for i in range(0, 10000, 100)]
+    df = spark.createDataFrame(docs + near, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in simjoin.link(df).select("doc_id", "component_id").collect()}
+    assert len(got) == 10100 and all(got[d] == (d if d < 20000 else d - 20000) for d in got)
+
+
 def plain_links(docs):
     sets = [brute.shingles(t) for _, t in docs]
     near = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)

@@ -30,16 +30,20 @@ from pyspark.sql import functions as F
 from tonewake.sources.shipping import ship
 
 from .kernels import LOWER, flat, groups, joined, shingle_sets, split
-from .state import cut
+from .state import cut, drop, pieces_of, text_bytes
 
 WIDTH = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: From so many documents on, a shingle's level counts for the order.
 HOT = 16
-LEVEL_BITS = 22
-MAX_LEVELS = 1 << 20
+#: Bits of the table of levels, a byte each: they follow the texts' size, a bucket for LEVEL_BYTES of them, within these bounds.
+MIN_LEVEL_BITS, MAX_LEVEL_BITS, LEVEL_BYTES = 22, 26, 1 << 10
 FILTER_BITS = 22
+#: Parts that a frequent token's list is dealt over, when it meets its hub or its largest component.
+SALTS = 8
+#: Text of a range of shingles, and the most ranges there are.
+RANGE_BYTES, MAX_RANGES = 8 << 20, 1 << 16
 #: Shingles of a block, when the classes of a component are compared to count links.
 BLOCK = 1 << 18
 
@@ -80,28 +84,30 @@ def _count(width: int, n: int):
     return run
 
 
-def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
-    h = np.sort(joined(pdf["h"], np.uint32))
-    edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-    counts = np.diff(edges)
-    many = counts >= HOT
-    bucket = (h[edges[:-1][many]] >> np.uint32(32 - LEVEL_BITS)).astype(np.int32)
-    return pd.DataFrame({"bucket": bucket, "level": np.log2(counts[many]).astype(np.int32)})
+def _levels(bits: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = np.sort(joined(pdf["h"], np.uint32))
+        edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+        counts = np.diff(edges)
+        many = counts >= HOT
+        bucket = (h[edges[:-1][many]] >> np.uint32(32 - bits)).astype(np.int32)
+        return pd.DataFrame({"bucket": bucket, "level": np.log2(counts[many]).astype(np.int32)})
 
+    return run
 
-def levels(texts: DataFrame, width: int, n_ranges: int) -> np.ndarray:
-    """For each bucket of shingles a level, 0 for what few documents hold; MAX_LEVELS entries above 0 at most."""
-    found = texts.select("text").mapInArrow(_count(width, n_ranges), "range int, h binary").groupBy("range").applyInPandas(_levels, "bucket int, level int")
-    table = cut(found.groupBy("bucket").agg(F.max("level").alias("level")), "levels")
-    least, left = 99, MAX_LEVELS
-    for r in sorted(table.groupBy("level").count().collect(), reverse=True):
-        left -= r["count"]
-        if left < 0:
-            break
-        least = r["level"]
-    out = np.zeros(1 << LEVEL_BITS, np.uint8)
-    rows = table.where(F.col("level") >= least).toPandas()
-    out[rows["bucket"].to_numpy(np.int64)] = rows["level"].to_numpy(np.uint8)
+
+def levels(texts: DataFrame, width: int, n_ranges: int, bits: int = MIN_LEVEL_BITS) -> np.ndarray:
+    """For each bucket of shingles a level, 0 for what fewer than HOT documents hold; 2 ** bits bytes."""
+    found = texts.select("text").mapInArrow(_count(width, n_ranges), "range int, h binary").groupBy("range").applyInPandas(_levels(bits), "bucket int, level int")
+
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"b": [batch.column(0).to_numpy().astype(np.int32).tobytes()], "l": [batch.column(1).to_numpy().astype(np.uint8).tobytes()]})
+
+    out = np.zeros(1 << bits, np.uint8)
+    rows = found.groupBy("bucket").agg(F.max("level").alias("level")).mapInArrow(packed, "b binary, l binary").toLocalIterator()  # 5 bytes for each bucket above 0
+    for r in rows:
+        out[np.frombuffer(bytes(r["b"]), np.int32)] = np.frombuffer(bytes(r["l"]), np.uint8)
     return out
 
 
@@ -111,6 +117,7 @@ SIGNATURES = "cid bigint, gid bigint, n bigint, general int, cold binary, hot ar
 def _sign(sent, width: int):
     def run(batches):
         table = sent.value
+        bits = len(table).bit_length() - 1
         for batch in batches:
             cids, gids, sizes, general, cold, hot = [], [], [], [], [], []
             group_of: dict[int, int] = {}
@@ -127,7 +134,7 @@ def _sign(sent, width: int):
                     hot.append(None)
                     continue
                 prefix = n - (PERCENT * n + 99) // 100 + 1
-                level = table[(s >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
+                level = table[(s >> np.uint64(64 - bits)).astype(np.int64)]
                 if level.any():
                     order = np.argsort(level, kind="stable")
                     s, level = s[order], level[order]
@@ -202,6 +209,14 @@ def _fits(left: str, right: str):
     return (100 + PERCENT) * most >= PERCENT * (n + m)
 
 
+def _salted(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _ordered(left: str, right: str):
     x, y = F.col(left), F.col(right)
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
@@ -256,7 +271,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        state = cut(small.where("a <> b").distinct(), "edges")
+        state, old = cut(small.where("a <> b").distinct(), "edges"), state
+        drop(old)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
@@ -315,10 +331,12 @@ def link(docs: DataFrame, width: int = WIDTH, count_links: bool = False) -> Data
     """
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    n_ranges = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    table = spark.sparkContext.broadcast(levels(texts, width, n_ranges))
+    size = text_bytes(texts)
+    n_ranges = min(MAX_RANGES, pieces_of(size, RANGE_BYTES, 64))
+    bits = min(MAX_LEVEL_BITS, max(MIN_LEVEL_BITS, (size // LEVEL_BYTES).bit_length()))
+    table = spark.sparkContext.broadcast(levels(texts, width, n_ranges, bits))
     signed = cut(texts.mapInArrow(_sign(table, width), f"doc_id {kind}, {SIGNATURES}"), "signatures")
     classes = cut(signed.where("n > 0").groupBy("cid").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "members")
     members = classes.select("gid", "cid")
@@ -332,7 +350,7 @@ def link(docs: DataFrame, width: int = WIDTH, count_links: bool = False) -> Data
     posted = signed.where("size(hot) > 0").select("gid", "n", "general", rare.alias("rare"), F.posexplode("hot").alias("k", "token"))
     hot = posted.groupBy("token", "gid").agg(F.first("n").alias("n"), F.min("general").alias("general"), F.first(F.col("rare") + F.col("k")).alias("at"))
     shared = hot.groupBy("token").agg(F.count("*").alias("list"), F.min(F.struct("general", "gid", "n", "at")).alias("hub")).where("list > 1")
-    hot = cut(hot.join(shared.select("token", "hub"), "token").select("token", F.struct("gid", "n", "at").alias("p"), "hub"), "hot")
+    hot = cut(_salted(hot, "gid").join(_copied(shared.select("token", "hub")), ["token", "salt"]).select("token", F.struct("gid", "n", "at").alias("p"), "hub"), "hot")
     hubs = hot.where((F.col("p.gid") != F.col("hub.gid")) & _fits("p", "hub")).select(*_ordered("p.gid", "hub.gid"))
     group_pairs = cold.unionByName(hubs).distinct()
     one = group_pairs.join(every.select(F.col("gid").alias("a"), F.col("head").alias("x")), "a")
@@ -355,23 +373,30 @@ def link(docs: DataFrame, width: int = WIDTH, count_links: bool = False) -> Data
     sets = cut(found.join(needed, "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set")), "sets")
     roots = cut(components(verified(first, sets)), "roots")
     placed_members = cut(members.join(roots, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("root", "cid").alias("root")), "placed")
-    # pairs of groups of several members, expanded
+    # what is left: members of paired groups, or of one frequent token's or group's list, in different components.  Lists hold a
+    # row for each group and component, so that neither copies nor what has been joined by now multiplies
+    sides = cut(placed_members.groupBy("gid", "root").agg(F.count("*").alias("rows")), "sides")
     wide = cold.join(several.select(F.col("gid").alias("a"), F.lit(1).alias("i")), "a", "left").join(several.select(F.col("gid").alias("b"), F.lit(1).alias("j")), "b", "left").where("i = 1 or j = 1").select("a", "b")
-    left = wide.join(placed_members.select(F.col("gid").alias("a"), F.col("cid").alias("x"), F.col("root").alias("root_x")), "a")
-    both = left.join(placed_members.select(F.col("gid").alias("b"), F.col("cid").alias("y"), F.col("root").alias("root_y")), "b")
-    expanded = both.where("root_x <> root_y").select(*_ordered("x", "y"))
-    # frequent tokens, and groups, whose classes aren't all in one component yet
+    left = wide.join(sides.select(F.col("gid").alias("a"), F.col("root").alias("root_a")), "a")
+    across = left.join(sides.select(F.col("gid").alias("b"), F.col("root").alias("root_b")), "b").where("root_a <> root_b").select("a", "root_a", "b", "root_b")
     lists = hot.select("token", "p").unionByName(several.select(F.col("gid").alias("token"), F.struct("gid", "n", F.lit(0).cast(hot.schema["p"].dataType["at"].dataType).alias("at")).alias("p")))
-    placed = lists.join(placed_members, F.col("p.gid") == F.col("gid")).select("token", "p", "cid", "root")
-    per = placed.groupBy("token", "root").agg(F.count("*").alias("rows"))
+    listed = lists.join(sides, F.col("p.gid") == F.col("gid")).select("token", "p", "root", "rows")
+    per = listed.groupBy("token", "root").agg(F.sum("rows").alias("rows"))
     main = per.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
-    placed = cut(placed.join(main, "token"), "placed")
-    apart = placed.where("root <> main").select("token", F.col("p").alias("q"), F.col("cid").alias("c"), F.col("root").alias("other"))
-    second = apart.join(placed, "token").where((F.col("root") != F.col("other")) & _fits("p", "q")).select(*_ordered("cid", "c")).unionByName(expanded).distinct()
+    listed = cut(_salted(listed, "root").join(_copied(main), ["token", "salt"]), "listed")
+    apart = _copied(listed.where("root <> main").drop("salt", "main", "rows").withColumnsRenamed({"p": "q", "root": "other"}))
+    met = listed.join(apart, ["token", "salt"]).where((F.col("root") != F.col("other")) & _fits("p", "q")).select(F.col("p.gid").alias("a"), F.col("root").alias("root_a"), F.col("q.gid").alias("b"), F.col("other").alias("root_b"))
+    one, two = F.struct("a", "root_a"), F.struct(F.col("b").alias("a"), F.col("root_b").alias("root_a"))
+    met = across.unionByName(met).select(F.least(one, two).alias("s"), F.greatest(one, two).alias("t")).distinct()
+    met = cut(met.select("s.a", "s.root_a", F.col("t.a").alias("b"), F.col("t.root_a").alias("root_b")), "sides")
+    xs, ys = (placed_members.select(F.col("gid").alias(g), F.col("root").alias(f"root_{g}"), F.col("cid").alias(c)) for g, c in (("a", "x"), ("b", "y")))
+    second = met.join(xs, ["a", "root_a"]).join(ys, ["b", "root_b"]).select(*_ordered("x", "y")).distinct()
     second = cut(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    drop(met, listed, hot, cold)
     if not second.isEmpty():
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = cut(components(known.unionByName(verified(second, sets))), "roots")
+    drop(first, second)
 
     joint = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "least", "copies", F.coalesce("root", "cid").alias("root"))
     lowest = joint.groupBy("root").agg(F.min("least").alias("component"))
@@ -381,4 +406,7 @@ def link(docs: DataFrame, width: int = WIDTH, count_links: bool = False) -> Data
         placed = sets.join(roots, F.col("cid") == F.col("node")).join(classes.select("cid", "n", "copies"), "cid").select("cid", "n", "copies", "root", "set")
         of_class = of_class.join(cut(counted(placed), "links"), "cid", "left")
         links = [(F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")]
-    return signed.join(of_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("component", "doc_id").alias("component_id"), *links)
+    drop(sets)
+    # rows without shingles have no class: they don't meet the join, where all would have one key
+    joined_rows = signed.where("cid is not null").join(of_class, "cid").unionByName(signed.where("cid is null"), allowMissingColumns=True)
+    return joined_rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("component", "doc_id").alias("component_id"), *links)
