@@ -323,6 +323,37 @@ def test_training_order_round_trip(spark, request, data):
             assert [x for o in sorted(got[d]) for x in got[d][o][0]] == copies[0]
 
 
+def test_training_order_does_not_hang_on_splits(spark, sf, tmp_path, documents):
+    """Some files of several row groups, read in one split or many: the same shards."""
+    path = f"{tmp_path}/docs"
+    documents.limit(150).repartition(3).write.option("parquet.block.size", 20000).option("parquet.page.size", 4000).parquet(path)
+    made, before = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1g", "9000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1" if size == "9000" else "4m")
+            docs = spark.read.parquet(path)
+            folder = state.new_path(spark, "order-test")
+            made.append((docs.rdd.getNumPartitions(), sorted(rows(ordering.write_training_order(docs, queries.TOKENIZER, folder, length=32, rows_per_shard=64).groupBy("doc_id").agg(F.sum("n_tokens")))), [x.tobytes() for x in ordering.read_sequences(folder, queries.TOKENIZER, 0, 32, 64)]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert made[0][0] < made[1][0] and made[0][1:] == made[1][1:]
+
+
+def test_training_order_removes_what_an_earlier_run_left(spark, documents):
+    folder = state.new_path(spark, "order-test")
+    docs = documents.select("doc_id", "text")
+    ordering.write_training_order(docs, queries.TOKENIZER, folder, length=64, rows_per_shard=16)
+    spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+    import shutil
+
+    shutil.rmtree(ordering.local(f"{folder}/manifest-0"))
+    few = docs.where("doc_id < 20")
+    manifest = ordering.write_training_order(few, queries.TOKENIZER, folder, length=64, rows_per_shard=16)
+    assert len(list(ordering.read_sequences(folder, queries.TOKENIZER, 0, 64, 16))) == manifest.select("slot").distinct().count()
+
+
 def test_training_order_of_nothing(spark, empty):
     assert ordering.write_training_order(empty, queries.TOKENIZER, state.new_path(spark, "order-test")).count() == 0
 

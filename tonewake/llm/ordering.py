@@ -1,16 +1,18 @@
 """Training-order materialisation of token ids.
 
-Documents are tokenised, each closed by an end token, and packed within an input partition into sequences of one length (the
-last one of a partition is filled up with end tokens).  A keyed Feistel permutation with cycle-walking gives every sequence a
-global slot; ranges of slots go to writers, which write shards of fixed-stride records.  Slot s is record s % rows_per_shard
-of shard s // rows_per_shard, so a reader can resume anywhere by arithmetic.
+Documents are tokenised, each closed by an end token, and stand one after another in one stream of tokens: by file, and within
+a file as they are stored.  The stream is cut into sequences of one length (the last one is filled up with end tokens).  A
+keyed Feistel permutation with cycle-walking gives every sequence a global slot; ranges of slots go to writers, which write
+shards of fixed-stride records.  Slot s is record s % rows_per_shard of shard s // rows_per_shard, so a reader can resume
+anywhere by arithmetic.  The same files give the same shards, however Spark splits and deals them.
 
-Two narrow passes tokenise: the first counts the sequences of each partition, the second numbers and ships them; nothing but
-the shuffle and the shards is stored.  Should the second pass meet other partitions than the first (another split of the
-files), it fails and both are redone.  Shards are written under a temporary name and renamed, so a task may run again.
+Two narrow passes tokenise: the first counts the tokens of each split of a file, which gives every split its place in the
+stream; the second cuts and ships them.  A sequence that spans splits is put together by its writer.  Nothing but the shuffle
+and the shards is stored.  Should the second pass meet other splits than the first, it fails and both are redone.  Shards are
+written under a temporary name and renamed, so a task may run again; what an earlier attempt wrote is removed first.
 
 Defined results: a null or empty text is a document of its end token only; repeated rows are documents of their own; an
-empty table writes no shard.
+empty table writes no shard.  Rows that don't come straight from files stand by input partition, as nothing else orders them.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,75 +114,93 @@ def _mark(mark: int, column: pa.Array) -> int:
     return zlib.crc32("\n".join(map(str, column.to_pylist())).encode(), mark)
 
 
-def _counting(path: str, length: int):
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The batch's rows by (file, start of the split), in order; without files by partition."""
+    files, starts = batch.column("file").to_pylist(), batch.column("split").to_pylist()
+    at = 0
+    for i in range(1, batch.num_rows + 1):
+        if i == batch.num_rows or (files[i], starts[i]) != (files[at], starts[at]):
+            yield (files[at] or f"{TaskContext.get().partitionId():010d}", starts[at] or 0), batch.slice(at, i - at)
+            at = i
+
+
+COUNTED = pa.schema([("file", pa.string()), ("split", pa.int64()), ("tokens", pa.int64()), ("mark", pa.int64())])
+
+
+def _counting(path: str):
     def run(batches):
-        tokens, mark = 0, 0
-        encode = tokenizer(path)
+        encode, found = tokenizer(path), {}
         for batch in batches:
-            mark = _mark(mark, batch.column(0))
-            tokens += sum(encode.count(x.as_py()) for x in batch.column(1))
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "sequences": [-(-tokens // length)], "mark": [mark]}, schema=pa.schema([("part", pa.int32()), ("sequences", pa.int64()), ("mark", pa.int64())]))
+            for key, rows in _runs(batch):
+                tokens, mark = found.get(key, (0, 0))
+                found[key] = tokens + sum(encode.count(x.as_py()) for x in rows.column("text")), _mark(mark, rows.column("doc_id"))
+        yield pa.RecordBatch.from_pylist([{"file": f, "split": s, "tokens": n, "mark": m} for (f, s), (n, m) in found.items()], schema=COUNTED)
 
     return run
 
 
 SEGMENTS = [("seg_offset", pa.int64()), ("seg_at", pa.int32()), ("seg_tokens", pa.int32())]
+#: Sequences that are shipped as one batch.
+AT_ONCE = 512
 
 
-def _sequencing(path: str, length: int, starts, total: int, key: int, rows_per_shard: int, id_type: pa.DataType):
-    """Yields sequences: slot, shard, their bytes, and the documents' pieces in them."""
+def _sequencing(path: str, length: int, places, total: int, key: int, rows_per_shard: int, id_type: pa.DataType):
+    """Yields what each split has of each sequence: slot, shard, place in the sequence, bytes, and the documents' pieces in them."""
 
-    def packed(batches) -> Iterator[tuple[np.ndarray, list]]:
+    def run(batches):
         encode = tokenizer(path)
-        held, pieces, size = [], [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, at = encode(text.as_py()), 0
-                while at < len(ids):
-                    n = min(length - size, len(ids) - at)
-                    held.append(ids[at : at + n])
-                    pieces.append((doc, at, size, n))
-                    at, size = at + n, size + n
-                    if size == length:
-                        yield np.concatenate(held), pieces
-                        held, pieces, size = [], [], 0
-        if size:
-            yield np.concatenate([*held, np.full(length - size, encode.end, encode.dtype)]), pieces
+        group, held, pieces, begun, now, at, mark = [], [], [], 0, None, 0, 0
 
-    def run(batches):
-        part, mark = TaskContext.get().partitionId(), [0]
-        start, count, expected = starts.value.get(part, (0, 0, 0))
-
-        def seen():
-            for batch in batches:
-                mark[0] = _mark(mark[0], batch.column(0))
-                yield batch
-
-        group, number = [], start
-        for sequence in packed(seen()):
-            group.append(sequence)
-            if len(group) == 512:
-                yield rows(group, number)
-                number += len(group)
-                group = []
+        def close():
+            nonlocal held, pieces, begun
+            if held:
+                group.append((begun // length, begun % length, np.concatenate(held), pieces))
+            held, pieces, begun = [], [], at
+
+        def check():
+            if now is not None and (at, mark) != (places.value[now][1], places.value[now][2]):
+                raise RuntimeError(CHANGED)
+
+        for batch in batches:
+            for name, rows in _runs(batch):
+                if name != now:
+                    close()
+                    check()
+                    if name not in places.value:
+                        raise RuntimeError(CHANGED)
+                    now, at, mark = name, places.value[name][0], 0
+                    begun = at
+                mark = _mark(mark, rows.column("doc_id"))
+                for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text"), strict=True):
+                    ids, done = encode(text.as_py()), 0
+                    while done < len(ids):
+                        n = min(length - at % length, len(ids) - done)
+                        held.append(ids[done : done + n])
+                        pieces.append((doc, done, at % length, n))
+                        done, at = done + n, at + n
+                        if at % length == 0:
+                            close()
+                    if len(group) >= AT_ONCE:
+                        yield shipped(group)
+                        group.clear()
+        close()
+        check()
         if group:
-            yield rows(group, number)
-        if number + len(group) - start != count or mark[0] != expected:
-            raise RuntimeError(CHANGED)
+            yield shipped(group)
 
-    def rows(group, number):
-        slots = permuted(np.arange(number, number + len(group)), total, key)
-        lists = [[[p[k] for p in pieces] for _, pieces in group] for k in range(4)]
+    def shipped(group):
+        slots = permuted(np.array([g[0] for g in group]), total, key)
+        lists = [[[p[k] for p in g[3]] for g in group] for k in range(4)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(slots, pa.int64()), pa.array(slots // rows_per_shard, pa.int32()), pa.array([x.tobytes() for x, _ in group], pa.binary()), pa.array(lists[0], pa.list_(id_type)), *[pa.array(v, pa.list_(t)) for v, (_, t) in zip(lists[1:], SEGMENTS, strict=True)]],
-            names=["slot", "shard", "tokens", "seg_doc", *[c for c, _ in SEGMENTS]],
+            [pa.array(slots, pa.int64()), pa.array(slots // rows_per_shard, pa.int32()), pa.array([g[1] for g in group], pa.int32()), pa.array([g[2].tobytes() for g in group], pa.binary()), pa.array(lists[0], pa.list_(id_type)), *[pa.array(v, pa.list_(t)) for v, (_, t) in zip(lists[1:], SEGMENTS, strict=True)]],
+            names=["slot", "shard", "at", "tokens", "seg_doc", *[c for c, _ in SEGMENTS]],
         )
 
     return run
 
 
 def _open(path: str, mode: str):
-    """A file in the shared folder: a mounted one as such, others by Arrow's file systems."""
+    """A file in the shared folder: a mounted one as such, others by Arrow's file systems.  Writers get paths with a scheme."""
     if path.startswith("file:") or "://" not in path:
         return open(local(path), mode)
     from pyarrow import fs
@@ -207,8 +227,8 @@ def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
 
-def _writing(folder: str, itemsize: int):
-    """Writes each shard when its rows are in, and passes on all but the tokens, with a checksum for each piece."""
+def _writing(folder: str, itemsize: int, length: int, end: bytes, last_slot: int):
+    """Puts sequences together, writes each shard when its rows are in, and passes on all but the tokens, with a checksum for each piece."""
 
     def flush(shard: int, records: list[bytes]) -> None:
         path = shard_path(folder, shard)
@@ -218,26 +238,67 @@ def _writing(folder: str, itemsize: int):
                 f.write(r)
         _rename(own, path)
 
+    def whole(slot: int, parts: list[bytes]) -> bytes:
+        record = b"".join(parts)
+        if len(record) < length * itemsize and slot == last_slot:
+            record += end * (length - len(record) // itemsize)
+        if len(record) != length * itemsize:
+            raise RuntimeError(f"sequence {slot} isn't whole")
+        return record
+
     def run(batches):
-        shard, records = None, []
+        shard, slot, parts, records = None, None, [], []
         for batch in batches:
             crcs = []
-            for s, tokens, ats, counts in zip(batch.column("shard").to_pylist(), batch.column("tokens"), batch.column("seg_at").to_pylist(), batch.column("seg_tokens").to_pylist(), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("shard", "slot", "at", "seg_at", "seg_tokens")]
+            for s, n, at, ats, counts, tokens in zip(*columns, batch.column("tokens"), strict=True):
+                if n != slot:
+                    if parts:
+                        records.append(whole(slot, parts))
+                    slot, parts = n, []
                 if s != shard:
                     if records:
                         flush(shard, records)
                     shard, records = s, []
                 raw = tokens.as_py()
-                records.append(raw)
-                crcs.append([zlib.crc32(raw[a * itemsize : (a + n) * itemsize]) for a, n in zip(ats, counts, strict=True)])
+                parts.append(raw)
+                crcs.append([zlib.crc32(raw[(a - at) * itemsize : (a - at + k) * itemsize]) for a, k in zip(ats, counts, strict=True)])
             keep = ["slot", "shard", "seg_doc", *[c for c, _ in SEGMENTS]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(crcs, pa.list_(pa.int64()))], names=[*keep, "seg_crc"])
+        if parts:
+            records.append(whole(slot, parts))
         if records:
             flush(shard, records)
 
     return run
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, file and split (its first byte); the last two are null where rows don't come straight from files."""
+    light = docs.select("doc_id", F.col("text").cast("string").alias("text"), "_metadata") if _of_files(docs) else docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    found = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")] if "_metadata" in light.columns else [F.lit(None).cast("string"), F.lit(None).cast("long")]
+    return light.select("doc_id", "text", found[0].alias("file"), found[1].alias("split"))
+
+
+def _of_files(docs: DataFrame) -> bool:
+    try:
+        docs.select("_metadata.file_path", "_metadata.file_block_start").schema
+    except AnalysisException:
+        return False
+    return "_metadata" not in docs.columns
+
+
+def _emptied(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, without shards of an earlier attempt."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    for status in system.listStatus(where):
+        if status.getPath().getName().startswith(("shard-", "sequences")):
+            system.delete(status.getPath(), True)
+    return system.makeQualified(where).toString()
+
+
 def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str, key: int = 2024, length: int = LENGTH, rows_per_shard: int = ROWS_PER_SHARD, attempts: int = 3) -> DataFrame:
     """Writes shards and a manifest into folder, which all executors share; returns the manifest.
 
@@ -245,29 +306,30 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str, key:
     document's tokens), seq_offset, n_tokens, crc32 (of the piece's bytes)."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    light = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    light = _placed(docs)
     id_type = pa.string() if isinstance(light.schema["doc_id"].dataType, T.StringType) else pa.int64()
     if id_type == pa.int64():
         light = light.withColumn("doc_id", F.col("doc_id").cast("long"))
-    itemsize = tokenizer(tokenizer_path).dtype.itemsize
+    made_by = tokenizer(tokenizer_path)
+    itemsize, end = made_by.dtype.itemsize, np.array([made_by.end], made_by.dtype).tobytes()
     kind = "string" if id_type == pa.string() else "bigint"
-    sequence = f"slot bigint, shard int, tokens binary, seg_doc array<{kind}>, seg_offset array<bigint>, seg_at array<int>, seg_tokens array<int>"
-    if local(folder) == folder or folder.startswith("file:"):
-        if "://" not in folder or folder.startswith("file:"):
-            os.makedirs(local(folder), exist_ok=True)
+    segments = f"seg_doc array<{kind}>, seg_offset array<bigint>, seg_at array<int>, seg_tokens array<int>"
     for attempt in range(attempts):
-        counts = sorted((r["part"], r["sequences"], r["mark"]) for r in light.mapInArrow(_counting(tokenizer_path, length), "part int, sequences bigint, mark bigint").collect())  # a row for each partition
-        starts, total = {}, 0
-        for part, n, mark in counts:
-            starts[part] = (total, n, mark)
-            total += n
-        sent = spark.sparkContext.broadcast(starts)
+        folder = _emptied(spark, folder)
+        counts = sorted((r["file"], r["split"], r["tokens"], r["mark"]) for r in light.mapInArrow(_counting(tokenizer_path), "file string, split bigint, tokens bigint, mark bigint").collect())  # a row for each split
+        places, tokens = {}, 0
+        for file, split, n, mark in counts:
+            places[file, split] = (tokens, tokens + n, mark)
+            tokens += n
+        sent = spark.sparkContext.broadcast(places)
+        total = -(-tokens // length)
         shards = -(-total // rows_per_shard)
         tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        made = light.mapInArrow(_sequencing(tokenizer_path, length, sent, total, key, rows_per_shard, id_type), sequence)
+        made = light.mapInArrow(_sequencing(tokenizer_path, length, sent, total, key, rows_per_shard, id_type), f"slot bigint, shard int, at int, tokens binary, {segments}")
         if shards:
-            made = made.repartitionById(tasks, F.floor(F.col("shard") * F.lit(tasks) / F.lit(shards)).cast("int")).sortWithinPartitions("slot")
-        written = made.mapInArrow(_writing(folder, itemsize), sequence.replace("tokens binary, ", "", 1) + ", seg_crc array<bigint>")
+            made = made.repartitionById(tasks, F.floor(F.col("shard") * F.lit(tasks) / F.lit(shards)).cast("int")).sortWithinPartitions("slot", "at")
+        last_slot = int(permuted(np.array([total - 1]), total, key)[0]) if total else -1
+        written = made.mapInArrow(_writing(folder, itemsize, length, end, last_slot), f"slot bigint, shard int, {segments}, seg_crc array<bigint>")
         pieces = written.select("slot", "shard", F.explode(F.arrays_zip("seg_doc", *[c for c, _ in SEGMENTS], "seg_crc")).alias("p"))
         manifest = f"{folder}/manifest-{attempt}"
         try:
@@ -276,6 +338,8 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str, key:
             if CHANGED not in str(e) or attempt == attempts - 1:
                 raise
             continue
+        with _open(f"{folder}/sequences", "wb") as f:
+            f.write(b"%d" % total)
         return spark.read.parquet(manifest)
     raise RuntimeError(CHANGED)
 
@@ -284,15 +348,13 @@ def read_sequences(folder: str, tokenizer_path: str, start: int = 0, length: int
     """The sequences from slot start on, in training order."""
     dtype = tokenizer(tokenizer_path).dtype
     stride = length * dtype.itemsize
-    while True:
-        try:
-            f = _open(shard_path(folder, start // rows_per_shard), "rb")
-        except FileNotFoundError:
-            return
-        with f:
+    with _open(f"{folder}/sequences", "rb") as f:
+        total = int(f.read())
+    while start < total:
+        with _open(shard_path(folder, start // rows_per_shard), "rb") as f:
             f.seek(start % rows_per_shard * stride)
             while raw := f.read(stride):
                 yield np.frombuffer(raw, dtype)
                 start += 1
-        if start % rows_per_shard:
-            return
+                if start % rows_per_shard == 0:
+                    break

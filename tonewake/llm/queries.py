@@ -52,7 +52,7 @@ def op5_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.write_training_order(texts(spark, sf_dir), TOKENIZER, new_path(spark, "training-order"))
+    return ordering.write_training_order(texts(spark, sf_dir), TOKENIZER, new_path(spark, "training-order", keep=True))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt, path = sharding.shard(texts(spark, sf_dir), 40, ["doc_id", "text"]), new_path(spark, "shards")
+    dealt, path = sharding.shard(texts(spark, sf_dir), 40, ["doc_id", "text"]), new_path(spark, "shards", keep=True)
     sharding.write_shards(dealt, path)
     text = F.coalesce(F.col("text"), F.lit(""))
     return sharding.read_shards(spark, path, dealt).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
