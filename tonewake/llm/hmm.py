@@ -50,7 +50,11 @@ PRIOR = 2000.0
 #: Text of a range of words, and the most ranges there are.
 RANGE_BYTES, MAX_RANGES = 48 << 20, 1 << 16
 #: Classes of a range, when expected counts are added up.
-CLASS_RANGE = 1 << 14
+CLASS_RANGE = 1 << 10
+#: Partitions whose counts are added up first.
+PARTS_AT_ONCE = 256
+#: Pieces that one step of the recursions takes.
+PIECES_AT_ONCE = 2048
 RARE_AT_ONCE = 1 << 20
 END = int(mix(np.array([0xE2D], np.uint64))[0])
 TABLE_BITS = 22
@@ -227,32 +231,8 @@ def as_grid(classes: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
     return grid, sizes
 
 
-class Counts:
-    """Expected counts: starts of texts and of later pieces, transitions, emissions of the classes met, log10 likelihood, tokens."""
-
-    def __init__(self, k: int):
-        self.head = np.zeros(2 * k + k * k + 2)
-        self.k, self.held, self.size = k, [], 0
-
-    def add(self, head: np.ndarray, ids: np.ndarray, emits: np.ndarray) -> None:
-        self.head += head
-        self.held.append((ids, emits))
-        self.size += len(ids)
-        if self.size > 1 << 18 and len(self.held) > 1:
-            self.held = [self.merged()]
-            self.size = max(len(self.held[0][0]), 1 << 17)
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.held:
-            return np.zeros(0, np.int32), np.zeros((0, self.k))
-        ids = np.concatenate([i for i, _ in self.held])
-        own, back = np.unique(ids, return_inverse=True)
-        emits = np.concatenate([e for _, e in self.held])
-        return own.astype(np.int32), np.stack([np.bincount(back, emits[:, j], len(own)) for j in range(self.k)], 1)
-
-
 def expected(model, grid: np.ndarray, sizes: np.ndarray):
-    """Baum-Welch counts of the pieces, as Counts.add() takes them."""
+    """Baum-Welch counts of the pieces: starts of texts and of later pieces, transitions, log10 likelihood and tokens in one array; emissions by class."""
     start, later, move, by_class = model
     k = len(start)
     goes_on, sizes = sizes < 0, np.abs(sizes)
@@ -260,12 +240,10 @@ def expected(model, grid: np.ndarray, sizes: np.ndarray):
     grid, sizes, goes_on = grid[order], sizes[order], goes_on[order]
     steps = int(sizes[0])
     live = [int(np.searchsorted(-sizes, -t, "left")) for t in range(steps)]
-    own, numbers = np.unique(grid, return_inverse=True)  # the classes met, so that what follows stays in the cache
-    table, numbers = by_class[own].astype(float), numbers.reshape(grid.shape)
     first = np.where(goes_on[:, None], later, start)
     alpha, scale = [], []
     for t in range(steps):
-        a = (alpha[-1][: live[t]] @ move if t else first) * table[numbers[: live[t], t]]
+        a = (alpha[-1][: live[t]] @ move if t else first) * by_class[grid[: live[t], t]]
         s = a.sum(1, keepdims=True)
         alpha.append(a / s)
         scale.append(s)
@@ -274,29 +252,28 @@ def expected(model, grid: np.ndarray, sizes: np.ndarray):
     weights[-1] = alpha[-1]
     for t in range(steps - 2, -1, -1):
         n = live[t + 1]
-        ahead = table[numbers[:n, t + 1]] * beta / scale[t + 1]
+        ahead = by_class[grid[:n, t + 1]] * beta / scale[t + 1]
         moves += alpha[t][:n].T @ ahead
         beta = np.concatenate([ahead @ move.T, np.ones((live[t] - n, k))])
         weights[t] = alpha[t] * beta
     moves *= move
     opening = weights[0]
     weights[0] = np.where(goes_on[:, None], 0.0, opening)  # a repeated token has been counted in the piece before
-    met = np.concatenate([numbers[: live[t], t] for t in range(steps)])
+    met = np.concatenate([grid[: live[t], t] for t in range(steps)])
     flat_weights = np.concatenate(weights)
-    emits = np.stack([np.bincount(met, flat_weights[:, j], len(own)) for j in range(k)], 1)
+    emits = np.stack([np.bincount(met, flat_weights[:, j], len(by_class)) for j in range(k)], 1)
     logs = [np.log10(s[:, 0]) for s in scale]
     logs[0] = np.where(goes_on, 0.0, logs[0])
     head = np.concatenate([opening[~goes_on].sum(0), opening[goes_on].sum(0), moves.ravel(), [float(sum(x.sum() for x in logs)), float(sizes.sum() - goes_on.sum())]])
-    return head, own, emits
+    return head, emits
 
 
-def estimated(words: Vocabulary, k: int, head: np.ndarray, ids: np.ndarray, emits: np.ndarray):
+def estimated(words: Vocabulary, k: int, head: np.ndarray, emits: np.ndarray):
     """The model of the counts: start, start of later pieces, transitions, and for each class what the states give it (float32).
 
     Emissions lean on the overall shares by PRIOR tokens, so no class has probability 0."""
     start, later, moves = head[:k] + 0.1, head[k : 2 * k] + 0.1, head[2 * k : 2 * k + k * k].reshape(k, k) + 0.1
-    by_class = np.repeat(PRIOR * words.overall()[:, None], k, 1)
-    by_class[ids] += emits
+    by_class = PRIOR * words.overall()[:, None] + emits
     return start / start.sum(), later / later.sum(), moves / moves.sum(1, keepdims=True), (by_class / by_class.sum(0)).astype(np.float32)
 
 
@@ -331,10 +308,19 @@ def baum_welch(docs: DataFrame, words: Vocabulary, passes: int = PASSES, states:
 
     stored = cut(docs.mapInArrow(classed, "c binary, s binary, k binary"), "classes")  # four bytes a token
 
-    def grids(batches):
+    def grids(batches, at_once=1):
+        """The stored pieces as grids of at_once or more."""
+        held, n = ([], [], []), 0
         for batch in batches:
-            for c, s, k in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                yield *as_grid(c.as_buffer(), s.as_buffer()), np.frombuffer(k.as_buffer(), np.uint64)
+            for row in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                for part, x in zip(held, row, strict=True):
+                    part.append(x.as_py())
+                n += len(held[1][-1]) // 4
+                if n >= at_once:
+                    yield *as_grid(b"".join(held[0]), b"".join(held[1])), np.frombuffer(b"".join(held[2]), np.uint64)
+                    held, n = ([], [], []), 0
+        if n:
+            yield *as_grid(b"".join(held[0]), b"".join(held[1])), np.frombuffer(b"".join(held[2]), np.uint64)
 
     def sampled(batches):
         for grid, sizes, keys in grids(batches):
@@ -352,37 +338,41 @@ def baum_welch(docs: DataFrame, words: Vocabulary, passes: int = PASSES, states:
         now = context.broadcast(model)
 
         def counted(batches, now=now):
-            total = Counts(states)
-            for grid, sizes, _ in grids(batches):
-                total.add(*expected(now.value, grid, sizes))
-            if total.head[-1]:
-                ids, emits = total.merged()
-                part = TaskContext.get().partitionId() % 256
-                rows = [{"k": -1 - part, "i": b"", "x": total.head.tobytes()}]
-                edges = np.searchsorted(ids, np.arange(0, words_classes + CLASS_RANGE, CLASS_RANGE))
-                rows += [{"k": r, "i": ids[a:b].tobytes(), "x": emits[a:b].tobytes()} for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("k", pa.int32()), ("i", pa.binary()), ("x", pa.binary())]))
-
-        words_classes = words.classes
-
-        def added(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            if key[0] < 0:
-                return pd.DataFrame([{"k": key[0], "i": b"", "x": sum(np.frombuffer(x) for x in pdf["x"]).tobytes()}])
+            head, emits = None, None
+            for grid, sizes, _ in grids(batches, PIECES_AT_ONCE):
+                one, two = expected(now.value, grid, sizes)
+                head, emits = (one, two) if head is None else (head + one, emits + two)
+            if head is not None:
+                block = TaskContext.get().partitionId() // PARTS_AT_ONCE
+                ids = np.flatnonzero(emits.any(1)).astype(np.int32)
+                rows = [{"b": block, "k": -1, "i": b"", "x": head.tobytes()}]
+                edges = np.searchsorted(ids, np.arange(0, len(emits) + CLASS_RANGE, CLASS_RANGE))
+                rows += [{"b": block, "k": r, "i": ids[a:b].tobytes(), "x": emits[ids[a:b]].tobytes()} for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("b", pa.int32()), ("k", pa.int32()), ("i", pa.binary()), ("x", pa.binary())]))
+
+        def added(pdf: pd.DataFrame) -> pd.DataFrame:
+            block, k = int(pdf["b"].iloc[0]), int(pdf["k"].iloc[0])
+            if k < 0:
+                return pd.DataFrame([{"b": block, "k": k, "i": b"", "x": sum(np.frombuffer(x) for x in pdf["x"]).tobytes()}])
             total = np.zeros((CLASS_RANGE, states))
             for i, x in zip(pdf["i"], pdf["x"], strict=True):
-                total[np.frombuffer(i, np.int32) - key[0] * CLASS_RANGE] += np.frombuffer(x).reshape(-1, states)
+                total[np.frombuffer(i, np.int32) - k * CLASS_RANGE] += np.frombuffer(x).reshape(-1, states)
             some = np.flatnonzero(total.any(1)).astype(np.int32)
-            return pd.DataFrame([{"k": key[0], "i": (some + key[0] * CLASS_RANGE).astype(np.int32).tobytes(), "x": total[some].tobytes()}])
+            return pd.DataFrame([{"b": block, "k": k, "i": (some + k * CLASS_RANGE).astype(np.int32).tobytes(), "x": total[some].tobytes()}])
 
-        rows = stored.mapInArrow(counted, "k int, i binary, x binary").groupBy("k").applyInPandas(added, "k int, i binary, x binary").collect()  # a row for each class met at most, and 256
+        # blocks of partitions first, then all: no group grows with the number of tasks but by a part of it
+        kinds = "b int, k int, i binary, x binary"
+        once = stored.mapInArrow(counted, kinds).groupBy("k", "b").applyInPandas(added, kinds)
+        rows = once.groupBy("k").applyInPandas(added, kinds).collect()  # a row for each CLASS_RANGE classes; 64 bytes a class
         now.unpersist()
         heads = [np.frombuffer(bytes(r["x"])) for r in rows if r["k"] < 0]
         if not heads:
             break
         head = sum(heads)
         ids = np.concatenate([np.frombuffer(bytes(r["i"]), np.int32) for r in rows if r["k"] >= 0])
-        emits = np.concatenate([np.frombuffer(bytes(r["x"])).reshape(-1, states) for r in rows if r["k"] >= 0])
-        model = estimated(words, states, head, ids, emits)
+        emits = np.zeros((words.classes, states))
+        emits[ids] = np.concatenate([np.frombuffer(bytes(r["x"])).reshape(-1, states) for r in rows if r["k"] >= 0])
+        model = estimated(words, states, head, emits)
         history.append(float(head[-2] / head[-1]))
         if len(history) > 1 and history[-1] - history[-2] < TOLERANCE:
             break
@@ -398,12 +388,10 @@ def forward(model, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.zeros(len(sizes))
     order = np.argsort(-sizes, kind="stable")
     at, sizes = at[:-1][order], sizes[order]
-    own, numbers = np.unique(cls, return_inverse=True)
-    table = by_class[own].astype(float)
     live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")
     score, a = np.zeros(len(sizes)), None
     for t, n in enumerate(live.tolist()):
-        a = (a[:n] @ move if t else np.broadcast_to(start, (n, len(start)))) * table[numbers[at[:n] + t]]
+        a = (a[:n] @ move if t else np.broadcast_to(start, (n, len(start)))) * by_class[cls[at[:n] + t]]
         s = a.sum(1)
         a = a / s[:, None]
         score[:n] += np.log10(s)
@@ -432,7 +420,7 @@ def _score(sent, n_ranges: int, id_type: pa.DataType):
             out = held_out_ids(ids)
             n = len(ids)
             logs, known, norm, sizes = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
-            scores = np.zeros(n)
+            classes = []
             for i, at, h, e in tokens(batch.column(1)):
                 place = words.find(h)
                 cls = words.of(place, e)
@@ -444,9 +432,10 @@ def _score(sent, n_ranges: int, id_type: pa.DataType):
                 sizes[i : i + len(at) - 1] = np.diff(at) + 1
                 with_end = np.zeros(len(cls) + len(at) - 1, np.int32)
                 with_end[np.arange(len(cls)) + doc - i] = cls
-                scores[i : i + len(at) - 1] = forward(model, with_end, np.concatenate([[0], np.cumsum(np.diff(at) + 1)]))
+                classes.append(with_end)
                 rare.append((h[~hot], (((doc[~hot] + number).astype(np.uint32) << np.uint32(1)) | (~out[doc[~hot]]).astype(np.uint32))))
                 held += len(rare[-1][0])
+            scores = forward(model, np.concatenate(classes) if classes else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)]))
             own = logs + np.log10(words.ends + 1.0)  # words with a class, and the end: in the base score, but 1 given their class
             known += words.ends > 0
             sink = io.BytesIO()
