@@ -571,6 +571,43 @@ def test_surrogates_are_bijections():
     assert re.fullmatch(r"[\u0400-\u042F][\u0430-\u045F]+", surrogates.name(secret, "Иванова"))
 
 
+def test_no_surrogate_is_the_value_itself():
+    key = b"k" * 32
+    for one in ("Fu", "Ou", "Xy"):
+        assert surrogates.name(key, one) != one
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = {a + b: surrogates.reformat(key, "local", a + b, True) for a in letters for b in letters}
+    assert all(x != y for x, y in made.items()) and len(set(made.values())) == len(made)
+    for n in (2, 3, 10):
+        moved = [surrogates.permute(key, "t", [i], [n]) for i in range(n)]
+        assert sorted(moved) == [[i] for i in range(n)] and all(m != [i] for i, m in enumerate(moved))
+
+
+@pytest.mark.parametrize(
+    ("text", "gone"),
+    [("My name is Priya Natarajan. Later Natarajan went.", "Natarajan"), ("Frau Yılmaz kam.", "Yılmaz"), ("Wei Zhang <wei@mail.example.com> wrote.", "Zhang"), ("張偉先生来了。他叫張偉吗", "張偉"), ("Dear Natalia Petrova, hello.", "Petrova"), ("Mrs. Priya Natarajan spoke; then Priya Natarajan left.", "Priya"), ("at 2001:db8::8a2e:370:7334 now", "2001:db8"), ("host 010.001.002.003 up", "010.001")],
+)
+def test_more_entities_are_found(text, gone):
+    assert gone not in surrogates.replaced(b"k" * 32, text, {})[0]
+
+
+def test_times_are_no_addresses_and_versions_agree():
+    key = b"k" * 32
+    assert surrogates.replaced(key, "at 12:30:45 and 1:2:3", {})[1] == []
+    assert surrogates.canonical("ip", surrogates.ip(key, "10.1.2.3")) == surrogates.canonical("ip", surrogates.ip(key, "010.001.002.003"))
+    assert surrogates.canonical("ip", surrogates.ip(key, "2001:db8::1")) == surrogates.canonical("ip", surrogates.ip(key, "2001:0DB8:0:0:0:0:0:1"))
+
+
+def test_valid_account_numbers_stay_valid():
+    key = b"k" * 32
+    for text in ("DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"):
+        new = surrogates.iban(key, text)
+        assert new != text and new[:2] == text[:2] and len(new) == len(text)
+        assert surrogates._remainder(new[:2], new[4:].replace(" ", ""), new[2:4]) == 1
+    bad = surrogates.iban(key, "DE88370400440532013000")
+    assert surrogates._remainder(bad[:2], bad[4:], bad[2:4]) != 1
+
+
 def test_surrogates_follow_case():
     secret, token = b"k" * 32, "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     for text in (f"Token {token}.", "Mail anna.lee@mail.example.com now"):

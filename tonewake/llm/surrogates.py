@@ -12,33 +12,46 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import ipaddress
 import re
 import unicodedata
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonewake.sources.shipping import ship
 
-#: Given names by gender, family names, titles.
+#: Our choices: given names by gender, family names, titles, and what stands before a name in running text.
 FEMALE = ("Alice", "Anna", "Camille", "Carmen", "Claire", "Elena", "Elizabeth", "Emma", "Hannah", "Isabel", "Jennifer", "Julia", "Laura", "Linda", "Lucia", "Maria", "Marie", "Mary", "Olivia", "Patricia", "Sarah", "Sofia", "Sophie", "Susan")
 MALE = ("Alexander", "Antonio", "Carlos", "Daniel", "David", "Felix", "Francisco", "Hans", "James", "Jean", "John", "Jorge", "Juan", "Karl", "Lucas", "Michael", "Miguel", "Pablo", "Paul", "Peter", "Pierre", "Robert", "Thomas", "William")
 FAMILY = ("Anderson", "Becker", "Bernard", "Brown", "Davis", "Dubois", "Durand", "Fischer", "Garcia", "Gonzalez", "Hernandez", "Hoffmann", "Johnson", "Jones", "Lambert", "Lopez", "Martin", "Martinez", "Meyer", "Miller", "Moreau", "Schmidt", "Schneider", "Smith", "Taylor", "Weber", "Williams", "Wilson")
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Señor", "Señora")
 
-CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][a-zà-öø-ÿα-ωа-я'-]+"
+CUES = ("my name is", "i am called", "je m'appelle", "mon nom est", "ich heiße", "mein name ist", "me llamo", "mi nombre es", "name:", "nom:", "nombre:", "author:", "contact:", "from:", "to:", "signed,", "sincerely,", "regards,", "mit freundlichen grüßen", "cordialement,", "atentamente,", "dear", "liebe", "lieber", "cher", "chère", "querido", "querida", "estimado", "estimada", "sehr geehrter herr", "sehr geehrte frau")
+#: After a Han name, and before one.
+HONORIFICS, LABELS = ("先生", "女士", "小姐", "さん", "様", "氏"), ("姓名", "名前", "氏名")
+
+CAPITAL = r"\p{Lu}[\p{L}'’-]*\p{Ll}[\p{L}'’-]*"
 GIVEN = "|".join(FEMALE + MALE)
-NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\.?\s(?P<titled>{CAPITAL}(?:\s{CAPITAL})?)|(?P<full>(?:{GIVEN})\s{CAPITAL}))")
-NAME_HINT = re.compile(rf"\b(?:{'|'.join(TITLES)}|{GIVEN})\b")
+NAME = regex.compile(
+    rf"\b(?:(?P<title>{'|'.join(TITLES)})\.?\s(?P<titled>{CAPITAL}(?:\s{CAPITAL})?)|(?P<full>(?:{GIVEN})\s{CAPITAL}))"
+    rf"|(?<![\p{{L}}])(?i:{'|'.join(map(re.escape, CUES))})\s+(?P<cued>{CAPITAL}(?:[ ]{CAPITAL}){{1,2}})"
+    rf"|\b(?P<mailed>{CAPITAL}(?:[ ]{CAPITAL}){{1,2}})(?=\s<[^\s<>@]+@)"
+    rf"|(?P<han>\p{{Han}}{{2,4}}?)(?={'|'.join(HONORIFICS)})|(?:{'|'.join(LABELS)})[:：]\s*(?P<labelled>\p{{Han}}{{2,4}})"
+)
+HAN = regex.compile(r"\p{Han}")
+NAME_GROUPS = ("titled", "full", "cued", "mailed", "han", "labelled")
+NAME_HINT = re.compile(rf"\b(?:{'|'.join(TITLES)}|{GIVEN})\b|(?i:{'|'.join(re.escape(c) for c in CUES)})|<[^\s<>@]+@|{'|'.join(HONORIFICS + LABELS)}")
 #: A phone ends where, after a space, an address, card, number or secret of its own starts.
 APART = r"(?! (?:(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)|(?:\d{4}[ -]?){3}\d{1,7}(?![ -]?\d)|\d{3}-\d{2,3}-\d{4}(?![\d-])|(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32}|[A-Za-z0-9._%+-]+@))"
 STRUCTURED = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>\b(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,}|\bAKIA[0-9A-Z]{16}\b|(?<![0-9A-Za-z])(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*[0-9])[0-9A-F]{32,64})(?![0-9A-Za-z]))"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b)"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
+    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?![\d]|\.\d)|(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])(?:\d{4}[ -]?){3}\d{1,7}(?!\d))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:" + rf"(?:{APART}[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?:[ .-]?\d{{2,4}}){{2,4}}(?!\d|\.\d))" + r"|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-]))"
@@ -54,18 +67,26 @@ def _round(key: bytes, tweak: str, side: int, number: int, modulus: int) -> int:
     return int.from_bytes(out[:n], "big") % modulus
 
 
-def permute(key: bytes, tweak: str, digits: list[int], radices: list[int], rounds: int = 8) -> list[int]:
-    """A keyed bijection of mixed-radix numbers: an alternating Feistel network over their two halves."""
+def permute(key: bytes, tweak: str, digits: list[int], radices: list[int], rounds: int = 6) -> list[int]:
+    """A keyed bijection of mixed-radix numbers that moves every one of them.
+
+    An alternating Feistel network over their two halves, a keyed step that isn't 0, and the network backwards: a step has no
+    fixed point, and so what it is turned into has none."""
     half = (len(digits) + 1) // 2
     sizes = [1, 1]
     parts = [0, 0]
     for i, (d, r) in enumerate(zip(digits, radices, strict=True)):
         side = i >= half
         parts[side], sizes[side] = parts[side] * r + d, sizes[side] * r
-    for k in range(rounds):
-        side = k % 2
-        if sizes[side] > 1:
-            parts[side] = (parts[side] + _round(key, tweak, k, parts[1 - side], sizes[side])) % sizes[side]
+    sides = [k % 2 for k in range(rounds) if sizes[k % 2] > 1]
+    for k, side in enumerate(sides):
+        parts[side] = (parts[side] + _round(key, tweak, k, parts[1 - side], sizes[side])) % sizes[side]
+    whole = sizes[0] * sizes[1]
+    if whole > 1:
+        moved = (parts[0] * sizes[1] + parts[1] + 1 + _round(key, tweak, rounds, 0, whole - 1)) % whole
+        parts = list(divmod(moved, sizes[1]))
+    for k, side in reversed(list(enumerate(sides))):
+        parts[side] = (parts[side] - _round(key, tweak, k, parts[1 - side], sizes[side])) % sizes[side]
     out = []
     for i in range(len(digits) - 1, -1, -1):
         side = i >= half
@@ -114,10 +135,33 @@ def card(key: bytes, text: str) -> str:
 
 
 def ip(key: bytes, text: str) -> str:
+    """Version 4 by octets, each as wide as it was where zeros led it; version 6 by groups."""
+    if ":" in text:
+        groups = [int(g, 16) for g in ipaddress.IPv6Address(text).exploded.split(":")]
+        made = ":".join(f"{g:x}" for g in permute(key, "ip6", groups, [65536] * 8))
+        return made.upper() if text != text.lower() else made
     octets = text.split(".")
-    if any(len(o) > 1 and o[0] == "0" for o in octets):
-        return reformat(key, "ip0", text)
-    return ".".join(map(str, permute(key, "ip", [int(o) for o in octets], [256] * 4)))
+    moved = permute(key, "ip", [int(o) for o in octets], [256] * 4)
+    return ".".join(str(v).zfill(len(o) if len(o) > 1 and o[0] == "0" else 1) for o, v in zip(octets, moved, strict=True))
+
+
+def _remainder(country: str, body: str, check: str) -> int:
+    return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
+
+
+def iban(key: bytes, text: str) -> str:
+    """The country stays; a valid number gets a valid one, any other an invalid one."""
+    country, check, body = text[:2], text[2:4], text[4:]
+    plain = body.replace(" ", "")
+    if _remainder(country, plain, check) == 1 and "02" <= check <= "98":
+        moved = reformat(key, "iban" + country, body, loose=True)
+        return f"{country}{98 - _remainder(country, moved.replace(' ', ''), '00'):02d}{moved}"
+    made = text[2:]
+    while True:  # cycle-walking keeps it a permutation of the invalid ones
+        made = reformat(key, "iban-" + country, made, loose=True)
+        digits = made.replace(" ", "")
+        if not (_remainder(country, digits[2:], digits[:2]) == 1 and "02" <= digits[:2] <= "98"):
+            return country + made
 
 
 #: Country codes of one and two digits; all others have three.
@@ -162,26 +206,32 @@ def name(key: bytes, text: str) -> str:
 
 
 def surrogate(key: bytes, kind: str, text: str) -> str:
-    if kind in ("card", "ip", "phone", "email", "name"):
-        return {"card": card, "ip": ip, "phone": phone, "email": email, "name": name}[kind](key, text)
+    if kind in ("card", "ip", "phone", "email", "name", "iban"):
+        return {"card": card, "ip": ip, "phone": phone, "email": email, "name": name, "iban": iban}[kind](key, text)
     if kind == "secret":
         m = re.match(r"(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA", text)
         if not m:  # hexadecimal, in either case
             made = reformat(key, kind, text.lower(), alphabet="0123456789abcdef")
             return made.upper() if text.isupper() else made
         return m[0] + reformat(key, kind + m[0], text[len(m[0]) :])
-    return text[:2] + reformat(key, kind + text[:2], text[2:], loose=True) if kind == "iban" else reformat(key, kind, text)
+    return reformat(key, kind, text)
+
+
+def _version_6(text: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what is found, in order, without overlaps."""
     found = []
-    if re.search(r"\d", text) or "@" in text or "-" in text or "_" in text:
-        found = [(m.start(), m.end(), m.lastgroup) for m in STRUCTURED.finditer(text)]
+    if re.search(r"\d", text) or "@" in text or "-" in text or "_" in text or "::" in text:
+        found = [(m.start(), m.end(), m.lastgroup) for m in STRUCTURED.finditer(text) if ":" not in m[0] or m.lastgroup != "ip" or _version_6(m[0])]
     if NAME_HINT.search(text):
         for m in NAME.finditer(text):
-            group = "titled" if m["titled"] else "full"
-            a, b = m.span(group)
+            a, b = m.span(next(g for g in NAME_GROUPS if m[g]))
             if not any(a < y and x < b for x, y, _ in found):
                 found.append((a, b, "name"))
         found += mentions(text, found)
@@ -197,7 +247,10 @@ def mentions(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, in
                 first[word] = min(b, first.get(word, b))
     if not first:
         return []
-    words = re.compile(rf"(?<![\w'-])(?:{'|'.join(map(re.escape, sorted(first, key=len, reverse=True)))})(?![\w-]|'(?!s\b))")
+    spaced = [w for w in first if not HAN.match(w)]
+    kinds = [rf"(?<![\w'-])(?:{'|'.join(map(re.escape, sorted(spaced, key=len, reverse=True)))})(?![\w-]|'(?!s\b))"] if spaced else []
+    kinds += [re.escape(w) for w in sorted(first.keys() - set(spaced), key=len, reverse=True)]  # no blanks stand around these
+    words = re.compile("|".join(kinds))
     taken = sorted(found)
     starts = [a for a, _, _ in taken]
     out = []
@@ -215,6 +268,8 @@ def canonical(kind: str, text: str) -> str:
         return digits if kind == "card" or text[0] == "+" else "1" + digits
     if kind == "iban":
         return text.replace(" ", "")
+    if kind == "ip":
+        return ipaddress.IPv6Address(text).exploded if ":" in text else ".".join(str(int(o)) for o in text.split("."))
     return text.lower() if kind == "email" or kind == "secret" and re.fullmatch("[0-9A-Fa-f]+", text) else text
 
 
