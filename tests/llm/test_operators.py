@@ -94,6 +94,15 @@ def test_mixing_edges(edge, empty):
     assert all(r["copies"] == 0 and r["target"] == 0 for r in mixing.mix(edge.where("doc_id in (1, 2)")).collect())
 
 
+def test_mixing_of_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_CELL", 50)
+    data = [(7 if i % 2 else None, f"w{i} " * 20, "s") for i in range(600)] + [(i, "a b c", "t") for i in range(50)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    taken = [sorted((r["text"], r["copies"]) for r in mixing.mix(docs.repartition(n)).collect()) for n in (1, 4)]
+    assert taken[0] == taken[1]
+    check_mix(mixing.mix(docs).collect(), docs.collect())
+
+
 def test_mixing_of_one_source_that_holds_a_third(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS_PER_CELL", 100)
     docs = spark.range(3000).selectExpr("id as doc_id", "case when id < 1000 then 'hot' else concat('s', id % 9) end as source", "repeat('w ', cast(5 + id % 40 as int)) as text")
@@ -130,6 +139,11 @@ def test_line_rules(line, rule):
     assert quality.failed_rule(line) == rule
 
 
+@pytest.mark.parametrize("line", ["Alle Rechte vorbehalten, und das gilt.", "Politique de confidentialité du site.", "Haga clic aquí, por favor."])
+def test_line_rules_of_other_languages(line):
+    assert quality.failed_rule(line) is None and quality.failed_rule(line, quality.OTHER_LANGUAGES) == "boilerplate"
+
+
 # --- line dedup
 
 
@@ -166,6 +180,19 @@ def test_line_dedup(spark, sf):
     assert sum(r[4] for r in got) > 0
 
 
+def test_small_hosts_are_judged_and_lines_at_the_ratio_stay(spark):
+    def kept(n, on, ratio):
+        rows_ = [(i, f"http://h{n}.example/{i}", f"<p>own {i}</p>" + ("<p>Menu</p>" if i < on else "")) for i in range(n)]
+        got = linededup.dedup_lines(spark.createDataFrame(rows_, "page_id long, url string, html string"), ["page_id"], ratio, 1, repeats=2).collect()
+        return sum("Menu" in r["kept_lines"] for r in got), sum(r["n_dropped"] for r in got)
+
+    assert kept(8, 8, 0.1) == (0, 8) and kept(3, 2, 0.1) == (0, 2) and kept(9, 1, 0.1) == (1, 0)
+    assert kept(10, 5, 0.5) == (5, 0) and kept(10, 6, 0.5) == (0, 6)
+    long = [(i, "http://long.example/x", "<p>all</p>" + "".join(f"<p>line {k} of {i}</p>" for k in range(4000))) for i in range(3)]
+    got = linededup.dedup_lines(spark.createDataFrame(long, "page_id long, url string, html string"), ["page_id"], 0.1, 1, repeats=2).collect()
+    assert all(r["n_lines"] == 4001 and r["n_dropped"] == 1 for r in got)
+
+
 def test_line_dedup_edges(spark):
     same_line = "<p>Menu</p>"
     data = [(1, "http://h.example/1", same_line + "<p>a</p>"), (1, "http://h.example/1", same_line + "<p>a</p>"), (2, "http://u@H.example:80/2", same_line + same_line + "b"), (3, "http://h.example", None), (4, None, same_line), (5, "no url", ""), (None, "http://h.example/x", "&lt;c&gt;<script>x</script>")]
@@ -200,7 +227,7 @@ def check_scores(got, docs):
 
 
 def test_hmm(documents, monkeypatch):
-    monkeypatch.setattr(hmm, "LEAST", 40)  # so that most words take the way of the rare
+    monkeypatch.setattr(hmm, "HOT", 500)  # so that most words take the way of the rare
     got = rows(hmm.score(documents))
     check_scores(got, pairs(documents))
     held = [r for r in got if r[1]]
@@ -209,7 +236,7 @@ def test_hmm(documents, monkeypatch):
 
 def plain_score(docs, words, model):
     """The model's score of each text, word by word, with counts of its own; P(word | class) from the classes' own sizes."""
-    start, _, move, by_class = model
+    start, move, emit = model[:3]
     seqs = [(d, brute.SPACES.findall(brute.lower(t))) for d, t in docs]
     count = Counter(w for d, ws in seqs if zlib.crc32(str(d).encode() if d is not None else b"") % 7 != 2 for w in ws)
 
@@ -235,7 +262,7 @@ def plain_score(docs, words, model):
             else:
                 e = keys[w][1]
                 cls, given = 1 + len(place) + e, (count[w] + 1) / (sizes[e] + kinds[e] + 1)
-            a = (a @ move if k else a) * by_class[cls].astype(float)
+            a = (a @ move if k else a) * emit[:, cls].astype(float)
             total += math.log10(a.sum()) + math.log10(given)
             a = a / a.sum()
         out.append((d, total))
@@ -269,16 +296,17 @@ def test_hmm_edges(edge, empty):
 
 def test_forward_is_the_sum_over_paths_and_training_climbs(documents):
     rng = np.random.default_rng(0)
-    start, move, emit = (x / x.sum(-1, keepdims=True) for x in (rng.random(3), rng.random((3, 3)), rng.random((3, 50))))
-    seq = rng.integers(0, 50, 5)
+    model = tuple(x / x.sum(-1, keepdims=True) for x in (rng.random(3), rng.random((3, 3)), rng.random((3, hmm.CLASSES))))
+    seq = rng.integers(0, hmm.CLASSES, 5)
     total = 0.0
     for path in np.ndindex(*[3] * 5):
-        p = start[path[0]] * emit[path[0], seq[0]]
+        p = model[0][path[0]] * model[2][path[0], seq[0]]
         for t in range(1, 5):
-            p *= move[path[t - 1], path[t]] * emit[path[t], seq[t]]
+            p *= model[1][path[t - 1], path[t]] * model[2][path[t], seq[t]]
         total += p
-    assert hmm.forward((start, start, move, emit.T), seq, np.array([0, 5]))[0] == pytest.approx(math.log10(total))
-    history = hmm.train(documents.select("doc_id", "text"), passes=4)[2]
+    assert hmm.forward(model, seq, np.array([0, 5]))[0] == pytest.approx(math.log10(total))
+    words = hmm.vocabulary(documents.select("doc_id", "text"), 4)
+    _, history = hmm.baum_welch(documents.select("doc_id", "text"), words, passes=4)
     assert all(b > a for a, b in zip(history, history[1:], strict=False))
 
 
@@ -470,6 +498,36 @@ def test_language_edges(edge, empty):
     assert {r["lang_pred"] for r in langid.predict(edge, one, ["doc_id"]).collect()} == {"und", "ru"}
 
 
+def test_training_sample(spark):
+    data = [(i, f"text number {i} of many words", "en") for i in range(3000)] + [(9000 + i, "der eine text", "de") for i in range(2000)] + [(None, f"le texte {i}", "fr") for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    picked = [sorted(rows(langid.sample(docs.repartition(n), 100))) for n in (1, 6)]
+    assert picked[0] == picked[1]
+    n = Counter(lang for lang, _ in picked[0])
+    assert n["en"] == 100 and n["de"] == 100 and n["fr"] == 40
+    few = Counter(lang for lang, _ in rows(langid.sample(docs, 100, total=30)))
+    assert few == {"en": 10, "de": 10, "fr": 10}
+
+
+def test_predictions_are_those_of_a_plain_version(documents):
+    model = langid.train(documents)
+    got = {r["doc_id"]: r for r in langid.predict(documents, model, ["doc_id"]).collect()}
+    for d, t in pairs(documents.limit(80)):
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0)
+            continue
+        counts = Counter()
+        raw = [int(langid.FOLD[b]) for b in t.encode()]
+        raw += [32] * (3 - len(raw))
+        for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+            counts[((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        size = math.sqrt(sum(counts.values()))
+        margins = [sum(math.sqrt(n) / size * float(model["weights"][k, j]) for k, n in counts.items()) + float(model["bias"][j]) for j in range(len(model["bias"]))]
+        losses = [sum(float(w) * math.log1p(math.exp(-2 * m * float(bit))) for w, m, bit in zip(model["trust"], margins, word, strict=True)) for word in model["book"]]
+        p = [math.exp(-langid.SHARPNESS * (x - min(losses))) for x in losses]
+        assert got[d]["lang_pred"] == model["languages"][losses.index(min(losses))] and got[d]["score"] == pytest.approx(max(p) / sum(p), rel=1e-3)
+
+
 def test_codewords_correct_errors():
     for n in (2, 3, 4, 9, 30):
         book = langid.codebook(n)

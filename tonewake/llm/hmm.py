@@ -38,6 +38,8 @@ from .state import cut, drop, pieces_of, text_bytes
 
 STATES = 8
 ENDINGS = 4096
+#: Classes of every model: the end and the endings.
+CLASSES = 1 + ENDINGS
 HOT = 1 << 21
 LEAST = 5
 PIECE = 128
@@ -140,7 +142,7 @@ class Vocabulary:
         self.v_ending = v_class - np.bincount(e, minlength=ENDINGS)
         #: log10 of what a class's word is divided by; words that are classes have probability 1.
         self.ending_norm = np.log10(self.n_ending + self.v_ending + 1)
-        self.classes = 1 + len(self.h) + ENDINGS
+        self.classes = CLASSES + len(self.h)
         self.table = None
 
     def overall(self) -> np.ndarray:
@@ -233,8 +235,8 @@ def as_grid(classes: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def expected(model, grid: np.ndarray, sizes: np.ndarray):
     """Baum-Welch counts of the pieces: starts of texts and of later pieces, transitions, log10 likelihood and tokens in one array; emissions by class."""
-    start, later, move, by_class = model
-    k = len(start)
+    start, move, emit, later = model
+    by_class, k = np.ascontiguousarray(emit.T), len(start)
     goes_on, sizes = sizes < 0, np.abs(sizes)
     order = np.argsort(-sizes, kind="stable")
     grid, sizes, goes_on = grid[order], sizes[order], goes_on[order]
@@ -269,12 +271,12 @@ def expected(model, grid: np.ndarray, sizes: np.ndarray):
 
 
 def estimated(words: Vocabulary, k: int, head: np.ndarray, emits: np.ndarray):
-    """The model of the counts: start, start of later pieces, transitions, and for each class what the states give it (float32).
+    """The model of the counts: start, transitions, emissions (float32, stored by class), start of later pieces.
 
     Emissions lean on the overall shares by PRIOR tokens, so no class has probability 0."""
     start, later, moves = head[:k] + 0.1, head[k : 2 * k] + 0.1, head[2 * k : 2 * k + k * k].reshape(k, k) + 0.1
     by_class = PRIOR * words.overall()[:, None] + emits
-    return start / start.sum(), later / later.sum(), moves / moves.sum(1, keepdims=True), (by_class / by_class.sum(0)).astype(np.float32)
+    return start / start.sum(), moves / moves.sum(1, keepdims=True), (by_class / by_class.sum(0)).astype(np.float32).T, later / later.sum()
 
 
 def first_guess(words: Vocabulary, states: int, grid: np.ndarray, sizes: np.ndarray):
@@ -287,7 +289,7 @@ def first_guess(words: Vocabulary, states: int, grid: np.ndarray, sizes: np.ndar
         by_class[:, j] *= 0.7
         np.add.at(by_class[:, j], piece, 0.3 / len(piece))
     even = np.full(states, 1 / states)
-    model = (even, even, move, by_class.astype(np.float32))
+    model = (even, move, by_class.astype(np.float32).T, even)
     for _ in range(START_PASSES if len(grid) and states > 1 else 0):
         model = estimated(words, states, *expected(model, grid, sizes))
     return model
@@ -383,7 +385,8 @@ def baum_welch(docs: DataFrame, words: Vocabulary, passes: int = PASSES, states:
 
 def forward(model, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log10 probability of each class sequence, whole and scaled; cls holds them one after another."""
-    start, _, move, by_class = model
+    start, move, emit = model[:3]
+    by_class = np.ascontiguousarray(emit.T)  # no copy of our own models, which are stored by class
     sizes = np.diff(at)
     out = np.zeros(len(sizes))
     order = np.argsort(-sizes, kind="stable")

@@ -4,8 +4,9 @@ Every language has a codeword of bits; one binary classifier for each bit reads
 language whose codeword has the least loss, each bit's logistic loss weighted by what that bit got right in training.  Two
 languages at nearly the same loss flag the text as ambiguous.
 
-Training takes at most per_language labelled documents of each language, those of least keyed hash of doc_id; they are
-turned to count vectors on the executors, so that the driver gets per_language * languages * DIMS numbers at most.
+Training takes at most per_language labelled documents of each language, and TOTAL in all (one of each language at least):
+those of least keyed hash of id and text, copies once.  They are turned to count vectors on the executors, so the driver gets
+TOTAL * DIMS numbers at most while there are no more languages than that.  The sample doesn't hang on partitions.
 Prediction reads every whole text.  A null text, or one without a letter, is `und` with score 0; so is every text where
 nothing was labelled.  Texts of up to two letters are read like others.  Each row is read alone.
 """
@@ -17,7 +18,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +28,7 @@ from .kernels import flat
 
 DIMS = 4096
 PER_LANGUAGE = 300
-MAX_LANGUAGES = 512
+TOTAL = 6000
 RIDGE = 0.05
 SHARPNESS = 6.0
 AMBIGUOUS = 0.1
@@ -103,24 +104,26 @@ def _as_vectors(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary())], names=["lang", "vector"])
 
 
+def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> DataFrame:
+    """lang, text of the training documents; rows with a null text or lang are left out."""
+    mark = F.xxhash64(F.lit("langid"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").cast("string"))
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), mark.alias("h")).where("text is not null and lang is not null")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    each = F.greatest(F.lit(1), F.least(F.lit(per_language), F.floor(F.lit(total) / F.col("languages"))))
+    sizes = counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("languages")))).select("lang", each.cast("int").alias("each"), "n")  # one row
+    # twice as many as wanted pass the first sieve, so that few rows are sorted; a language of few different texts passes whole
+    below = F.when(F.col("n") <= 4 * F.col("each"), 1.0).otherwise(2.0 * F.col("each") / F.col("n"))
+    sieved = rows.join(F.broadcast(sizes.select("lang", "each", below.alias("share"))), "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * float(1 << 40))  # a row for each language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))
+    return sieved.dropDuplicates(["lang", "h"]).withColumn("r", rank).where("r <= each").select("lang", "text")
+
+
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
-    """labelled: doc_id, text, lang; rows with a null are left out."""
+    """The model of sample(labelled); labelled: doc_id, text, lang."""
     ship(labelled.sparkSession)
-    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64(F.lit("langid"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)).alias("h")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return fit(np.zeros((0, DIMS), np.float32), [])
-    below: Column = F.lit(0)
-    for lang, n in counts.items():
-        below = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / n) * (1 << 30)))).otherwise(below)
-    sample = rows.where(F.col("h") < below).select("lang", "text").mapInArrow(_as_vectors, "lang string, vector binary")
-    got = sorted((r["lang"], bytes(r["vector"])) for r in sample.limit(2 * per_language * len(counts) + 100).collect())
-    per: dict[str, int] = {}
-    chosen = [r for r in got if per.setdefault(r[0], 0) < 2 * per_language and not per.update({r[0]: per[r[0]] + 1})]
-    x = np.frombuffer(b"".join(v for _, v in chosen), np.float32).reshape(-1, DIMS)
-    return fit(x, [lang for lang, _ in chosen])
+    got = sorted((r["lang"], bytes(r["vector"])) for r in sample(labelled, per_language).mapInArrow(_as_vectors, "lang string, vector binary").collect())
+    x = np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, DIMS)
+    return fit(x, [lang for lang, _ in got])
 
 
 def predict(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:

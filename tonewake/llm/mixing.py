@@ -43,11 +43,12 @@ def mix(docs: DataFrame, seed: int = 29, weights: tuple[int, ...] = WEIGHTS, cap
     """docs (doc_id, source, text and others) with size (words; a null text has 0), source_size, target and copies.
 
     Inputs named like an output are replaced.  A document of size 0 may get copies, which take no words.  Repeated rows are
-    documents of their own.  Reruns agree, whatever the partitions."""
+    documents of their own.  Rows are told apart by a hash of id and text, so rows of one id, or without one, are dealt and
+    ordered by their texts; equal rows can't be told apart and share what copies they get.  Reruns agree, whatever the partitions."""
     columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
     sized = docs.select(*columns).withColumn("size", size)
-    mark = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    mark = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
     placed = sized.withColumn("__class", F.floor(8 * F.log2(F.col("size") + 1)).cast("int")).withColumn("__mark", mark)
     light = cut(placed.select("source", "__class", "__mark", "size"), "sizes")
     cells = light.groupBy("source", "__class").agg(F.count("*").alias("__n"), F.sum("size").alias("__words"))

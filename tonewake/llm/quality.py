@@ -29,21 +29,28 @@ MAX_LOST = 0.5
 MIN_WORDS = 50
 MAX_REPEAT = 0.5
 
+# Our choices: end marks, and phrases of site furniture.
 END_MARK = re.compile(r"[.!?:;…。！？][\"'”’»)\]]*\s*$")
 BOILERPLATE = re.compile(
     r"(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie (?:policy|settings|consent)|enable javascript|lorem ipsum"
     r"|click here|sign in to|log ?in to|subscribe (?:now|to our)|share (?:on|via) (?:facebook|twitter)|skip to (?:main )?content"
 )
 BOILERPLATE_HINT = re.compile(r"(?i)reserved|terms|privacy|cookie|javascript|lorem|click|sign in|log ?in|subscribe|share|skip to")
+#: Phrases of German, French and Spanish site furniture, for corpora that hold such texts.
+OTHER_LANGUAGES = re.compile(
+    r"(?i)alle rechte vorbehalten|nutzungsbedingungen|datenschutz(?:erklärung|richtlinie)|cookie-?(?:richtlinie|einstellungen)|hier klicken|jetzt abonnieren|newsletter abonnieren|zum inhalt springen"
+    r"|tous droits réservés|conditions (?:générales )?d.utilisation|politique de confidentialité|politique de cookies|cliquez ici|abonnez-vous|partager sur (?:facebook|twitter)|aller au contenu"
+    r"|todos los derechos reservados|términos (?:y condiciones|de uso|de servicio)|política de (?:privacidad|cookies)|ha(?:z|ga) clic aquí|suscríbete|iniciar? sesión|compartir en (?:facebook|twitter)|saltar al contenido"
+)
 SEPARATORS = frozenset(["|", "»", "›", ">", "•", "·", "/", "::"])
 SYMBOL_WORD = re.compile(r"[#*$%&|<>~^=_]{2,}")
 
 COLUMNS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("n_lines", "long"), ("n_failed_lines", "long"), ("words_left", "long")]
 
 
-def failed_rule(line: str) -> str | None:
-    """The first rule that the line fails."""
-    if BOILERPLATE_HINT.search(line) and BOILERPLATE.search(line):
+def failed_rule(line: str, also: re.Pattern | None = None) -> str | None:
+    """The first rule that the line fails; also: further phrases of boilerplate."""
+    if BOILERPLATE_HINT.search(line) and BOILERPLATE.search(line) or also is not None and also.search(line):
         return "boilerplate"
     words = line.split()
     if "|" in line or "»" in line or "›" in line or "•" in line or "·" in line or ">" in line:
@@ -84,7 +91,7 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
     return int(covered.sum())
 
 
-def judge(text: str | None) -> tuple[tuple, str]:
+def judge(text: str | None, also: re.Pattern | None = None) -> tuple[tuple, str]:
     """The values of COLUMNS, and the cleaned text."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
@@ -102,7 +109,7 @@ def judge(text: str | None) -> tuple[tuple, str]:
         lines += 1
         duplicates += line in seen
         seen.add(line)
-        if failed_rule(line):
+        if failed_rule(line, also):
             failed += 1
         else:
             left += count
@@ -113,8 +120,10 @@ def judge(text: str | None) -> tuple[tuple, str]:
     return (n, len(text) - blank, symbols, duplicates, repeats, base_failed, kept, lines, failed, left), "\n".join(keep)
 
 
-def quality(docs: DataFrame, carry: list[str], cleaned: bool = False) -> DataFrame:
-    """Columns carry of docs with COLUMNS, and clean_text if cleaned; inputs named like an output are replaced."""
+def quality(docs: DataFrame, carry: list[str], cleaned: bool = False, also: re.Pattern | None = None) -> DataFrame:
+    """Columns carry of docs with COLUMNS, and clean_text if cleaned; inputs named like an output are replaced.
+
+    also: further phrases of boilerplate, such as OTHER_LANGUAGES."""
     ship(docs.sparkSession)
     outputs = {c for c, _ in COLUMNS} | ({"clean_text"} if cleaned else set())
     kept = [f for f in docs.schema.fields if f.name in carry and f.name not in outputs]
@@ -123,7 +132,7 @@ def quality(docs: DataFrame, carry: list[str], cleaned: bool = False) -> DataFra
 
     def run(batches):
         for batch in batches:
-            rows = [judge(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            rows = [judge(x.as_py(), also) for x in batch.column(batch.num_columns - 1)]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns += [pa.array([r[0][i] for r in rows], types[k][1]) for i, (_, k) in enumerate(COLUMNS)]
             if cleaned:

@@ -43,7 +43,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup_lines(table(spark, sf_dir, "pages"), ["page_id"])
+    found = linededup.dedup_lines(table(spark, sf_dir, "pages"), ["page_id"], ratio=0.1, min_pages=10)
     return found.select("page_id", "host", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.md5(F.array_join("kept_lines", "\n")).alias("kept_md5"))
 
 
