@@ -52,8 +52,6 @@ _TURNS = rf"""{_SECTIONS}, lines AS (SELECT conv_id, source_section, unnest(stri
  turns AS (SELECT CAST(conv_id AS VARCHAR) AS ticker, source_section, row_number() OVER (PARTITION BY conv_id, source_section ORDER BY t) - 1 AS turn, coalesce(speaker, 'Unknown') AS speaker,
   CASE WHEN operator THEN 'operator' WHEN t = 0 THEN 'unknown' WHEN regexp_matches(coalesce(third, ''), '\banalyst\b') THEN 'analyst' WHEN regexp_matches(title, 'chief executive officer') THEN 'ceo' WHEN regexp_matches(title, '\banalyst\b') THEN 'analyst' ELSE 'executive' END AS role, said FROM spoken WHERE said <> '')"""
 
-SECTIONS = f"WITH {_SECTIONS} SELECT conv_id, CAST(max(CASE WHEN source_section = 'prepared_remarks' THEN length(section) END) AS BIGINT) AS prepared_length, CAST(max(CASE WHEN source_section = 'qa_session' THEN length(section) END) AS BIGINT) AS qa_length FROM halves GROUP BY 1"
-
 SPEAKERS = f"WITH {_TURNS} SELECT ticker, source_section, turn, speaker, role, length(said) AS length FROM turns"
 
 CLEAN = f"SELECT conv_id, turn, md5({cleaned('t')}) AS clean_md5 FROM (SELECT *, 'Thank you for joining.' || chr(10) || chr(10) || chr(10) || coalesce(text, '') AS t FROM conversations)"
