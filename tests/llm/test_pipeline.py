@@ -74,6 +74,35 @@ def test_stages_take_edge_rows(spark, edge):
     assert corpus_pipeline.source_mix(spark, docs, "").columns == docs.columns
 
 
+def test_near_duplicates_of_reused_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(1, text), (5, text + " end"), (5, "another text of quite other words that links with nothing"), (None, text + " more"), (7, ""), (7, ""), (8, "alone here"), (8, "alone here"), (5, text)]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(texts(corpus_pipeline.near_duplicates(spark, docs, ""))) == sorted([(1, text), (5, data[2][1]), (7, ""), (7, ""), (8, "alone here")])
+
+
+def test_edge_rows_and_nothing_go_through_all_stages(spark, sf, edge, documents):
+    rows_ = edge.select("doc_id", "text", "lang", "source").withColumn("n_chars", edge["doc_id"])
+    clean = [(5000 + i, " ".join(f"Line{j} says word{i}x{j} while thing{i}y{j} goes over{j} well{i}z{j}." for j in range(20)), "en", None if i % 2 else "s", 1) for i in range(6)]
+    docs = rows_.unionByName(spark.createDataFrame(clean, rows_.schema))
+    for first in (docs, documents.where("1 = 0")):
+        now = first
+        for name, stage in corpus_pipeline.STAGES:
+            now = state.cut(stage(spark, now, sf), "edge-stage")
+            if name != "training order":
+                assert now.columns == first.columns
+            if name == "decontamination" and first is docs:
+                assert {d for d, _ in texts(now)} >= {5000 + i for i in range(6)}
+        tokens = now.count()
+        assert (tokens > 0) == (first is docs)
+
+
+def test_decontamination_stage_keeps_rows_without_words(spark, sf, edge):
+    docs = edge.select("doc_id", "text", "lang", "source").withColumn("n_chars", edge["doc_id"])
+    kept = texts(corpus_pipeline.decontamination(spark, docs, sf))
+    assert len(kept) == docs.count() and corpus_pipeline.training_order(spark, docs, sf).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, sf, name):
     c = duckdb.connect()

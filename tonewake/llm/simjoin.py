@@ -43,7 +43,7 @@ FILTER_BITS = 22
 #: Parts that a frequent token's list is dealt over, when it meets its hub or its largest component.
 SALTS = 8
 #: Text of a range of shingles, and the most ranges there are.
-RANGE_BYTES, MAX_RANGES = 8 << 20, 1 << 16
+RANGE_BYTES, MAX_RANGES = 2 << 20, 1 << 16
 #: Shingles of a block, when the classes of a component are compared to count links.
 BLOCK = 1 << 18
 
@@ -105,7 +105,7 @@ def levels(texts: DataFrame, width: int, n_ranges: int, bits: int = MIN_LEVEL_BI
             yield pa.RecordBatch.from_pydict({"b": [batch.column(0).to_numpy().astype(np.int32).tobytes()], "l": [batch.column(1).to_numpy().astype(np.uint8).tobytes()]})
 
     out = np.zeros(1 << bits, np.uint8)
-    rows = found.groupBy("bucket").agg(F.max("level").alias("level")).mapInArrow(packed, "b binary, l binary").toLocalIterator()  # 5 bytes for each bucket above 0
+    rows = found.groupBy("bucket").agg(F.max("level").alias("level")).mapInArrow(packed, "b binary, l binary").collect()  # 5 bytes for each bucket above 0
     for r in rows:
         out[np.frombuffer(bytes(r["b"]), np.int32)] = np.frombuffer(bytes(r["l"]), np.uint8)
     return out
@@ -114,7 +114,7 @@ def levels(texts: DataFrame, width: int, n_ranges: int, bits: int = MIN_LEVEL_BI
 SIGNATURES = "cid bigint, gid bigint, n bigint, general int, cold binary, hot array<bigint>"
 
 
-def _sign(sent, width: int):
+def _sign(sent, width: int, carry: tuple[str, ...] = ()):
     def run(batches):
         table = sent.value
         bits = len(table).bit_length() - 1
@@ -151,7 +151,8 @@ def _sign(sent, width: int):
                 cold.append(s[: min(prefix, rare)].tobytes())
                 hot.append(s[rare:prefix].view(np.int64))
             columns = [batch.column(0), pa.array(cids, pa.int64()), pa.array(gids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(general, pa.int32()), pa.array(cold, pa.binary()), pa.array(hot, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cid", "gid", "n", "general", "cold", "hot"])
+            columns += [batch.column(c) for c in carry]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cid", "gid", "n", "general", "cold", "hot", *carry])
 
     return run
 
@@ -322,22 +323,24 @@ def counted(placed: DataFrame) -> DataFrame:
     return pair.groupBy("root", "i", "j").applyInPandas(_compare_blocks, "cid bigint, links bigint").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
-def link(docs: DataFrame, width: int = WIDTH, count_links: bool = False) -> DataFrame:
+def link(docs: DataFrame, width: int = WIDTH, count_links: bool = False, mark: str | None = None) -> DataFrame:
     """For every row of docs: doc_id, n_shingles, class_id (the least doc_id with the same set), n_copies (rows of its class), component_id.
 
     component_id is the smallest doc_id that links reach, itself included.  A null text or one without words has no shingles
     and links with nothing.  Rows with equal sets are one class, whatever their ids; a null doc_id is never the smallest.
-    count_links adds n_links, the other rows that a row links with, its copies among them.
+    count_links adds n_links, the other rows that a row links with, its copies among them.  mark: a long column of docs that
+    tells rows of one id apart; it is passed on, with root, a number for each component (null without shingles).
     """
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    extra = [F.col(mark).cast("long").alias("__mark")] if mark else []
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *extra)
     kind = texts.schema["doc_id"].dataType.simpleString()
     size = text_bytes(texts)
     n_ranges = min(MAX_RANGES, pieces_of(size, RANGE_BYTES, 64))
     bits = min(MAX_LEVEL_BITS, max(MIN_LEVEL_BITS, (size // LEVEL_BYTES).bit_length()))
     table = spark.sparkContext.broadcast(levels(texts, width, n_ranges, bits))
-    signed = cut(texts.mapInArrow(_sign(table, width), f"doc_id {kind}, {SIGNATURES}"), "signatures")
+    signed = cut(texts.mapInArrow(_sign(table, width, ("__mark",) if mark else ()), f"doc_id {kind}, {SIGNATURES}{', __mark bigint' if mark else ''}"), "signatures")
     classes = cut(signed.where("n > 0").groupBy("cid").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "members")
     members = classes.select("gid", "cid")
     every = classes.groupBy("gid").agg(F.first("n").alias("n"), F.min("cid").alias("head"), F.count("*").alias("members"))
@@ -400,7 +403,7 @@ def link(docs: DataFrame, width: int = WIDTH, count_links: bool = False) -> Data
 
     joint = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "least", "copies", F.coalesce("root", "cid").alias("root"))
     lowest = joint.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = cut(joint.join(lowest, "root").select("cid", F.col("least").alias("class_id"), "copies", "component"), "classes")
+    of_class = cut(joint.join(lowest, "root").select("cid", F.col("least").alias("class_id"), "copies", "component", "root"), "classes")
     links = []
     if count_links:
         placed = sets.join(roots, F.col("cid") == F.col("node")).join(classes.select("cid", "n", "copies"), "cid").select("cid", "n", "copies", "root", "set")
@@ -409,4 +412,5 @@ def link(docs: DataFrame, width: int = WIDTH, count_links: bool = False) -> Data
     drop(sets)
     # rows without shingles have no class: they don't meet the join, where all would have one key
     joined_rows = signed.where("cid is not null").join(of_class, "cid").unionByName(signed.where("cid is null"), allowMissingColumns=True)
-    return joined_rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("component", "doc_id").alias("component_id"), *links)
+    kept = [F.col("__mark").alias(mark), "root"] if mark else []
+    return joined_rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("component", "doc_id").alias("component_id"), *links, *kept)
