@@ -22,12 +22,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that of least doc_id.  Documents without words all stay."""
+    """One document of each group of linked ones: that of least doc_id (without an id last), then of least hash of its text.
+
+    Rows are told apart by id and a 64-bit hash of the text, so of rows that share an id only the chosen one stays, and equal
+    rows are one.  Documents without words link with nothing: all their rows stay."""
     for_long_rows(spark)
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    keep = simjoin.link(docs).where(stays).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__mark", F.xxhash64("text")).dropDuplicates(["doc_id", "__mark"]).drop("__mark")
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    linked = simjoin.link(marked, mark="__mark").where("root is not null")
+    chosen = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__mark")).alias("c")).select(F.col("c.doc_id").alias("__id"), F.col("c.__mark").alias("__own"))
+    same = marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__mark"] == F.col("__own"))
+    kept = marked.where(worded).join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__mark"])
+    return kept.unionByName(marked.where(~worded)).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
