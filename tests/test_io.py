@@ -109,3 +109,12 @@ def test_stream_scores_each_file_once(spark, tmp_path):
         score_available(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/out").select("ticker").distinct().count() == n
         arrive("B")
+
+
+def test_stream_scores_a_call_once(spark, tmp_path):
+    for n, texts in enumerate((["Jo -- Treasurer\nShort.", "Jo -- Treasurer\nA longer one."], ["Jo -- Treasurer\nThe longest of them, but late."])):
+        rows = [("A", None, "2020-Q1", "NYSE", t, False) for t in texts] + [(f"B{n}", None, "2020-Q1", "NYSE", "Jo -- Treasurer\nOwn.", False)]
+        spark.createDataFrame(rows, TRANSCRIPTS).write.mode("append").parquet(f"{tmp_path}/in")
+        score_available(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = {(r["ticker"], r["chunk_text"]) for r in spark.read.parquet(f"{tmp_path}/out").where("not overlap").collect()}
+    assert got == {("A", "A longer one."), ("B0", "Own."), ("B1", "Own.")}

@@ -56,6 +56,11 @@ def chunk_counts(scores: DataFrame) -> DataFrame:
     return per.groupBy("source_section").agg(F.count("*").alias("n"), F.avg("chunks").alias("mean")).join(middle, "source_section").select("source_section", "n", "median", "mean")
 
 
+def with_periods(df: DataFrame) -> DataFrame:
+    """The analysis table with year, quarter and the logarithm of a positive market cap, as the pages read it."""
+    return df.withColumn("year", F.year("date")).withColumn("quarter", quarter_label(F.col("date"))).withColumn("log_market_cap", F.when(F.col("market_cap") > 0, F.ln("market_cap")))
+
+
 def company_bars(df: DataFrame, ticker: str, window: str) -> DataFrame:
     """The company's events that have the window's return, in order, with its sign."""
     return timeline(df.where(F.col(window).isNotNull()), ticker).select("date", F.col(window).alias("car"), (F.col(window) >= 0).alias("gain"))

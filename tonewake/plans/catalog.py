@@ -161,6 +161,17 @@ def company_bars(spark, sf_dir):
     return rounded(reports.company_bars(A.ready(spark, sf_dir), "T7", "CAR_3d"))
 
 
+@query(f"WITH {A.ANALYSIS} SELECT ticker, date, CAST(year(date) AS BIGINT) AS year, year(date) || 'Q' || quarter(date) AS quarter, round(log_market_cap, 6) AS log_market_cap FROM ready")
+def analysis_periods(spark, sf_dir):
+    return rounded(reports.with_periods(A.ready(spark, sf_dir)).select("ticker", "date", "year", "quarter", "log_market_cap"))
+
+
+@query("SELECT p_partkey, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM (SELECT p_partkey, CAST(p_partkey * 37 % 997 AS DOUBLE) / 9970 AS p FROM part)")
+def stars(spark, sf_dir):
+    p = (F.col("p_partkey") * 37 % 997).cast("double") / 9970
+    return D.table(spark, sf_dir, "part").select("p_partkey", X.stars(p).alias("stars"))
+
+
 _SECTOR_RANGE = f"rows AS (SELECT sentiment_delta AS feature, CAR_1d AS target, sector FROM ready WHERE year(date) BETWEEN 1996 AND 1998 AND sector IS NOT NULL AND sentiment_delta IS NOT NULL AND CAR_1d IS NOT NULL)"
 
 

@@ -48,11 +48,13 @@ def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The rows written into the shared folder and read back: later jobs neither redo nor lose them."""
+def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """The rows written into the shared folder and read back: later jobs neither redo nor lose them.
+
+    files: the most files to write, and so tasks of the last stage, where the caller knows how much there is."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["scratch_path"] = path
     return out
