@@ -51,6 +51,8 @@ START_PASSES = 12
 PRIOR = 2000.0
 #: Text of a range of words, and the most ranges there are.
 RANGE_BYTES, MAX_RANGES = 48 << 20, 1 << 16
+#: Text for each file of a table between jobs.
+FILE_BYTES = 16 << 20
 #: Classes of a range, when expected counts are added up.
 CLASS_RANGE = 1 << 10
 #: Partitions whose counts are added up first.
@@ -175,8 +177,8 @@ class Vocabulary:
         return np.where(at >= 0, 1 + at, 1 + len(self.h) + e.astype(np.int32)).astype(np.int32)
 
 
-def vocabulary(docs: DataFrame, n_ranges: int) -> Vocabulary:
-    table = cut(docs.mapInArrow(_count(n_ranges), VOCABULARY_SQL).groupBy("range").applyInPandas(_merge, VOCABULARY_SQL), "vocabulary")
+def vocabulary(docs: DataFrame, n_ranges: int, files: int | None = None) -> Vocabulary:
+    table = cut(docs.mapInArrow(_count(n_ranges), VOCABULARY_SQL).groupBy("range").applyInPandas(_merge, VOCABULARY_SQL), "vocabulary", files)
 
     def totals(batches):
         out = np.zeros((2, ENDINGS + 1), np.int64)  # the last column: all words and the end
@@ -295,7 +297,7 @@ def first_guess(words: Vocabulary, states: int, grid: np.ndarray, sizes: np.ndar
     return model
 
 
-def baum_welch(docs: DataFrame, words: Vocabulary, passes: int = PASSES, states: int = STATES):
+def baum_welch(docs: DataFrame, words: Vocabulary, passes: int = PASSES, states: int = STATES, files: int | None = None):
     """The model, and the log10 likelihood of all training tokens, each a token, before each pass."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(words)
@@ -308,7 +310,7 @@ def baum_welch(docs: DataFrame, words: Vocabulary, passes: int = PASSES, states:
             for classes, sizes, keys in pieces(ids, batch.column(1), ~held_out_ids(ids), sent.value):
                 yield pa.RecordBatch.from_pydict({"c": [classes.tobytes()], "s": [sizes.tobytes()], "k": [keys.tobytes()]}, schema=schema)
 
-    stored = cut(docs.mapInArrow(classed, "c binary, s binary, k binary"), "classes")  # four bytes a token
+    stored = cut(docs.mapInArrow(classed, "c binary, s binary, k binary"), "classes", files)  # four bytes a token
 
     def grids(batches, at_once=1):
         """The stored pieces as grids of at_once or more."""
@@ -509,8 +511,10 @@ def train(docs: DataFrame, passes: int = PASSES, states: int = STATES, n_ranges:
     """Vocabulary and model of the training documents, and the history of baum_welch()."""
     ship(docs.sparkSession)
     text, _ = _texts(docs)
-    words = vocabulary(text, n_ranges or min(MAX_RANGES, pieces_of(text_bytes(text), RANGE_BYTES, 8)))
-    return (words, *baum_welch(text, words, passes, states))
+    size = text_bytes(text)
+    files = pieces_of(size, FILE_BYTES, 8)
+    words = vocabulary(text, n_ranges or min(MAX_RANGES, pieces_of(size, RANGE_BYTES, 8)), files)
+    return (words, *baum_welch(text, words, passes, states, files))
 
 
 def score(docs: DataFrame, passes: int = PASSES, states: int = STATES, trained=None) -> DataFrame:

@@ -18,6 +18,8 @@ from .state import cut
 WEIGHTS = (5, 2, 1)
 CAP = 3
 ROWS_PER_CELL = 4_000
+#: Files of tables with a row for each source or cell.
+SMALL = 16
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,7 +30,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     Where all sizes are 0, so are the targets."""
     ranked = sizes.withColumn("__r", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__r") % len(weights) + 1).cast("int"))
-    ranked = cut(ranked.withColumn("__w", weight).drop("__r"), "targets")
+    ranked = cut(ranked.withColumn("__w", weight).drop("__r"), "targets", SMALL)
     most, level, capped = cap * F.col("source_size"), 0.0, -1
     while True:
         at = most <= F.lit(level) * F.col("__w")
@@ -52,7 +54,7 @@ def mix(docs: DataFrame, seed: int = 29, weights: tuple[int, ...] = WEIGHTS, cap
     placed = sized.withColumn("__class", F.floor(8 * F.log2(F.col("size") + 1)).cast("int")).withColumn("__mark", mark)
     light = cut(placed.select("source", "__class", "__mark", "size"), "sizes")
     cells = light.groupBy("source", "__class").agg(F.count("*").alias("__n"), F.sum("size").alias("__words"))
-    cells = cut(cells.withColumn("__salts", F.ceil(F.col("__n") / ROWS_PER_CELL).cast("int")), "cells")
+    cells = cut(cells.withColumn("__salts", F.ceil(F.col("__n") / ROWS_PER_CELL).cast("int")), "cells", SMALL)
     by_source = targets(cells.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, cap)
     salts = cells.select(F.col("source").alias("__s"), F.col("__class").alias("__c"), "__salts")
     same_cell = F.col("source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c"))
@@ -61,7 +63,7 @@ def mix(docs: DataFrame, seed: int = 29, weights: tuple[int, ...] = WEIGHTS, cap
     before = counted.withColumn("__before", F.sum("__n").over(Window.partitionBy("source").orderBy("__class", "__salt")) - F.col("__n"))
     sources = by_source.select(F.col("source").alias("__s2"), "source_size", "target")
     cell_table = before.join(sources, F.col("source").eqNullSafe(F.col("__s2"))).select(F.col("source").alias("__s3"), F.col("__class").alias("__c3"), F.col("__salt").alias("__t3"), "__before", "source_size", "target")
-    cell_table = cut(cell_table, "mix-cells")
+    cell_table = cut(cell_table, "mix-cells", SMALL)
     salted = placed.join(salts, same_cell).withColumn("__salt", salt)
     rank = F.row_number().over(Window.partitionBy("source", "__class", "__salt").orderBy("size", "__mark", "doc_id")) - 1
     ranked = salted.withColumn("__rank", rank).join(cell_table, F.col("source").eqNullSafe(F.col("__s3")) & (F.col("__class") == F.col("__c3")) & (F.col("__salt") == F.col("__t3")))

@@ -48,7 +48,7 @@ def shard(rows: DataFrame, shards: int, key: list[str], seed: int = 17, bucket_b
     else:
         marked = marked.withColumn("__place", F.col("__mark"))
     scattered = marked.withColumn("__bucket", F.pmod(F.xxhash64("__place"), F.lit(buckets)).cast("int")).withColumn("__task", F.pmod("__bucket", F.lit(tasks)))
-    sizes = cut(scattered.groupBy("__task", "__bucket").agg(F.count("*").alias("__n")), "buckets")
+    sizes = cut(scattered.groupBy("__task", "__bucket").agg(F.count("*").alias("__n")), "buckets", 16)  # a row for each bucket
     before = sizes.selectExpr("__bucket", "cast(sum(__n) over (order by __task, __bucket) - __n as bigint) as __before")
     whole = F.struct("__mark", *columns)
     grouped = scattered.repartitionById(tasks, F.col("__task")).groupBy("__task", "__bucket").agg(F.sort_array(F.collect_list(whole)).alias("__rows"))

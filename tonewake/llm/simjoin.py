@@ -44,6 +44,8 @@ FILTER_BITS = 22
 SALTS = 8
 #: Text of a range of shingles, and the most ranges there are.
 RANGE_BYTES, MAX_RANGES = 2 << 20, 1 << 16
+#: Text for each file of a table between jobs.
+FILE_BYTES = 16 << 20
 #: Shingles of a block, when the classes of a component are compared to count links.
 BLOCK = 1 << 18
 
@@ -260,10 +262,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """node, root (the least node reachable) for all nodes of edges (a, b): large-star and small-star rounds until nothing moves."""
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    state = cut(edges.where("a <> b").distinct(), "edges")
+    state = cut(edges.where("a <> b").distinct(), "edges", files)
     before = None
     while True:
         around = both(state)
@@ -272,7 +274,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        state, old = cut(small.where("a <> b").distinct(), "edges"), state
+        state, old = cut(small.where("a <> b").distinct(), "edges", files), state
         drop(old)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
@@ -337,29 +339,31 @@ def link(docs: DataFrame, width: int = WIDTH, count_links: bool = False, mark: s
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *extra)
     kind = texts.schema["doc_id"].dataType.simpleString()
     size = text_bytes(texts)
+    files = pieces_of(size, FILE_BYTES, 8)
+    store = lambda df, name: cut(df, name, files)  # noqa: E731  many small files cost more than they spread
     n_ranges = min(MAX_RANGES, pieces_of(size, RANGE_BYTES, 64))
     bits = min(MAX_LEVEL_BITS, max(MIN_LEVEL_BITS, (size // LEVEL_BYTES).bit_length()))
     table = spark.sparkContext.broadcast(levels(texts, width, n_ranges, bits))
-    signed = cut(texts.mapInArrow(_sign(table, width, ("__mark",) if mark else ()), f"doc_id {kind}, {SIGNATURES}{', __mark bigint' if mark else ''}"), "signatures")
-    classes = cut(signed.where("n > 0").groupBy("cid").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "members")
+    signed = store(texts.mapInArrow(_sign(table, width, ("__mark",) if mark else ()), f"doc_id {kind}, {SIGNATURES}{', __mark bigint' if mark else ''}"), "signatures")
+    classes = store(signed.where("n > 0").groupBy("cid").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "members")
     members = classes.select("gid", "cid")
     every = classes.groupBy("gid").agg(F.first("n").alias("n"), F.min("cid").alias("head"), F.count("*").alias("members"))
-    several = cut(every.where("members > 1"), "groups")
+    several = store(every.where("members > 1"), "groups")
 
     packed = signed.where("octet_length(cold) > 0").select("gid", "n", "cold").mapInArrow(_post(n_ranges), "range int, x binary")
-    cold = cut(packed.groupBy("range").applyInPandas(_pair, "a bigint, b bigint").distinct(), "pairs")
+    cold = store(packed.groupBy("range").applyInPandas(_pair, "a bigint, b bigint").distinct(), "pairs")
 
     rare = F.floor(F.octet_length("cold") / 8)
     posted = signed.where("size(hot) > 0").select("gid", "n", "general", rare.alias("rare"), F.posexplode("hot").alias("k", "token"))
     hot = posted.groupBy("token", "gid").agg(F.first("n").alias("n"), F.min("general").alias("general"), F.first(F.col("rare") + F.col("k")).alias("at"))
     shared = hot.groupBy("token").agg(F.count("*").alias("list"), F.min(F.struct("general", "gid", "n", "at")).alias("hub")).where("list > 1")
-    hot = cut(_salted(hot, "gid").join(_copied(shared.select("token", "hub")), ["token", "salt"]).select("token", F.struct("gid", "n", "at").alias("p"), "hub"), "hot")
+    hot = store(_salted(hot, "gid").join(_copied(shared.select("token", "hub")), ["token", "salt"]).select("token", F.struct("gid", "n", "at").alias("p"), "hub"), "hot")
     hubs = hot.where((F.col("p.gid") != F.col("hub.gid")) & _fits("p", "hub")).select(*_ordered("p.gid", "hub.gid"))
     group_pairs = cold.unionByName(hubs).distinct()
     one = group_pairs.join(every.select(F.col("gid").alias("a"), F.col("head").alias("x")), "a")
     heads = one.join(every.select(F.col("gid").alias("b"), F.col("head").alias("y")), "b").select(*_ordered("x", "y"))
     own = members.join(several, "gid").where("cid <> head").select(*_ordered("cid", "head"))
-    first = cut(heads.unionByName(own).distinct(), "pairs")
+    first = store(heads.unionByName(own).distinct(), "pairs")
 
     # whole sets of the classes that any pair may need, from the documents whose hashed ids are marked
     used = hot.select("p.gid").unionByName(group_pairs.select(F.explode(F.array("a", "b")).alias("gid"))).unionByName(several.select("gid")).distinct()
@@ -373,12 +377,12 @@ def link(docs: DataFrame, width: int = WIDTH, count_links: bool = False, mark: s
         marked[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
     sent = spark.sparkContext.broadcast(marked)
     found = texts.select(slot.alias("slot"), "text").mapInArrow(_wanted(sent, width), "cid bigint, set binary")
-    sets = cut(found.join(needed, "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set")), "sets")
-    roots = cut(components(verified(first, sets)), "roots")
-    placed_members = cut(members.join(roots, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("root", "cid").alias("root")), "placed")
+    sets = store(found.join(needed, "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set")), "sets")
+    roots = store(components(verified(first, sets), files), "roots")
+    placed_members = store(members.join(roots, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("root", "cid").alias("root")), "placed")
     # what is left: members of paired groups, or of one frequent token's or group's list, in different components.  Lists hold a
     # row for each group and component, so that neither copies nor what has been joined by now multiplies
-    sides = cut(placed_members.groupBy("gid", "root").agg(F.count("*").alias("rows")), "sides")
+    sides = store(placed_members.groupBy("gid", "root").agg(F.count("*").alias("rows")), "sides")
     wide = cold.join(several.select(F.col("gid").alias("a"), F.lit(1).alias("i")), "a", "left").join(several.select(F.col("gid").alias("b"), F.lit(1).alias("j")), "b", "left").where("i = 1 or j = 1").select("a", "b")
     left = wide.join(sides.select(F.col("gid").alias("a"), F.col("root").alias("root_a")), "a")
     across = left.join(sides.select(F.col("gid").alias("b"), F.col("root").alias("root_b")), "b").where("root_a <> root_b").select("a", "root_a", "b", "root_b")
@@ -386,28 +390,28 @@ def link(docs: DataFrame, width: int = WIDTH, count_links: bool = False, mark: s
     listed = lists.join(sides, F.col("p.gid") == F.col("gid")).select("token", "p", "root", "rows")
     per = listed.groupBy("token", "root").agg(F.sum("rows").alias("rows"))
     main = per.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
-    listed = cut(_salted(listed, "root").join(_copied(main), ["token", "salt"]), "listed")
+    listed = store(_salted(listed, "root").join(_copied(main), ["token", "salt"]), "listed")
     apart = _copied(listed.where("root <> main").drop("salt", "main", "rows").withColumnsRenamed({"p": "q", "root": "other"}))
     met = listed.join(apart, ["token", "salt"]).where((F.col("root") != F.col("other")) & _fits("p", "q")).select(F.col("p.gid").alias("a"), F.col("root").alias("root_a"), F.col("q.gid").alias("b"), F.col("other").alias("root_b"))
     one, two = F.struct("a", "root_a"), F.struct(F.col("b").alias("a"), F.col("root_b").alias("root_a"))
     met = across.unionByName(met).select(F.least(one, two).alias("s"), F.greatest(one, two).alias("t")).distinct()
-    met = cut(met.select("s.a", "s.root_a", F.col("t.a").alias("b"), F.col("t.root_a").alias("root_b")), "sides")
+    met = store(met.select("s.a", "s.root_a", F.col("t.a").alias("b"), F.col("t.root_a").alias("root_b")), "sides")
     xs, ys = (placed_members.select(F.col("gid").alias(g), F.col("root").alias(f"root_{g}"), F.col("cid").alias(c)) for g, c in (("a", "x"), ("b", "y")))
     second = met.join(xs, ["a", "root_a"]).join(ys, ["b", "root_b"]).select(*_ordered("x", "y")).distinct()
-    second = cut(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    second = store(second.join(first, ["a", "b"], "left_anti"), "pairs")
     drop(met, listed, hot, cold)
     if not second.isEmpty():
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = cut(components(known.unionByName(verified(second, sets))), "roots")
+        roots = store(components(known.unionByName(verified(second, sets)), files), "roots")
     drop(first, second)
 
     joint = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "least", "copies", F.coalesce("root", "cid").alias("root"))
     lowest = joint.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = cut(joint.join(lowest, "root").select("cid", F.col("least").alias("class_id"), "copies", "component", "root"), "classes")
+    of_class = store(joint.join(lowest, "root").select("cid", F.col("least").alias("class_id"), "copies", "component", "root"), "classes")
     links = []
     if count_links:
         placed = sets.join(roots, F.col("cid") == F.col("node")).join(classes.select("cid", "n", "copies"), "cid").select("cid", "n", "copies", "root", "set")
-        of_class = of_class.join(cut(counted(placed), "links"), "cid", "left")
+        of_class = of_class.join(store(counted(placed), "links"), "cid", "left")
         links = [(F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")]
     drop(sets)
     # rows without shingles have no class: they don't meet the join, where all would have one key
