@@ -725,3 +725,17 @@ def test_word_hashes_tell_words_apart(documents):
     raw = data.tobytes()
     assert [raw[a:b] for a, b in zip(starts, ends, strict=True)] == want
     assert len(set(kernels.word_hashes(data, starts, ends).tolist())) == len(set(want))
+
+
+def test_columns_that_clash_with_outputs(spark, edge):
+    clash = ["class_id", "n_copies", "root", "salt", "shard", "slot", "seg_doc", "split", "safe_text", "n_name", "entities", "kept_lines", "host", "component_id"]
+    docs = edge.select("doc_id", "text", *[F.lit("old").alias(c) for c in clash])
+    plain = edge.select("doc_id", "text")
+    same(rows(simjoin.link(docs)), rows(simjoin.link(plain)))
+    got = sharding.shard(docs, 4, ["doc_id", "text"], row_bytes=64)
+    assert dict(got.dtypes)["shard"] == "int" and dict(got.dtypes)["slot"] == "bigint" and got.count() == len(EDGE)
+    assert set(got.columns) == set(docs.columns)
+    made = surrogates.anonymise(docs, "key", ["doc_id", "safe_text", "host"])
+    assert "host" in made.columns and not any(r["safe_text"] == "old" for r in made.collect())
+    folder = state.new_path(spark, "order-test")
+    assert ordering.write_training_order(docs, queries.TOKENIZER, folder, length=64, rows_per_shard=16).count() > 0

@@ -114,27 +114,29 @@ def _mark(mark: int, column: pa.Array) -> int:
     return zlib.crc32("\n".join(map(str, column.to_pylist())).encode(), mark)
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """The batch's rows by (file, start of the split), in order; without files by partition."""
-    files, starts = batch.column("file").to_pylist(), batch.column("split").to_pylist()
-    at = 0
-    for i in range(1, batch.num_rows + 1):
-        if i == batch.num_rows or (files[i], starts[i]) != (files[at], starts[at]):
-            yield (files[at] or f"{TaskContext.get().partitionId():010d}", starts[at] or 0), batch.slice(at, i - at)
-            at = i
+def _runs(batch: pa.RecordBatch, partition: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batch's rows by the number of their split, in order; without files by partition."""
+    keys = batch.column("split")
+    if keys.null_count:
+        yield partition, batch
+        return
+    edges = np.flatnonzero(np.diff(keys.to_numpy(), prepend=0, append=0)) if batch.num_rows else []
+    edges = sorted({0, batch.num_rows, *map(int, edges)})
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield keys[a].as_py(), batch.slice(a, b - a)
 
 
-COUNTED = pa.schema([("file", pa.string()), ("split", pa.int64()), ("tokens", pa.int64()), ("mark", pa.int64())])
+COUNTED = pa.schema([("split", pa.int64()), ("tokens", pa.int64()), ("mark", pa.int64())])
 
 
 def _counting(path: str):
     def run(batches):
-        encode, found = tokenizer(path), {}
+        encode, found, partition = tokenizer(path), {}, TaskContext.get().partitionId()
         for batch in batches:
-            for key, rows in _runs(batch):
+            for key, rows in _runs(batch, partition):
                 tokens, mark = found.get(key, (0, 0))
                 found[key] = tokens + sum(encode.count(x.as_py()) for x in rows.column("text")), _mark(mark, rows.column("doc_id"))
-        yield pa.RecordBatch.from_pylist([{"file": f, "split": s, "tokens": n, "mark": m} for (f, s), (n, m) in found.items()], schema=COUNTED)
+        yield pa.RecordBatch.from_pylist([{"split": s, "tokens": n, "mark": m} for s, (n, m) in found.items()], schema=COUNTED)
 
     return run
 
@@ -149,7 +151,7 @@ def _sequencing(path: str, length: int, places, total: int, key: int, rows_per_s
 
     def run(batches):
         encode = tokenizer(path)
-        group, held, pieces, begun, now, at, mark = [], [], [], 0, None, 0, 0
+        group, held, pieces, begun, now, at, mark, partition = [], [], [], 0, None, 0, 0, TaskContext.get().partitionId()
 
         def close():
             nonlocal held, pieces, begun
@@ -162,7 +164,7 @@ def _sequencing(path: str, length: int, places, total: int, key: int, rows_per_s
                 raise RuntimeError(CHANGED)
 
         for batch in batches:
-            for name, rows in _runs(batch):
+            for name, rows in _runs(batch, partition):
                 if name != now:
                     close()
                     check()
@@ -273,11 +275,19 @@ def _writing(folder: str, itemsize: int, length: int, end: bytes, last_slot: int
     return run
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, file and split (its first byte); the last two are null where rows don't come straight from files."""
-    light = docs.select("doc_id", F.col("text").cast("string").alias("text"), "_metadata") if _of_files(docs) else docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    found = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")] if "_metadata" in light.columns else [F.lit(None).cast("string"), F.lit(None).cast("long")]
-    return light.select("doc_id", "text", found[0].alias("file"), found[1].alias("split"))
+def _placed(docs: DataFrame) -> tuple[DataFrame, dict[int, int] | None]:
+    """doc_id, text and split (a number for each split of a file), and the splits' order by file and place.
+
+    Where rows don't come straight from files, split is null and there is no such order."""
+    light = ["doc_id", F.col("text").cast("string").alias("text")]
+    if not _of_files(docs):
+        return docs.select(*light, F.lit(None).cast("long").alias("split")), None
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    splits = docs.select(file.alias("file"), start.alias("start")).distinct().withColumn("split", F.xxhash64("file", "start")).collect()  # a row for each split
+    order = {r["split"]: k for k, r in enumerate(sorted(splits, key=lambda r: (r["file"], r["start"])))}
+    if len(order) < len(splits):
+        raise RuntimeError("two splits have one number")
+    return docs.select(*light, F.xxhash64(file, start).alias("split")), order
 
 
 def _of_files(docs: DataFrame) -> bool:
@@ -306,7 +316,7 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str, key:
     document's tokens), seq_offset, n_tokens, crc32 (of the piece's bytes)."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    light = _placed(docs)
+    light, order = _placed(docs)
     id_type = pa.string() if isinstance(light.schema["doc_id"].dataType, T.StringType) else pa.int64()
     if id_type == pa.int64():
         light = light.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -316,11 +326,11 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str, key:
     segments = f"seg_doc array<{kind}>, seg_offset array<bigint>, seg_at array<int>, seg_tokens array<int>"
     for attempt in range(attempts):
         folder = _emptied(spark, folder)
-        counts = sorted((r["file"], r["split"], r["tokens"], r["mark"]) for r in light.mapInArrow(_counting(tokenizer_path), "file string, split bigint, tokens bigint, mark bigint").collect())  # a row for each split
+        counts = light.mapInArrow(_counting(tokenizer_path), "split bigint, tokens bigint, mark bigint").collect()  # a row for each split
         places, tokens = {}, 0
-        for file, split, n, mark in counts:
-            places[file, split] = (tokens, tokens + n, mark)
-            tokens += n
+        for r in sorted(counts, key=lambda r: r["split"] if order is None else order[r["split"]]):
+            places[r["split"]] = (tokens, tokens + r["tokens"], r["mark"])
+            tokens += r["tokens"]
         sent = spark.sparkContext.broadcast(places)
         total = -(-tokens // length)
         shards = -(-total // rows_per_shard)
