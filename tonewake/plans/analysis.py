@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewake.operators import features, market, reports, stats, transcripts
+from tonewake.operators import features, market, transcripts
 from tonewake.plans import tables as D
 from tonewake.sources.scratch import cut
 
