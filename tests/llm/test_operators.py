@@ -373,7 +373,6 @@ def test_training_order_removes_what_an_earlier_run_left(spark, documents):
     folder = state.new_path(spark, "order-test")
     docs = documents.select("doc_id", "text")
     ordering.write_training_order(docs, queries.TOKENIZER, folder, length=64, rows_per_shard=16)
-    spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
     import shutil
 
     shutil.rmtree(ordering.local(f"{folder}/manifest-0"))
