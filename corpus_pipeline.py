@@ -52,7 +52,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The manifest of the written shards."""
     for_long_rows(spark)
-    return ordering.write_training_order(docs, TOKENIZER, new_path(spark, "training-order"))
+    return ordering.write_training_order(docs, TOKENIZER, new_path(spark, "training-order", keep=True))
 
 
 STAGES = [
