@@ -17,7 +17,6 @@ import re
 import unicodedata
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,24 +33,26 @@ CUES = ("my name is", "i am called", "je m'appelle", "mon nom est", "ich heiße"
 #: After a Han name, and before one.
 HONORIFICS, LABELS = ("先生", "女士", "小姐", "さん", "様", "氏"), ("姓名", "名前", "氏名")
 
-CAPITAL = r"\p{Lu}[\p{L}'’-]*\p{Ll}[\p{L}'’-]*"
+CAPITAL = r"[A-ZÀ-ÖØ-ÞĀ-ŽΑ-ΩЀ-Я][^\W\d_]+(?:['’-][^\W\d_]+)*"
 GIVEN = "|".join(FEMALE + MALE)
-NAME = regex.compile(
-    rf"\b(?:(?P<title>{'|'.join(TITLES)})\.?\s(?P<titled>{CAPITAL}(?:\s{CAPITAL})?)|(?P<full>(?:{GIVEN})\s{CAPITAL}))"
-    rf"|(?<![\p{{L}}])(?i:{'|'.join(map(re.escape, CUES))})\s+(?P<cued>{CAPITAL}(?:[ ]{CAPITAL}){{1,2}})"
-    rf"|\b(?P<mailed>{CAPITAL}(?:[ ]{CAPITAL}){{1,2}})(?=\s<[^\s<>@]+@)"
-    rf"|(?P<han>\p{{Han}}{{2,4}}?)(?={'|'.join(HONORIFICS)})|(?:{'|'.join(LABELS)})[:：]\s*(?P<labelled>\p{{Han}}{{2,4}})"
-)
-HAN = regex.compile(r"\p{Han}")
-NAME_GROUPS = ("titled", "full", "cued", "mailed", "han", "labelled")
-NAME_HINT = re.compile(rf"\b(?:{'|'.join(TITLES)}|{GIVEN})\b|(?i:{'|'.join(re.escape(c) for c in CUES)})|<[^\s<>@]+@|{'|'.join(HONORIFICS + LABELS)}")
+NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\.?\s(?P<titled>{CAPITAL}(?:\s{CAPITAL})?)|(?P<full>(?:{GIVEN})\s{CAPITAL}))")
+NAME_HINT = re.compile(rf"\b(?:{'|'.join(TITLES)}|{GIVEN})\b")
+#: Some words with capitals: a name where a cue stands before them, or is the first of them, or an address comes after them.
+CAPITALS = re.compile(rf"{CAPITAL}(?:[ ]{CAPITAL}){{1,3}}")
+ADDRESS = re.compile(r"\s<[^\s<>@]+@")
+LONGEST_CUE = max(map(len, CUES)) + 2
+HAN = re.compile("[\u3400-\u4dbf\u4e00-\u9fff]")
+HAN_NAME = re.compile(f"(?P<han>[\u3400-\u4dbf\u4e00-\u9fff]{{2,4}}?)(?=(?:{'|'.join(HONORIFICS)}))|(?:{'|'.join(LABELS)})[:：]\\s*(?P<labelled>[\u3400-\u4dbf\u4e00-\u9fff]{{2,4}})")
+#: Version 6 addresses are looked for where two colons stand near each other.
+COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:")
+VERSION_6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")
 #: A phone ends where, after a space, an address, card, number or secret of its own starts.
 APART = r"(?! (?:(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)|(?:\d{4}[ -]?){3}\d{1,7}(?![ -]?\d)|\d{3}-\d{2,3}-\d{4}(?![\d-])|(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32}|[A-Za-z0-9._%+-]+@))"
 STRUCTURED = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>\b(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,}|\bAKIA[0-9A-Z]{16}\b|(?<![0-9A-Za-z])(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*[0-9])[0-9A-F]{32,64})(?![0-9A-Za-z]))"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b)"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?![\d]|\.\d)|(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:]))"
+    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])(?:\d{4}[ -]?){3}\d{1,7}(?!\d))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:" + rf"(?:{APART}[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?:[ .-]?\d{{2,4}}){{2,4}}(?!\d|\.\d))" + r"|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-]))"
@@ -224,16 +225,49 @@ def _version_6(text: str) -> bool:
         return False
 
 
+def _names(text: str):
+    """Where names stand, by title, given name, cue, address, or in Han script."""
+    if NAME_HINT.search(text):
+        for m in NAME.finditer(text):
+            yield m.span("titled" if m["titled"] else "full")
+    for m in CAPITALS.finditer(text):
+        a, b = m.span()
+        if a and text[a - 1].isalnum() or not text[a].isupper():
+            continue
+        head, _, rest = m[0].partition(" ")
+        if head.lower() in CUES:
+            if " " in rest:
+                yield a + len(head) + 1, b
+            continue
+        if b < len(text) and ADDRESS.match(text, b):
+            yield a, b
+            continue
+        before = text[max(0, a - LONGEST_CUE) : a]
+        if before and before[-1].isspace() and before.rstrip().lower().endswith(CUES):
+            lead = before.rstrip().lower()
+            cue = next(c for c in CUES if lead.endswith(c))
+            if len(lead) == len(cue) or not lead[-len(cue) - 1].isalpha():
+                yield a, b
+    if not text.isascii() and HAN.search(text):
+        for m in HAN_NAME.finditer(text):
+            yield m.span("han" if m["han"] else "labelled")
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what is found, in order, without overlaps."""
     found = []
-    if re.search(r"\d", text) or "@" in text or "-" in text or "_" in text or "::" in text:
-        found = [(m.start(), m.end(), m.lastgroup) for m in STRUCTURED.finditer(text) if ":" not in m[0] or m.lastgroup != "ip" or _version_6(m[0])]
-    if NAME_HINT.search(text):
-        for m in NAME.finditer(text):
-            a, b = m.span(next(g for g in NAME_GROUPS if m[g]))
-            if not any(a < y and x < b for x, y, _ in found):
-                found.append((a, b, "name"))
+    if COLONS.search(text):
+        found = [(m.start(), m.end(), "ip") for m in VERSION_6.finditer(text) if _version_6(m[0])]
+    apart = lambda a, b, others: not any(a < y and x < b for x, y, _ in others)
+    if re.search(r"\d", text) or "@" in text or "-" in text or "_" in text:
+        before = list(found)
+        found += [(m.start(), m.end(), m.lastgroup) for m in STRUCTURED.finditer(text) if not before or apart(m.start(), m.end(), before)]
+    names = []
+    for a, b in _names(text):
+        if apart(a, b, found) and apart(a, b, names):
+            names.append((a, b, "name"))
+    if names:
+        found += names
         found += mentions(text, found)
     return sorted(found)
 
