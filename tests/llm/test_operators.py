@@ -109,6 +109,21 @@ def test_mixing_of_one_source_that_holds_a_third(spark, monkeypatch):
     check_mix(mixing.mix(docs).collect(), docs.collect())
 
 
+def test_mixing_reads_texts_once_and_holds_no_words(spark, sf, edge, documents):
+    plan = queries.op2_mixing(spark, sf)._jdf.queryExecution().toString()
+    assert "text" not in plan and "regexp" not in plan
+    for docs in (edge, documents):
+        want = [(r["doc_id"], r["source"], *r[-4:]) for r in mixing.mix(docs).collect()]
+        same(rows(mixing.mix(docs, columns=["doc_id", "source"])), want)
+        assert "regexp_extract_all" not in mixing.mix(docs)._jdf.queryExecution().toString()
+
+
+def test_words_of_a_text(spark):
+    texts = [None, "", " ", " \t\n\x0b\x0c\r", " a ", "a", "a  b\t\tc\n\n\n d", "a\x0bb\x0cc\rd", "\n\ta\t\nb", "é\u00a0ü 漢字 \x1c x", "\x00 $1 \\", "a " * 50_000]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [(r[0] or 0) for r in rows(docs.select(mixing.n_words("text")))] == [len(brute.SPACES.findall(t or "")) for t in texts]
+
+
 # --- quality
 
 

@@ -20,7 +20,14 @@ CAP = 3
 ROWS_PER_CELL = 4_000
 #: Files of tables with a row for each source or cell.
 SMALL = 16
-WORDS = r"[^\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\x0c\r"
+#: A word with the spaces after it.
+WORD = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
+
+
+def n_words(text):
+    """Each word of the trimmed text becomes one character: regexp_count would hold all words of a text, a string each."""
+    return F.coalesce(F.length(F.regexp_replace(F.btrim(text, F.lit(SPACES)), WORD, "x")), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -41,18 +48,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return ranked.withColumn("target", F.least(most.cast("double"), F.lit(level) * F.col("__w"))).drop("__w")
 
 
-def mix(docs: DataFrame, seed: int = 29, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 29, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, columns: list[str] | None = None) -> DataFrame:
     """docs (doc_id, source, text and others) with size (words; a null text has 0), source_size, target and copies.
 
+    columns: those of docs to give, all if None.  Without the text among them, texts are read once, for the sizes; else twice.
+
     Inputs named like an output are replaced.  A document of size 0 may get copies, which take no words.  Repeated rows are
     documents of their own.  Rows are told apart by a hash of id and text, so rows of one id, or without one, are dealt and
     ordered by their texts; equal rows can't be told apart and share what copies they get.  Reruns agree, whatever the partitions."""
-    columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = docs.select(*columns).withColumn("size", size)
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in ("size", "source_size", "target", "copies")]
+    sized = docs.select(*dict.fromkeys([*columns, "doc_id", "source", "text"])).withColumn("size", n_words(F.col("text").cast("string")))
     mark = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
     placed = sized.withColumn("__class", F.floor(8 * F.log2(F.col("size") + 1)).cast("int")).withColumn("__mark", mark)
-    light = cut(placed.select("source", "__class", "__mark", "size"), "sizes")
+    if "text" in columns:
+        light = cut(placed.select("source", "__class", "__mark", "size"), "sizes")
+    else:
+        light = placed = cut(placed.drop("text"), "sizes")
     cells = light.groupBy("source", "__class").agg(F.count("*").alias("__n"), F.sum("size").alias("__words"))
     cells = cut(cells.withColumn("__salts", F.ceil(F.col("__n") / ROWS_PER_CELL).cast("int")), "cells", SMALL)
     by_source = targets(cells.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, cap)
