@@ -384,6 +384,34 @@ def test_training_order_does_not_hang_on_splits(spark, sf, tmp_path, documents):
     assert made[0][0] < made[1][0] and made[0][1:] == made[1][1:]
 
 
+ODD = ["", " ", "a", "  a", "a  b", "a \n b", "\n\n\nx", "x \n", "we'll don't 'tis it's' 12 ٣4 é漢字!!", "a\u00a0\u00a0b\x85 c", "<|endoftext|> x<|endoftext|>", "\x00 🙂🙂 \u200b", " \t" * 50 + "y"]
+
+
+def test_tokens_are_those_of_the_plain_pattern_without_lists(monkeypatch):
+    import base64
+
+    import tiktoken
+
+    plain = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    with open(queries.TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    texts = [*ODD, *[r[1] for r in EDGE if r[1]], *[x + y for x in ODD for y in ODD]]
+    made = tiktoken.Encoding("plain", pat_str=plain, mergeable_ranks=ranks, special_tokens={})
+    want = [made.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", None)
+    tok = ordering.Tokenizer(queries.TOKENIZER)
+    for t, ids in zip(texts, want, strict=True):
+        assert tok(t).tolist() == [*ids, tok.end] and tok(t).dtype == tok.dtype and tok.count(t) == len(ids) + 1
+    assert tok(None).tolist() == [tok.end] and tok.count(None) == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_tokens_of_other_files(name):
+    tok = ordering.Tokenizer(f"/opt/tokenizers/{name}")
+    for t in [None, *ODD]:
+        assert tok(t).tolist() == [*(tok._encode(t) if t else []), tok.end] and tok(t).dtype == tok.dtype and tok.count(t) == len(tok(t))
+
+
 def test_training_order_removes_what_an_earlier_run_left(spark, documents):
     folder = state.new_path(spark, "order-test")
     docs = documents.select("doc_id", "text")
