@@ -178,3 +178,17 @@ def test_models_and_pools(data):
     assert sorted((r["model"], r["variable"]) for r in made.collect()) == [("A", "x"), ("B", "x")]
     pools = stats.significance_pools(stats.correlations(df, ["x", "z"], ["y"]), made).collect()
     assert {(r["pool"], r["n_tests"]) for r in pools} == {("correlation", 2), ("regression", 2)}
+
+
+def test_analysis_table_is_made_once(spark, sf, tmp_path, monkeypatch):
+    from tonewake.plans import analysis, catalog, tables
+
+    made = []
+    ready = analysis.ready
+    monkeypatch.setattr(analysis, "ready", lambda *a: made.append(ready(*a)) or made[-1])
+    catalog.QUERIES["bonferroni_pools"](spark, sf.replace("sf0.001", "sf0.01"))
+    assert len(made) == 1
+    # an event that comes twice is two chunks, not four
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.unionByName(events).write.parquet(f"{tmp_path}/events.parquet")
+    assert tables.analysis_scores(spark, str(tmp_path)).count() == 2 * events.count()

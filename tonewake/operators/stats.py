@@ -200,12 +200,12 @@ def sector_spread_in_years(df: DataFrame, feature: str, target: str, first: int,
     return spread_by_sector(chosen.crossJoin(F.broadcast(enough)).where("__enough").drop("__enough"), feature, target)  # one row
 
 
-def regression_table(df: DataFrame, targets: Sequence[str] = CAR_COLUMNS, features: Sequence[str] = REDUCED_FEATURES, controls: Sequence[str] = ("log_market_cap",)) -> DataFrame:
-    """target, model (A without controls, B with), variable, coef, p_value: the features' rows of each regression."""
+def regression_table(df: DataFrame, targets: Sequence[str] = CAR_COLUMNS, features: Sequence[str] = REDUCED_FEATURES, controls: Sequence[str] = ("log_market_cap",), models: Sequence[str] = ("A", "B")) -> DataFrame:
+    """target, model (A without controls, B with), variable, coef, p_value: the features' rows of each regression of the models."""
     rows = []
     for target in targets:
-        for model, more in (("A", ()), ("B", controls)):
-            for r in regression(df, target, features, more)["table"].collect():  # a row for each variable
+        for model in models:
+            for r in regression(df, target, features, {"A": (), "B": controls}[model])["table"].collect():  # a row for each variable
                 if r["variable"] in features:
                     rows.append((target, model, r["variable"], r["coef"], r["p_value"]))
     return df.sparkSession.createDataFrame(rows, "target string, model string, variable string, coef double, p_value double")

@@ -186,19 +186,19 @@ def robustness(spark, sf_dir):
     return rounded(stats.strategy_robustness(A.ready(spark, sf_dir), wide))
 
 
-def _gain_models(spark, sf_dir):
-    df = A.ready(spark, sf_dir)
-    return stats.regression_table(df, stats.CAR_COLUMNS, ["sentiment_delta"], ["log_market_cap"])
+def _gain_models(df):
+    return stats.regression_table(df, stats.CAR_COLUMNS, ["sentiment_delta"], ["log_market_cap"], models=("B",))
 
 
 @query(f"WITH {A.ANALYSIS}, " + ", ".join(f"x{w} AS (WITH {A.hc3_sql(f'SELECT CAR_{w}d AS y, sentiment_delta AS a, log_market_cap AS b, sector AS s FROM ready WHERE CAR_{w}d IS NOT NULL AND sentiment_delta IS NOT NULL AND log_market_cap IS NOT NULL AND sector IS NOT NULL', 'sentiment_delta', 'log_market_cap')})" for w in market.WINDOWS) + " " + " UNION ALL ".join(f"SELECT 'CAR_{w}d' AS target, coef, p_value FROM x{w} WHERE variable = 'sentiment_delta'" for w in market.WINDOWS))
 def regression_models(spark, sf_dir):
-    return rounded(_gain_models(spark, sf_dir).where("model = 'B'").select("target", "coef", "p_value"))
+    return rounded(_gain_models(A.ready(spark, sf_dir)).select("target", "coef", "p_value"))
 
 
 @query(f"WITH {A.ANALYSIS}, c AS ({A.correlations_sql('ready', stats.SENTIMENT_FEATURES, stats.CAR_COLUMNS)}), " + ", ".join(f"x{w} AS (WITH {A.hc3_sql(f'SELECT CAR_{w}d AS y, sentiment_delta AS a, log_market_cap AS b, sector AS s FROM ready WHERE CAR_{w}d IS NOT NULL AND sentiment_delta IS NOT NULL AND log_market_cap IS NOT NULL AND sector IS NOT NULL', 'sentiment_delta', 'log_market_cap')})" for w in market.WINDOWS) + ", p AS (SELECT 'correlation' AS pool, feature || '/' || target AS name, spearman_p AS p FROM c" + "".join(f" UNION ALL SELECT 'regression', 'sentiment_delta/CAR_{w}d/B', p_value FROM x{w} WHERE variable = 'sentiment_delta'" for w in market.WINDOWS) + ") SELECT pool, name, round(p, 6) AS p_value, count(*) OVER (PARTITION BY pool) AS n_tests, round(0.05 / count(*) OVER (PARTITION BY pool), 8) AS threshold, p < 0.05 / count(*) OVER (PARTITION BY pool) AS significant FROM p")
 def bonferroni_pools(spark, sf_dir):
-    pools = stats.significance_pools(stats.correlations(A.ready(spark, sf_dir)), _gain_models(spark, sf_dir).where("model = 'B'"))
+    df = A.ready(spark, sf_dir)
+    pools = stats.significance_pools(stats.correlations(df), _gain_models(df))
     return pools.select("pool", "name", F.round("p_value", 6).alias("p_value"), "n_tests", "threshold", "significant")
 
 

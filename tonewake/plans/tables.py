@@ -3,7 +3,7 @@ conversations as transcripts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewake.sources.shipping import ship
@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scores(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+def scores(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     e = table(spark, sf_dir, "events")
     part = {"click": ("prepared_remarks", "operator"), "view": ("qa_session", "analyst"), "error": ("prepared_remarks", "ceo"), "signup": ("qa_session", "cfo"), "purchase": ("qa_session", "analyst")}
     section, role = F.lit("prepared_remarks"), F.lit("unknown")
@@ -116,9 +116,11 @@ def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the analysis table: events as chunks of 25 tickers, nations' prices, orders as calls, customers as companies
 
 def analysis_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit("T"), F.col("user_id") % 25).alias("__ticker"), F.date_add(F.lit("1996-01-01").cast("date"), ((F.col("event_id") * 7 % 100) * 15).cast("int")).alias("__date"), F.col("event_id").alias("__id"))
-    s = scores(spark, sf_dir, "event_id")
-    return s.join(e, s["event_id"] == e["__id"]).drop("ticker", "date", "event_id", "__id").withColumnsRenamed({"__ticker": "ticker", "__date": "date"})
+    """Ticker and date come with the row itself: a second reading of the events to join them by would double the work."""
+    ticker = F.concat(F.lit("T"), F.col("user_id") % 25)
+    date = F.date_add(F.lit("1996-01-01").cast("date"), ((F.col("event_id") * 7 % 100) * 15).cast("int"))
+    s = scores(spark, sf_dir, ticker.alias("__ticker"), date.alias("__date"))
+    return s.drop("ticker", "date").withColumnsRenamed({"__ticker": "ticker", "__date": "date"})
 
 
 ANALYSIS_SCORES_SQL = f"""{SCORES_SQL.replace("scores AS (SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date", "all_scores AS (SELECT 'T' || (user_id % 25) AS ticker, DATE '1996-01-01' + CAST(((event_id * 7) % 100) * 15 AS INT) AS date")}"""
