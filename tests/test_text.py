@@ -110,3 +110,13 @@ def test_transcript_chunks(spark):
     got = [tuple(r) for r in T.chunk_transcripts(df).select("source_section", "role", "chunk_text", "chunk_index", "overlap").collect()]
     assert sorted(got) == sorted([("prepared_remarks", "ceo", "Hi. There.", 0, False), ("qa_session", "analyst", "Why?", 0, False), ("prepared_remarks", "mixed", "Hi. There.", 0, True), ("prepared_remarks", "mixed", "There.", 1, True), ("qa_session", "mixed", "Why?", 0, True)])
     assert P.MAX_TOKENS == 512
+
+
+def test_timing_takes_no_sort_and_reads_patterns_once(spark):
+    raw = [("a", ["Aug 5, 2020, 8:00 a.m. ET"], 2), ("a", ["Aug 5, 2020, 8:00 p.m. ET"], 1), ("b", ["Aug 5, 2020"], 1), ("b", ["Aug 5, 2020, 8:00 a.m."], 1), ("c", ["Aug 5, 2020, 8:00 a.m."], 1), ("c", ["Aug 5, 2020, 8:00 p.m."], None), ("d", ["8:00 a.m."], 1)]
+    got = T.call_timing(spark.createDataFrame(raw, "ticker string, date array<string>, ordinal long"))
+    assert sorted((r["ticker"], r["after_close"]) for r in got.collect()) == [("A", True), ("B", False), ("C", True)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    tree = got._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("regexp_extract(") == 2 and tree.count("regexp_extract_all(") == 1

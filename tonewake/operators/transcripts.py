@@ -175,8 +175,14 @@ def chunk_transcripts(transcripts: DataFrame, limit: int = P.MAX_TOKENS) -> Data
 
 
 def call_timing(raw: DataFrame) -> DataFrame:
-    """raw: ticker, date (array of strings), ordinal.  One row for each (ticker, call_date): whether the call was after the close; unknown times are."""
+    """raw: ticker, date (array of strings), ordinal.  One row for each (ticker, call_date): whether the call was after the close; unknown times are.
+
+    The row of least ordinal (null first; of equal ones one before the close) decides, by least ordinals in one hash aggregation
+    without a sort.  Undated rows go after it: a filter on the date would go below it and parse every date twice."""
     from tonewake.functions.text import call_minutes, date_string, parsed_date
 
     rows = raw.select(F.upper(strip(F.col("ticker"))).alias("ticker"), parsed_date(date_string(F.col("date"))).alias("call_date"), F.coalesce(call_minutes(F.col("date")) >= P.MARKET_CLOSE_MINUTES, F.lit(True)).alias("after_close"), "ordinal")
-    return first_each(rows.where("call_date is not null"), ["ticker", "call_date"], "ordinal").drop("ordinal")
+    late, number = F.col("after_close"), F.col("ordinal")
+    least = rows.groupBy("ticker", "call_date").agg(F.min(F.when(late, number)).alias("__late"), F.min(F.when(~late, number)).alias("__early"), F.min(F.when(number.isNull(), late)).alias("__unnumbered"), F.count("call_date").alias("__dated"))
+    after = F.coalesce("__unnumbered", F.col("__early").isNull() | F.coalesce(F.col("__late") < F.col("__early"), F.lit(False)))
+    return least.where("__dated > 0").select("ticker", "call_date", after.alias("after_close"))
