@@ -35,3 +35,5 @@ MIN_PREPARED_LINES = 10
 MAX_HEADER_CHARS = 120
 MARKET_CLOSE_MINUTES = 16 * 60
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: The characters of EDGES, for trimming without a pattern.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

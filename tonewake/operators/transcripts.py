@@ -1,7 +1,7 @@
 """Transcripts to chunks: sections, cleaning, speaker turns, chunks.
 
-Everything but overlapping chunks is built from whole-text patterns and array functions, narrow and inside the JVM; the one
-shuffle is the removal of duplicate transcripts.
+Everything is built from whole-text patterns and array functions, narrow and inside the JVM; the one shuffle is the removal of
+duplicate transcripts.
 """
 
 from __future__ import annotations
@@ -9,13 +9,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tonewake.functions import patterns as P
-from tonewake.functions.text import is_blank, sentences, strip, token_estimate
+from tonewake.functions.text import bound, is_blank, sentences, strip, token_estimate
 from tonewake.sources.shipping import ship
 
 #: White space within a line, and the end of one.
@@ -129,12 +127,11 @@ def chunks_of_turns(said: Column, limit: int = P.MAX_TOKENS) -> Column:
     return F.flatten(F.transform(said, made))
 
 
+#: Java's pattern for what Python's white space is.
+_SENTENCE_END = P.SENTENCE_END.replace(r"\s", r"[\s\x1c-\x1f]")
 _ENDS = re.compile(P.SENTENCE_END.replace("(?U)", ""))
-OVERLAPS = T.ArrayType(T.StructType([T.StructField("chunk_text", T.StringType()), T.StructField("chunk_token_count", T.IntegerType())]))
-
-
 def overlapping(text: str | None, limit: int = P.MAX_TOKENS) -> list[tuple[str, int]]:
-    """Windows of whole sentences within limit tokens, each starting half a window after the last, to the very end."""
+    """Windows of whole sentences within limit tokens, each starting half a window after the last, to the very end; of one text."""
     parts = _ENDS.split((text or "").strip())
     sizes = np.maximum(1, np.rint(np.array([len(p) for p in parts]) / P.CHARS_PER_TOKEN)).astype(int)
     total = np.concatenate([[0], np.cumsum(sizes)])
@@ -148,9 +145,33 @@ def overlapping(text: str | None, limit: int = P.MAX_TOKENS) -> list[tuple[str,
     return out
 
 
-@F.arrow_udf(OVERLAPS)
-def overlapping_chunks(x: pa.Array) -> pa.Array:
-    return pa.array([[{"chunk_text": a, "chunk_token_count": n} for a, n in overlapping(t.as_py())] for t in x], pa.list_(pa.struct([("chunk_text", pa.string()), ("chunk_token_count", pa.int32())])))
+def overlapping_chunks(x: Column, limit: int = P.MAX_TOKENS) -> Column:
+    """overlapping() of a column, an array of (chunk_text, chunk_token_count), in the JVM a row at a time.
+
+    A fold moves both ends of the window over the sizes alone: each step takes a sentence in or notes the window and drops its
+    first half, so twice the sentences are steps enough.  The windows' texts are joined afterwards; sentences have no white space
+    at their ends, so windows have none."""
+
+    def spans(sizes: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("e"), F.lit(0).alias("tokens"), F.array().cast("array<struct<i:int,e:int,tokens:int>>").alias("out"))
+
+        def step(a: Column, _: Column) -> Column:
+            size = F.get(sizes, a["e"])
+            taken = F.struct(a["i"].alias("i"), (a["e"] + 1).alias("e"), (a["tokens"] + size).alias("tokens"), a["out"].alias("out"))
+            gone = F.greatest(F.lit(1), F.floor((a["e"] - a["i"]) / 2).cast("int"))
+            dropped = F.aggregate(F.slice(sizes, a["i"] + 1, gone), F.lit(0), lambda t, v: t + v)
+            noted = F.array_append(a["out"], F.struct(a["i"].alias("i"), a["e"].alias("e"), a["tokens"].alias("tokens")))
+            closed = F.struct((a["i"] + gone).alias("i"), a["e"].alias("e"), (a["tokens"] - dropped).alias("tokens"), noted.alias("out"))
+            more = (a["e"] == a["i"]) | (a["tokens"] + size <= limit)  # null beyond the last
+            return F.when(a["i"] >= F.size(sizes), a).when(more, taken).otherwise(closed)
+
+        return F.aggregate(F.sequence(F.lit(1), 2 * F.size(sizes)), start, step, lambda a: a["out"])
+
+    def pieces(parts: Column) -> Column:
+        at = bound(F.transform(parts, token_estimate), spans)
+        return F.transform(at, lambda w: F.struct(F.array_join(F.slice(parts, w["i"] + 1, w["e"] - w["i"]), " ").alias("chunk_text"), w["tokens"].alias("chunk_token_count")))
+
+    return F.filter(bound(F.split(F.btrim(F.coalesce(x, F.lit("")), F.lit(P.WHITE_SPACE)), _SENTENCE_END), pieces), lambda c: c["chunk_text"] != "")
 
 
 def with_turns(df: DataFrame) -> DataFrame:

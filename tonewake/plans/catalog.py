@@ -440,7 +440,7 @@ def chunks_nonoverlap(spark, sf_dir):
 
 @query(Q.OVERLAP)
 def chunks_overlap(spark, sf_dir):
-    return rounded(D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(transcripts.overlapping_chunks("text")).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.chunk_token_count", F.md5("c.chunk_text").alias("chunk_md5")))
+    return rounded(D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(transcripts.overlapping_chunks(F.col("text"))).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.chunk_token_count", F.md5("c.chunk_text").alias("chunk_md5")))
 
 
 _HITS = {k: "len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: list_contains(['" + "','".join(ws) + "'], x)))" for k, ws in (("p", ("the", "and", "of", "der", "la")), ("n", ("with", "from", "nicht", "pas", "no")))}
