@@ -125,8 +125,8 @@ def test_timing_takes_no_sort_and_reads_patterns_once(spark):
 def test_overlapping_chunks_stay_in_the_jvm(spark):
     texts = [None, "", " \x1c", ". . !", " a. b.\x1cc!  d?e. ", "a" * 5000 + ". b.", " ".join("w" * (1 + i * 37 % 300) + ".!?"[i % 3] for i in range(200))]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    for limit in (512, 40):
-        out = df.select("i", T.overlapping_chunks(F.col("t"), limit).alias("c"))
+    for limit, given in ((512, ()), (40, (40,))):
+        out = df.select("i", T.overlapping_chunks(F.col("t"), *given).alias("c"))
         assert {r["i"]: [tuple(c) for c in r["c"]] for r in out.collect()} == {i: T.overlapping(t, limit) for i, t in enumerate(texts)}
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
